@@ -1,0 +1,44 @@
+"""What the operators share: rows told apart by (doc_id, text), and components of a graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.shared import Cut
+
+KEY = "struct<doc_id:bigint,th:bigint>"
+
+
+def key() -> Column:
+    """Rows are one document if doc_id and text agree. A null doc_id is a value like others."""
+    return F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k, text) of the rows with text; other columns, whatever their names, stay behind."""
+    return docs.select(key().alias("k"), F.col("text")).where("text IS NOT NULL")
+
+
+def components(edges: DataFrame, cut: Cut, name: str) -> DataFrame:
+    """(k, root) of every vertex of the edges (a, b): root is the least vertex of k's component.
+
+    Alternating large-star and small-star steps; each is one grouping, the number
+    of rounds grows with the logarithm of a component's diameter.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
+    state, i = None, 0
+    while True:
+        sums = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
+        if sums == state or not sums[0]:
+            break
+        state, i = sums, i + 1
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = now.join(low.withColumnRenamed("a", "b"), "b").select(F.col("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        after = cut(small, f"{name}-{i}")
+        cut.drop(f"{name}-{i - 1}")
+        now = after
+    return now.select(F.col("a").alias("k"), F.col("b").alias("root"))

@@ -1,0 +1,167 @@
+"""Words of Arrow string columns as numpy arrays, without a Python object per word.
+
+A word is a maximal run of ASCII letters and digits and of any character beyond
+ASCII, in lower case. ``WORD`` is the same as a regular expression on bytes.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+SLICE_BYTES = 2 << 20
+PIECE = 1 << 20
+
+U = np.uint64
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_TABLE = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uint64) | U(1)
+_BASE = 0x9E3779B97F4A7C15
+_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_pow[0]) <= n:
+        size = max(PIECE + 4096, n + 1)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            p = np.empty(size, np.uint64)
+            p[0], have, step = 1, 1, base
+            while have < size:
+                k = min(have, size - have)
+                p[have : have + k] = p[:k] * U(step)
+                have, step = have + k, step * step % 2**64
+            _pow[i] = p
+    return _pow[0], _pow[1]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers in which every bit depends on every bit."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array; null reads as empty."""
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    wide = pa.types.is_large_string(col.type)
+    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = col.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return off, raw
+
+
+def slices(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
+    n = batch.num_rows
+    if not n:
+        return
+    size = np.zeros(n, np.int64)
+    for c in columns:
+        size += pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its row, its 64-bit hash, and where it starts and ends in its row's lower-case bytes."""
+    if lower:
+        col = pc.utf8_lower(col)
+    off, raw = strings(col)
+    if not len(col) or off[-1] == off[0]:
+        z = np.zeros(0, np.int64)
+        return z, z.astype(np.uint64), z, z
+    raw, off = raw[off[0] : off[-1]], off - off[0]
+    first = np.zeros(len(raw) + 1, bool)
+    first[off] = True
+    hashes, begins, ends = [], [], []
+    at = 0
+    while at < len(raw):
+        to = min(at + PIECE, len(raw))
+        while to < len(raw) and _IS_WORD[raw[to]]:  # ends between words
+            ahead = np.flatnonzero(~_IS_WORD[raw[to : to + PIECE]])
+            to = to + int(ahead[0]) if len(ahead) else min(to + PIECE, len(raw))
+        b = raw[at:to]
+        is_word, new = _IS_WORD[b], first[at:to]
+        before = np.empty(len(b), bool)
+        before[0] = False
+        np.logical_and(is_word[:-1], ~new[1:], out=before[1:])
+        s = np.flatnonzero(is_word & ~before)
+        after = np.empty(len(b), bool)
+        after[-1] = False
+        np.logical_and(is_word[1:], ~new[1:], out=after[:-1])
+        e = np.flatnonzero(is_word & ~after) + 1
+        power, inverse = _powers(len(b))
+        total = np.empty(len(b) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_TABLE[b] * power[: len(b)], out=total[1:])
+        hashes.append(mix((total[e] - total[s]) * inverse[s] ^ (e - s).astype(np.uint64)))
+        begins.append(s + at)
+        ends.append(e + at)
+        at = to
+    s, e = np.concatenate(begins), np.concatenate(ends)
+    row = np.searchsorted(off, s, side="right") - 1
+    return row, np.concatenate(hashes), s - off[row], e - off[row]
+
+
+def hash_words(listed: list[bytes]) -> np.ndarray:
+    """The hashes that ``words`` gives these words."""
+    joined = pa.array([b" ".join(listed).decode()], pa.string())
+    return words(joined, lower=False)[1]
+
+
+def starts(row: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n rows begins in arrays that are sorted by row; n + 1 numbers."""
+    return np.searchsorted(row, np.arange(n + 1))
+
+
+def window_hash(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """Hash of each n consecutive elements; len(h) - n + 1 numbers."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(h))
+    total = np.empty(len(h) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    k = len(h) - n + 1
+    return mix((total[n:] - total[:k]) * inverse[:k] ^ U((n * _BASE + salt) % 2**64))
+
+
+def shingles(row: np.ndarray, h: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct n-word shingles, sorted; a shorter text has one, of all its words."""
+    w = window_hash(h, n)
+    inside = row[n - 1 :] == row[: len(w)] if len(w) else np.zeros(0, bool)
+    r, s = row[: len(w)][inside], w[inside]
+    at = starts(row, n_rows)
+    short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < n))
+    if len(short):
+        extra = []
+        for i in short:
+            part = h[at[i] : at[i + 1]]
+            extra.append(window_hash(part, len(part))[0])
+        r, s = np.concatenate([r, short]), np.concatenate([s, np.array(extra, np.uint64)])
+    order = np.lexsort((s, r))
+    r, s = r[order], s[order]
+    if len(r):
+        keep = np.r_[True, (np.diff(r) != 0) | (s[1:] != s[:-1])]
+        r, s = r[keep], s[keep]
+    return r, s
+
+
+def prefixes(col: pa.Array, row: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the first n bytes of the words of a lower-case column that are longer than n."""
+    off, raw = strings(col)
+    own = end - begin > n
+    row, at = row[own], off[row[own]] + begin[own]
+    h = np.full(len(at), n, np.uint64)
+    for i in range(n):
+        h = h << U(8) | raw[at + i].astype(np.uint64)
+    return row, mix(h ^ U(_BASE))
