@@ -1,258 +1,238 @@
-"""Benchmark decontamination by BM25 and block-max WAND over an index of test items.
-
-Test items are the indexed side: each is a unit of UNIT words at most (longer
-items are several), with BM25 impacts divided by the unit's own total, so a score
-is the share of the unit's BM25 mass that a query covers. Every passage of every
-training document is a query: windows of 2 UNIT words that begin each UNIT words,
-so any stretch of UNIT words lies in one of them whole. A vectorised pass over
-all windows adds up block maxima and drops windows no block of which can reach
-THRESHOLD; block-max WAND then finds all units at THRESHOLD or above in the rest.
-Both bounds are upper ones, so nothing above the threshold is lost.
-
-What is found is verified in the words about the window: the share of the
-question's 5-word shingles that occur there, and the share of the answer's words.
-The answer is the column ``answer`` if there is one, else the item's last
-sentence if it has more than one sentence.
-
-Nulls, empties, ties: documents or items without words match nothing. Null
-doc_ids are allowed; rows that repeat are judged alike. Items that repeat are
-reported each. Equal scores are all kept.
+"""Benchmark decontamination (6): every training passage queries a BM25 index of the test items.
+
+Whole documents are cut into overlapping passages, long enough that any run of
+the longest item's length lies within one.  A passage is a query; block-max
+WAND finds all items whose BM25 score, as a share of the item's score for
+itself, reaches THRESHOLD: before a list is opened, the sum of greatest impacts
+must reach the threshold, and before an item is scored, the sum of its blocks'
+greatest impacts must.  The items found are then verified: enough word n-grams
+of the question part and of the answer part must occur in the passage.
+
+The index is broadcast in shards of at most SHARD_ITEMS items, so that what an
+executor holds doesn't grow with the benchmarks; each shard is one more pass.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import _words as W
-from tidemark.llm._keys import key
-from tidemark.shared import Cut, ship
+from .common import narrow, ready, settle, without
+from .words import Words, pieces, strings
 
-UNIT, BLOCK, SHINGLE = 64, 8, 5
-K1, LENGTH = 1.2, 0.75
-THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
-#: Units to an index; more are several indexes, and each is one more pass over the documents.
-UNITS = 65_536
-#: Terms in more than this share of blocks are bounded once for all blocks.
-COMMON = 0.25
-
-
-def split_answer(text: str, answer: str | None = None) -> tuple[str, str]:
-    if answer:
-        return text, answer
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
-    return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
+K1, B = 1.2, 0.75
+THRESHOLD = 0.5
+#: Share of the n-grams of the question and of the answer that a passage must have, and words of an n-gram.
+QUESTION, ANSWER, GRAM = 0.5, 0.5, 3
+#: Where no column says which part is the answer: the last so much of the item's words.
+ANSWER_SHARE = 0.25
+BLOCK = 8
+SHARD_ITEMS = 20_000
 
 
 class Index:
-    """Inverted index of some items' units; documents frequencies are those of all items."""
-
-    def __init__(self, items: list[tuple[str, str, str]], frequency: dict[int, int], total: int, mean: float) -> None:
-        self.items = [i for i, _, _ in items]
-        word = [W.words(pa.array([f"{q} {a}"], pa.string()))[1] for _, q, a in items]
-        ask, replies = [[W.words(pa.array([x[k]], pa.string()))[1] for x in items] for k in (1, 2)]
-        ask = [x if len(x) >= SHINGLE else h for x, h in zip(ask, word)]  # a question of few words: the whole item
-        self.questions = [W.shingles(np.zeros(len(h), int), h, 1, SHINGLE)[1] for h in ask]
-        self.answers = [np.unique(h) for h in replies]
-        self.length = np.array([len(h) for h in word])
-        unit, post = [], []
-        for i, h in enumerate(word):
-            n = -(-len(h) // UNIT)
-            for part in np.array_split(h, n) if n else []:
-                t, tf = np.unique(part, return_counts=True)
-                df = np.array([frequency[int(x)] for x in t])
-                impact = np.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH + LENGTH * len(part) / mean))
-                post.append((t, np.full(len(t), len(unit)), impact / impact.sum()))
-                unit.append(i)
-        self.unit = np.array(unit, int)
-        t, u, x = (np.concatenate(c) if post else np.zeros(0) for c in (zip(*post) if post else ((), (), ())))
-        self.vocabulary, term = np.unique(t.astype(np.uint64), return_inverse=True)
-        order = np.lexsort((u, term))
-        self.u, self.x = u[order].astype(int), x[order]
-        self.at = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
-        # block maxima, by term
-        b = term[order] * (len(unit) // BLOCK + 1) + self.u // BLOCK
-        first = np.flatnonzero(np.r_[True, np.diff(b) != 0]) if len(b) else np.zeros(0, int)
-        self.block, self.high = self.u[first] // BLOCK, np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
-        self.block_at = np.searchsorted(first, self.at)
-        self.blocks = len(unit) // BLOCK + 1
-        self.most = np.maximum.reduceat(self.x, self.at[:-1]) if len(self.vocabulary) else np.zeros(0)
-        self.common = np.diff(self.block_at) > max(1, COMMON * self.blocks)
-        size = 1 << max(10, int(len(self.vocabulary) * 8).bit_length())
-        self.mask, self.table = np.uint64(size - 1), np.full(size, -1, np.int32)
-        left = np.arange(len(self.vocabulary))  # two choices a term, then none: the few left over are looked up by search
-        for shift in (0, 20):
-            slot = ((self.vocabulary[left] >> np.uint64(shift)) & self.mask).astype(int)
-            free = self.table[slot] < 0
-            self.table[slot[free]] = left[free]
-            left = left[self.table[slot] != left]
-        self.rest = left
-
-    def terms(self, h: np.ndarray) -> np.ndarray:
-        """The vocabulary's number of each word, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        if not len(self.vocabulary):
-            return out
-        for shift in (20, 0):
-            t = self.table[((h >> np.uint64(shift)) & self.mask).astype(np.int64)]
-            hit = (t >= 0) & (self.vocabulary[t] == h)
-            out[hit] = t[hit]
-        for r in self.rest:
-            out[h == self.vocabulary[r]] = r
-        return out
-
-    def bounds(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """For each of n windows, an upper bound of its best score, from distinct (window, term)."""
-        c = self.common[term]
-        base = np.bincount(window[c], self.most[term[c]], n)
-        w, t = window[~c], term[~c]
-        size = self.block_at[t + 1] - self.block_at[t]
-        at = np.repeat(self.block_at[t] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(t) else np.zeros(0, int)
-        key_, high = np.repeat(w, size) * self.blocks + self.block[at], self.high[at]
-        if n * self.blocks <= 1 << 22:
-            best = np.bincount(key_, high, n * self.blocks).reshape(n, self.blocks).max(1)
-        else:
-            u, back = np.unique(key_, return_inverse=True)
-            best = np.zeros(n)
-            np.maximum.at(best, u // self.blocks, np.bincount(back, high))
-        return base + best
-
-    def search(self, terms: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (unit, score) at threshold or above, by block-max WAND."""
-        lists = [[self.u[self.at[t] : self.at[t + 1]], self.x[self.at[t] : self.at[t + 1]], self.block[self.block_at[t] : self.block_at[t + 1]], self.high[self.block_at[t] : self.block_at[t + 1]], self.most[t]] for t in terms.tolist()]
-        place, end, found = [0] * len(lists), len(self.unit), []
-        now = [int(x[0][0]) for x in lists]
-        while lists:
-            order = sorted(range(len(lists)), key=now.__getitem__)
+    """An inverted index with block-max impacts, each item's impacts being shares of its own score."""
+
+    def __init__(self, ids: list[int], questions: list[str | None], answers: list[str | None] | None = None):
+        texts = questions if answers is None else [f"{q or ''}\n{a or ''}" for q, a in zip(questions, answers)]
+        w = Words(strings(pa.array(texts, pa.string())))
+        self.ids = np.array(ids, np.int64)
+        n = len(ids)
+        length = np.diff(w.first)
+        self.longest = int(length.max()) if n else 0
+        self.passage = max(16, 2 * self.longest)
+        self.terms, term = np.unique(w.h, return_inverse=True)
+        key, tf = np.unique(term.astype(np.int64) * max(n, 1) + w.row, return_counts=True)
+        term, item = key // max(n, 1), key % max(n, 1)
+        df = np.bincount(term, minlength=len(self.terms))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        mean = max(1.0, length.mean()) if n else 1.0
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+        own = np.bincount(item, impact, n)
+        impact = impact / np.maximum(own[item], 1e-12)
+        cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.items = [item[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        self.impacts = [impact[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        self.most = np.array([x.max() for x in self.impacts]) if len(self.terms) else np.zeros(0)
+        self.blocks = [(x[BLOCK - 1 :: BLOCK].tolist() if len(x) % BLOCK == 0 else [*x[BLOCK - 1 :: BLOCK].tolist(), int(x[-1])], [float(y[k : k + BLOCK].max()) for k in range(0, len(y), BLOCK)]) for x, y in zip(self.items, self.impacts)]
+        self.question: list[np.ndarray] = []
+        self.answer: list[np.ndarray] = []
+        parts = Words(strings(pa.array(answers, pa.string()))) if answers is not None else None
+        for k in range(n):
+            h = w.h[w.first[k] : w.first[k + 1]]
+            size = max(1, round(len(h) * ANSWER_SHARE)) if parts is None else int(parts.first[k + 1] - parts.first[k])
+            self.question.append(_grams(h[: len(h) - size]))
+            self.answer.append(_grams(h[len(h) - size :]))
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Term numbers of hashes, or -1."""
+        if not len(self.terms):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return np.where(self.terms[at] == h, at, -1)
+
+    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All (item, score) with at least the threshold for a query of distinct terms."""
+        # Lists as [next item, position, term]; a heap keeps them in the order of their next items.
+        heap = [(int(self.items[t][0]), int(t), 0) for t in terms]
+        heapq.heapify(heap)
+        found = []
+        while heap:
+            heap.sort()
+            # The pivot: the first item at which the greatest impacts together could reach the threshold.
             total, pivot = 0.0, -1
-            for i in order:
-                if now[i] >= end:
-                    break
-                total += lists[i][4]
-                if total >= threshold - 1e-9:
-                    pivot = now[i]
+            for k, (item, t, _) in enumerate(heap):
+                total += self.most[t]
+                if total >= threshold:
+                    pivot = item
+                    last = k
                     break
             if pivot < 0:
                 break
-            block, bound, before = pivot // BLOCK, 0.0, []
-            for i in order:
-                if now[i] > pivot:
-                    break
-                before.append(i)
-                k = int(np.searchsorted(lists[i][2], block))
-                if k < len(lists[i][2]) and lists[i][2][k] == block:
-                    bound += lists[i][3][k]
-            if bound < threshold - 1e-9:  # on to the next block, or to the next list's unit if that is nearer
-                after = [now[i] for i in order if now[i] > pivot]
-                to = min([(block + 1) * BLOCK, *after[:1]])
+            while last + 1 < len(heap) and heap[last + 1][0] == pivot:
+                last += 1
+            # The blocks in which the pivot lies bound its score, up to the end of the nearest block.
+            bound, until = 0.0, np.iinfo(np.int64).max
+            for item, t, at in heap[: last + 1]:
+                ends, most = self.blocks[t]
+                b = at // BLOCK
+                while b < len(ends) and ends[b] < pivot:
+                    b += 1
+                if b < len(ends):
+                    bound += most[b]
+                    until = min(until, ends[b])
+            if last + 1 < len(heap):
+                until = min(until, heap[last + 1][0] - 1)
+            if bound < threshold:
+                target, score = max(until, pivot) + 1, None
+            elif heap[0][0] == pivot:
+                target, score = pivot + 1, 0.0
             else:
-                if now[order[0]] == pivot:
-                    score = sum(float(lists[i][1][place[i]]) for i in before)
-                    if score >= threshold - 1e-9:
-                        found.append((pivot, score))
-                    to = pivot + 1
+                target, score = pivot, None
+            rest = []
+            for k, (item, t, at) in enumerate(heap):
+                if k <= last and item < target:
+                    if score is not None:
+                        score += float(self.impacts[t][at])
+                    postings = self.items[t]
+                    at = at + 1 if score is not None else int(np.searchsorted(postings, target))
+                    if at < len(postings):
+                        rest.append((int(postings[at]), t, at))
                 else:
-                    to = pivot
-            for i in before:
-                if now[i] < to:
-                    place[i] += int(np.searchsorted(lists[i][0][place[i] :], to))
-                    now[i] = int(lists[i][0][place[i]]) if place[i] < len(lists[i][0]) else end
+                    rest.append((item, t, at))
+            if score is not None and score >= threshold:
+                found.append((pivot, score))
+            heap = rest
         return found
 
-    def verify(self, item: int, h: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words that the words h hold."""
-        own = W.shingles(np.zeros(len(h), int), h, 1, min(SHINGLE, max(1, len(h))))[1]
-        q, a = self.questions[item], self.answers[item]
-        question = float(np.isin(q, own).mean()) if len(q) else 1.0
-        return question, float(np.isin(a, h).mean()) if len(a) else question
-
-    def matches(self, col: pa.Array) -> tuple[list[int], list[str], list[float], list[float], list[float]]:
-        row, h, _, _ = W.words(col)
-        n = len(col)
-        begin = W.starts(row, n)
-        count = np.maximum(1, -(-(np.diff(begin) - UNIT) // UNIT))
-        base = np.r_[0, np.cumsum(count)]
-        term = self.terms(h)
+    def overlap(self, item: int, h: np.ndarray) -> tuple[float, float]:
+        """Shares of the question's and of the answer's n-grams that occur in a passage."""
+        shares = []
+        for part in (self.question[item], self.answer[item]):
+            shares.append(float(np.isin(part[1], _grams(h, part[0])[1]).mean()) if len(part[1]) else 1.0)
+        return shares[0], shares[1]
+
+
+def _grams(h: np.ndarray, n: int = 0):
+    """(n, distinct hashes of the n-grams); n is GRAM, or less for parts of fewer words."""
+    n = n or max(1, min(GRAM, len(h)))
+    if len(h) < n:
+        return n, np.zeros(0, np.uint64)
+    g = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(g)]
+    return n, np.unique(g)
+
+
+def leaks(texts: pa.Array, index: Index, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float, int]]:
+    """(row, item, score, question overlap, answer overlap, first word) of the verified passages."""
+    stride = index.passage // 2
+    if not len(index.terms):
+        return
+    for i, j, w in pieces(texts):
+        if not len(w.h):
+            continue
+        term = index.lookup(w.h)
+        place = np.arange(len(w.h)) - w.first[w.row]
         known = np.flatnonzero(term >= 0)
-        r, t, j = row[known], term[known], (known - begin[row[known]]) // UNIT
-        one, two = j < count[r], j > 0
-        window, t = np.concatenate([(base[r] + j)[one], (base[r] + j - 1)[two]]), np.concatenate([t[one], t[two]])
-        v = max(1, len(self.vocabulary))
-        window, t = np.divmod(np.unique(window * v + t), v)
-        best = {}
-        for w in np.flatnonzero(self.bounds(window, t, int(base[-1])) >= THRESHOLD - 1e-9):
-            lo, hi = np.searchsorted(window, [w, w + 1])
-            i = int(np.searchsorted(base, w, side="right")) - 1
-            for u, score in self.search(t[lo:hi]):
-                item = int(self.unit[u])
-                at, around = begin[i] + (w - base[i]) * UNIT, int(self.length[item])
-                question, answer = self.verify(item, h[max(begin[i], at - around) : min(begin[i + 1], at + 2 * UNIT + around)])
-                if question >= QUESTION and answer >= ANSWER:
-                    best[i, item] = max(best.get((i, item), (0, 0, 0)), (score, question, answer))
-        rows = sorted(best)
-        return [i for i, _ in rows], [self.items[k] for _, k in rows], *([float(best[x][c]) for x in rows] for c in range(3))
-
-
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """The indexes of all items, one after the other; each is bounded by UNITS."""
-    ship(items.sparkSession)
-    answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
-    named = items.select(F.col("item_id").cast("string").alias("item"), F.col("text"), answer.alias("answer")).where("text IS NOT NULL")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, h, _, _ = W.words(b["full"])
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            once = np.r_[True, (np.diff(row) != 0) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64))], ["h"])
-
-    full = named.select(F.concat_ws(" ", "text", "answer").alias("full"))
-    total, chars = named.agg(F.count("*"), F.sum(F.length("text"))).first()
-    shards = max(1, -(-int(total + (chars or 0) / (5 * UNIT)) // UNITS))
-    shard = F.pmod(F.xxhash64("item", "text"), F.lit(shards))
-    seen = full.mapInArrow(distinct, "h bigint").groupBy("h").agg(F.count("*").alias("df"))
-    words = full.select(F.size(F.regexp_extract_all(F.lower("full"), F.lit("([0-9a-z\\x{80}-\\x{10ffff}]+)"))).alias("n")).agg(F.avg(F.least("n", F.lit(UNIT)))).first()[0]
-    frequency_of_all = Cut(items.sparkSession)(seen, "frequency")
-    for k in range(shards):
-        rows = named.where(shard == k).orderBy("item", "text").collect()
-        mine = [(r.item, *split_answer(r.text, r.answer)) for r in rows]
-        own = items.sparkSession.createDataFrame([(int(x),) for x in np.unique(np.concatenate([W.words(pa.array([f"{q} {a}" for _, q, a in mine], pa.string()))[1], np.zeros(0, np.uint64)])).view(np.int64)], "h bigint")
-        frequency = {r.h % 2**64: r.df for r in frequency_of_all.join(own, "h").collect()}
-        yield Index(mine, frequency, int(total), float(words or 1) or 1.0)
-
-
-def found_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(k, item_id, score, question, answer): each document and each item that it holds."""
-    texts = docs.select(key().alias("k"), "text").where("text IS NOT NULL")
-    out = None
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def match(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in W.slices(batch, "text"):
-                    row, *columns = shared.value.matches(part["text"])
-                    if row:
-                        yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(row)), *map(pa.array, columns)], ["k", "item_id", "score", "question", "answer"])
-
-        one = texts.mapInArrow(match, "k struct<doc_id:bigint,th:bigint>, item_id string, score double, question double, answer double")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question, answer); item_id as a string."""
-    return found_items(docs, items).select(F.col("k.doc_id").alias("doc_id"), "item_id", "score", "question", "answer")
-
-
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold an item; columns as they were. Found documents are few; the join's sides are sized at run time."""
-    cut = Cut(docs.sparkSession)
-    gone = cut(found_items(docs, items).select("k").distinct(), "contaminated")
-    return docs.select(F.struct("*").alias("row"), key().alias("k")).join(gone, "k", "left_anti").select("row.*")
+        if not len(known):
+            continue
+        # Distinct terms by half passage; a passage is a half and the next one.
+        halves = np.diff(w.first) // stride + 1
+        base = np.concatenate([[0], np.cumsum(halves)])
+        half = base[w.row[known]] + place[known] // stride
+        key = np.unique(half * len(index.terms) + term[known])
+        half, which = key // len(index.terms), key % len(index.terms)
+        bound = np.bincount(half, index.most[which], base[-1] + 1)
+        cut = np.searchsorted(half, np.arange(base[-1] + 1))
+        row_of = np.repeat(np.arange(j - i), halves)
+        following = np.append(row_of[1:] == row_of[:-1], False)
+        possible = np.flatnonzero(bound[:-1] + np.where(following, bound[1:], 0) >= threshold)
+        for p in possible.tolist():
+            terms = which[cut[p] : cut[p + 2] if following[p] and p + 2 < len(cut) else (len(which) if following[p] else cut[p + 1])]
+            terms = np.unique(terms)
+            if index.most[terms].sum() < threshold:
+                continue
+            row = int(row_of[p])
+            start = int(w.first[row] + (p - base[row]) * stride)
+            h = w.h[start : min(start + 2 * stride, w.first[row + 1])]
+            for item, score in index.wand(terms, threshold):
+                q, a = index.overlap(item, h)
+                if q >= QUESTION and a >= ANSWER:
+                    yield i + row, item, score, q, a, start - int(w.first[row])
+
+
+def _shards(benchmark: DataFrame) -> Iterator[Index]:
+    columns = {"question", "answer"} <= set(benchmark.columns)
+    parts = (F.col("question"), F.col("answer")) if columns else (F.col("text"), F.lit(None))
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), parts[0].cast("string").alias("q"), parts[1].cast("string").alias("a")).where("q IS NOT NULL")
+    held: list = []
+    for r in items.orderBy("item_id", "q").toLocalIterator():
+        held.append(r)
+        if len(held) == SHARD_ITEMS:
+            yield Index([x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None)
+            held = []
+    if held:
+        yield Index([x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, word): documents that hold a test item, and about where.
+
+    One row for each document and item, that of the best passage (of equal ones
+    the first).  Rows without doc_id or text, and items without item_id, text or
+    words, match nothing; of items with equal texts each is reported.  Rows that
+    share a doc_id are one document.
+    """
+    spark = ready(docs.sparkSession)
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
+    texts = narrow(docs)
+
+    def run(kept):
+        def search(batches):
+            index = kept.value
+            for b in batches:
+                rows = list(leaks(b.column("text"), index, threshold))
+                if not rows:
+                    continue
+                row, item, score, q, a, word = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(index.ids[list(item)]), pa.array(score), pa.array(q), pa.array(a), pa.array(word, pa.int64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
+
+        return texts.mapInArrow(search, schema)
+
+    found = [run(spark.sparkContext.broadcast(x)) for x in _shards(benchmark)]
+    if not found:
+        return spark.createDataFrame([], schema)
+    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "word"), F.struct("score", (-F.col("word")).alias("early"))).alias("best")
+    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that hold a test item."""
+    return without(docs, settle(contaminated(docs, benchmark).select("doc_id").distinct()))

@@ -1,173 +1,190 @@
-"""Exact deduplication of arriving documents against immutable snapshots.
-
-A snapshot holds, in shards by digest, the 128-bit digests of its distinct texts
-and for each shard a static binary-fuse filter of 8-bit fingerprints. An
-arriving batch is screened shard by shard; what passes the filter is a copy, or
-one in 256 of the rest, and joins the snapshot's exact bucket for a comparison of
-the bytes. Duplicates within the batch are grouped apart from that.
-
-Nulls, empties, ties: rows without text are never duplicates. Empty texts are
-copies of each other. Of rows with equal text the least doc_id stays (null
-first); whole rows that repeat leave one. A table without rows has no result.
+"""Exact dedup (7): static binary-fuse filters over an immutable snapshot screen incoming digests.
+
+The snapshot's 64-bit digests are split into buckets and each bucket gets a
+binary-fuse filter of 16-bit fingerprints, which no later batch changes.
+Incoming digests meet the filter of their bucket; the few that pass join the
+snapshot's exact bucket, where the bytes of the texts are compared.  Copies
+within the incoming batch are grouped by themselves.  Nothing is broadcast that
+grows with the data, and only texts whose digest occurs twice are moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import _words as W
-from tidemark.llm._keys import key, keyed
-from tidemark.shared import Cut
+from .common import few, narrow, partitions, ready, settle
+from .words import mix
 
-#: Digests of a snapshot to a shard, about; a shard's filter takes 1.13 bytes for each.
-SHARD = 131_072
+_EMPTY = "bucket int, seed long, segment int, segments int, cells binary"
 
 
 class BinaryFuse:
-    """Static filter of distinct 64-bit keys; no false negatives, one false positive in 256.
+    """A binary-fuse filter with three cells a key: no false negatives, about 2**-16 false positives, 18 bits a key."""
 
-    Three slots a key in consecutive segments; keys are peeled in rounds, all
-    slots that hold a single key at once, and fingerprints set in reverse.
-    """
-
-    def __init__(self, seed: int, segment: int, segments: int, table: np.ndarray) -> None:
-        self.seed, self.segment, self.segments, self.table = seed, segment, segments, table
+    def __init__(self, seed: int, segment: int, segments: int, cells: np.ndarray):
+        self.seed, self.segment, self.segments, self.cells = seed, segment, segments, cells
 
     @staticmethod
-    def _slots(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-        h = W.mix(keys ^ np.uint64(seed * W._BASE % 2**64))
-        first = ((h >> np.uint64(32)) * np.uint64(segments - 2) >> np.uint64(32)).astype(np.int64)
-        mask = np.uint64(segment - 1)
-        within = np.stack([h & mask, (h >> np.uint64(11)) & mask, W.mix(h) & mask]).astype(np.int64)
-        slots = (first[None, :] + np.arange(3)[:, None]) * segment + within
-        return slots, (W.mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(255)).astype(np.uint8)
+    def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys ^ np.uint64(seed))
+        start = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+        g = mix(h + np.uint64(0x9E3779B97F4A7C15))
+        at = np.empty((3, len(keys)), np.int64)
+        for k in range(3):
+            inner = (g >> np.uint64(20 * k)) & np.uint64(segment - 1)
+            at[k] = ((start + np.uint64(k)) * np.uint64(segment) + inner).astype(np.int64)
+        return at, (h & np.uint64(0xFFFF)).astype(np.uint16)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> BinaryFuse:
+        """Peel all keys that stand alone in a cell, round by round, then assign cells in the reverse order."""
         keys = np.unique(keys.astype(np.uint64))
         n = len(keys)
-        segment = 1 << max(2, int(np.floor(np.log(max(n, 2)) / np.log(3.33) + 2.25)))
-        factor = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 2)))
-        segments = max(3, int(np.ceil(n * factor / segment)) + 2)
-        for seed in range(1, 100):
-            if seed % 8 == 0:
-                segments += segments // 8 + 1
-            slots, print_ = cls._slots(keys, seed, segment, segments)
-            size = segment * segments
-            count = np.bincount(slots.ravel(), minlength=size)
-            which = np.zeros(size, np.int64)  # xor of the keys' numbers at a slot
-            for s in slots:
-                np.bitwise_xor.at(which, s, np.arange(n))
-            rounds, left = [], n
-            while left:
-                alone = np.flatnonzero(count == 1)
-                if not len(alone):
-                    break
-                k, first = np.unique(which[alone], return_index=True)
-                rounds.append((k, alone[first]))
-                left -= len(k)
-                for s in slots[:, k]:
-                    np.subtract.at(count, s, 1)
-                    np.bitwise_xor.at(which, s, k)
-            if not left:
-                table = np.zeros(size, np.uint8)
-                for k, at in reversed(rounds):
-                    a, b, c = slots[:, k]
-                    table[at] = 0
-                    table[at] = print_[k] ^ table[a] ^ table[b] ^ table[c]
-                return cls(seed, segment, segments, table)
-        raise ValueError("no seed peels these keys")
+        # Segments grow with the keys as in the published construction; a few spare cells help small sets.
+        segment = 1 << max(2, min(18, int(np.floor(np.log(max(n, 2)) / np.log(3.33) + 2.25))))
+        for attempt in range(100):
+            factor = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3))) * (1 + 0.05 * (attempt // 5))
+            segments = max(1, int(np.ceil(n * factor / segment)) - 2)
+            seed = int(mix(np.array([attempt + 1], np.uint64))[0])
+            at, prints = cls._places(keys, seed, segment, segments)
+            size = (segments + 2) * segment
+            degree = np.bincount(at.ravel(), minlength=size)
+            total = np.zeros(size, np.int64)
+            for k in range(3):
+                np.add.at(total, at[k], np.arange(n))
+            rounds: list[tuple[np.ndarray, np.ndarray]] = []
+            left = n
+            single = np.flatnonzero(degree == 1)
+            while left and len(single):
+                key, where = np.unique(total[single], return_index=True)
+                cell = single[where]
+                rounds.append((key, cell))
+                left -= len(key)
+                touched = at[:, key].ravel()
+                np.subtract.at(degree, touched, 1)
+                np.subtract.at(total, touched, np.tile(key, 3))
+                touched = np.unique(touched)
+                single = touched[degree[touched] == 1]
+            if left:
+                continue
+            cells = np.zeros(size, np.uint16)
+            for key, cell in reversed(rounds):
+                # A cell of this round isn't a cell of another key of the same or an earlier round's remainder.
+                value = prints[key].copy()
+                for k in range(3):
+                    value ^= np.where(at[k, key] == cell, np.uint16(0), cells[at[k, key]])
+                cells[cell] = value
+            return cls(seed, segment, segments, cells)
+        raise RuntimeError("no seed lets these keys be peeled")
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.contains(np.array([key], np.uint64))[0])
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
-        slots, print_ = self._slots(keys.astype(np.uint64), self.seed, self.segment, self.segments)
-        a, b, c = slots
-        return print_ == self.table[a] ^ self.table[b] ^ self.table[c]
-
-    def to_bytes(self) -> bytes:
-        return np.array([self.seed, self.segment, self.segments], np.int64).tobytes() + self.table.tobytes()
-
-    @classmethod
-    def from_bytes(cls, raw: bytes) -> BinaryFuse:
-        return cls(*np.frombuffer(raw, np.int64, 3).tolist(), np.frombuffer(raw, np.uint8, offset=24))
-
-
-def _digests(texts: DataFrame) -> DataFrame:
-    return texts.select("k", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("two"))
-
-
-def _filter(table: pa.Table) -> pa.Table:
-    made = BinaryFuse.build(table["one"].to_numpy().view(np.uint64))
-    return pa.table({"shard": table["shard"].slice(0, 1), "filter": pa.array([made.to_bytes()], pa.binary())})
-
-
-class Snapshot:
-    """entries (shard, one, two, k): each distinct digest with its least document; filters (shard, filter)."""
-
-    def __init__(self, entries: DataFrame, filters: DataFrame, shards: int) -> None:
-        self.entries, self.filters, self.shards = entries, filters, shards
-
-    @classmethod
-    def build(cls, digests: DataFrame, cut: Cut, name: str, expected: int) -> Snapshot:
-        shards = max(1, -(-expected // SHARD))
-        least = digests.groupBy("one", "two").agg(F.min("k").alias("k"))
-        entries = cut(least.select(F.pmod("one", F.lit(shards)).alias("shard"), "one", "two", "k"), f"{name}-entries")
-        filters = entries.select("shard", "one").groupBy("shard").applyInArrow(_filter, "shard bigint, filter binary")
-        return cls(entries, cut(filters, f"{name}-filters"), shards)
-
-    def screen(self, digests: DataFrame) -> DataFrame:
-        """The digests that this snapshot may hold."""
-
-        def test(own: pa.Table, other: pa.Table) -> pa.Table:
-            if not own.num_rows or not other.num_rows:
-                return own.slice(0, 0)
-            held = BinaryFuse.from_bytes(other["filter"][0].as_py()).contains(own["one"].to_numpy().view(np.uint64))
-            return own.filter(pa.array(held))
-
-        # a shard of arrivals is split by the second digest too, so that a group in memory stays small
-        keyed_ = digests.select(F.pmod("one", F.lit(self.shards)).alias("shard"), "one", "two", "k")
-        return keyed_.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(test, keyed_.schema).drop("shard")
+        at, prints = self._places(keys.astype(np.uint64), self.seed, self.segment, self.segments)
+        return (self.cells[at[0]] ^ self.cells[at[1]] ^ self.cells[at[2]]) == prints
+
+
+def _build(table: pa.Table) -> pa.Table:
+    digests = table["digest"].to_numpy().view(np.uint64)
+    f = BinaryFuse.build(digests)
+    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "seed": pa.array([f.seed], pa.uint64()).to_numpy().view(np.int64), "segment": pa.array([f.segment], pa.int32()), "segments": pa.array([f.segments], pa.int32()), "cells": pa.array([f.cells.tobytes()], pa.binary())})
+
+
+def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
+    """One filter for each bucket of a snapshot's digests; to be written beside the snapshot and kept as long as it."""
+    keyed = digests.select(F.pmod(F.col("digest"), F.lit(buckets)).cast("int").alias("bucket"), "digest").distinct()
+    return keyed.groupBy("bucket").applyInArrow(_build, _EMPTY)
+
+
+def _screen(batch: pa.Table, filters: pa.Table) -> pa.Table:
+    if not len(filters) or not len(batch):
+        return batch.select(["digest"]).slice(0, 0)
+    f = filters.to_pylist()[0]
+    fuse = BinaryFuse(f["seed"] & (2**64 - 1), f["segment"], f["segments"], np.frombuffer(f["cells"], np.uint16))
+    return batch.select(["digest"]).filter(pa.array(fuse.contains(batch["digest"].to_numpy().view(np.uint64))))
+
+
+def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """Digests that their bucket's filter may hold."""
+    keyed = digests.select(F.pmod(F.col("digest"), F.lit(buckets)).cast("int").alias("bucket"), "digest").distinct()
+    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "digest long")
+
+
+def _copies(batch: DataFrame, snapshot: DataFrame | None, kept_filters: DataFrame | None) -> DataFrame:
+    spark = ready(batch.sparkSession)
+    buckets = partitions(spark)
+    rows = narrow(batch).withColumn("old", F.lit(False))
+    if snapshot is not None:
+        rows = rows.unionByName(narrow(snapshot).withColumn("old", F.lit(True)))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    digests = settle(rows.select("doc_id", "old", "digest"))
+    repeated = digests.groupBy("old", "digest").count().where("count > 1").select("digest")
+    suspects = repeated
+    if snapshot is not None:
+        filters = kept_filters if kept_filters is not None else snapshot_filters(digests.where("old").select("digest"), buckets)
+        suspects = repeated.union(screen(digests.where("NOT old").select("digest"), filters, buckets))
+    suspects = settle(suspects.distinct())
+    # The byte check: texts are grouped by themselves within each suspected digest.
+    classes = (
+        rows.join(few(suspects), "digest", "left_semi")
+        .groupBy("digest", "text")
+        .agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("old"), F.col("doc_id"))).alias("oldest"), F.count("*").alias("copies"))
+        .select("digest", "text", F.coalesce("oldest", "least").alias("duplicate_of"), "copies")
+        .withColumn("texts", F.count("*").over(Window.partitionBy("digest")))
+        .where("texts > 1 OR copies > 1")
+        .withColumn("text", F.when(F.col("texts") > 1, F.col("text")))
+    )
+    classes = settle(classes)
+    plain = digests.join(classes.where("texts = 1"), "digest")
+    # Different texts with one digest, about never: the texts themselves are joined.
+    clash = rows.join(classes.where("texts > 1 AND copies > 1").drop("texts"), ["digest", "text"])
+    columns = ["doc_id", "digest", "duplicate_of", "copies"]
+    every = plain.select(columns).union(clash.select(columns))
+    return every.groupBy(columns).agg(F.count("*").alias("_n")).where("doc_id <> duplicate_of OR _n > 1").drop("_n")
+
+
+def copies(batch: DataFrame, snapshot: DataFrame | None = None, kept_filters: DataFrame | None = None) -> DataFrame:
+    """Rows of batch and snapshot that repeat another's text: (doc_id, duplicate_of, copies).
+
+    duplicate_of is the smallest doc_id with the same bytes, of the snapshot if
+    it has any, else of the batch.  copies counts the rows with that text.  A row
+    that repeats id and text of another is listed once with duplicate_of equal to
+    doc_id; a row without doc_id or text is never a copy; empty texts equal each
+    other.  Case, white space and Unicode forms count: only equal bytes are equal.
+    """
+    return _copies(batch, snapshot, kept_filters).drop("digest")
 
 
-def copies(docs: DataFrame, cut: Cut) -> DataFrame:
-    """(k, keep): each distinct (doc_id, text) that copies another one's text, with the one that stays.
+def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, batch): the older and the newer half of the range of ids, which grow as documents arrive.
 
-    The documents up to the median doc_id are made the snapshot, the later ones
-    arrive; so the one that stays has the least doc_id of all.
+    Rows without an id belong to the batch.
     """
-    texts = keyed(docs)
-    digests = cut(_digests(texts), "digests")
-    n, middle = digests.agg(F.count("*"), F.percentile_approx("k.doc_id", 0.5)).first()
-    early = (F.col("k.doc_id") <= F.lit(middle)) | F.col("k.doc_id").isNull() if middle is not None else F.lit(True)
-    old, new = digests.where(early), digests.where(~early)
-    snapshot = Snapshot.build(old, cut, "snapshot", n // 2)
-    # candidates: a group's documents with equal digests, of either generation
-    held = snapshot.screen(new).join(snapshot.entries.select("one", "two", F.col("k").alias("rep")), ["one", "two"]).select("k", "rep")
-    own = [g.join(g.groupBy("one", "two").agg(F.min("k").alias("rep"), F.count("*").alias("c")).where("c > 1"), ["one", "two"]).select("k", "rep") for g in (old, new)]
-    pairs = cut(held.unionAll(own[0]).unionAll(own[1]).distinct(), "pairs")
-    wanted = pairs.select("k").unionAll(pairs.select(F.col("rep").alias("k"))).distinct()
-    full = cut(texts.join(wanted, "k", "left_semi"), "texts")
-    # byte checks: grouped by the text itself, within the bucket of its digests
-    bucket = full.select("k", "text", F.xxhash64(F.lit(1), "text", F.length("text")).alias("two"))
-    least = bucket.groupBy("two", "text").agg(F.min("k").alias("keep"), F.collect_set("k").alias("ks"))
-    return least.select(F.explode("ks").alias("k"), "keep").where("k <> keep")
-
-
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, dup_of): each document whose text another one has, with that which stays; none for rows that repeat whole."""
-    found = copies(docs, Cut(docs.sparkSession))
-    return found.select(F.col("k.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("dup_of"))
+    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    middle = (ids.lo + ids.hi) // 2 if ids.lo is not None else 0
+    old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    return docs.where(old), docs.where(~old)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row for each text; rows without text all stay."""
-    cut = Cut(docs.sparkSession)
-    gone = cut(copies(docs, cut).select("k"), "gone")
-    rows = docs.select(F.struct("*").alias("row"), key().alias("k"))
-    rows = rows.join(gone, "k", "left_anti")
-    again = F.row_number().over(Window.partitionBy("k", "row.text").orderBy(F.lit(1)))
-    return rows.withColumn("again", again).where("again = 1 OR row.text IS NULL").select("row.*")
+    """docs without exact copies: of each text the row with the smallest doc_id of the snapshot, else of the batch, stays, once.
+
+    Rows without doc_id or text stay as they are; a doc_id that repeats with
+    other texts loses only the rows that are copies; columns stay as they are.
+    """
+    snapshot, batch = halves(docs)
+    found = settle(_copies(batch, snapshot, None).select("doc_id", "digest", "duplicate_of"))
+    gone = few(found.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")))
+    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_digest"])
+    kept = docs.join(gone, same, "left_anti")
+    again = settle(found.where("doc_id = duplicate_of").select("doc_id", "digest"))
+    if again.isEmpty():
+        return kept
+    # Whole rows that repeat: of those with one id and text, one stays.
+    again = few(again.select(F.col("doc_id").alias("_again"), F.col("digest").alias("_digest")))
+    same = (docs["doc_id"].cast("long") == again["_again"]) & (F.xxhash64(docs["text"]) == again["_digest"])
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

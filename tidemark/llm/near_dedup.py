@@ -1,24 +1,21 @@
-"""MinHash near-deduplication by SetSketch registers.
-
-A document is the set of its distinct word shingles. Register i of its sketch is
-floor(1 - log_b x) of the least x that the shingles draw from the i-th
-exponential distribution of rate A, cut to 0..Q+1: the registers are
-exponentially spaced, the sketch of a union is the registerwise maximum
-(``merge``), and two registers agree about as often as shingles do. Bands of
-register values give candidates; the Jaccard index of a candidate pair is then
-estimated from the numbers of greater, smaller and equal registers by joint
-maximum likelihood, and pairs that may reach the threshold are verified on the
-distinct shingles of their texts.
-
-Documents with one shingle set are collapsed first, so thousands of copies cost
-one representative. In a bucket every member is compared with the bucket's least
-member; where that leaves a bucket in more than one component, all its pairs
-across components are compared as well, so no partner is capped.
-
-Nulls, empties, ties: rows without text, or without a word in it, are never near
-duplicates. A null doc_id is allowed. Rows with equal doc_id and text are one
-document; equal doc_ids with different texts are two. The kept document of a
-group is the one of least doc_id (null first), then of least text hash.
+"""MinHash near-dedup (1) with SetSketch registers.
+
+Each document is the set of its word 3-grams.  Register i keeps
+K_i = floor(1 - log_b min h_i) over the set, with h_i exponential of rate a and
+K_i truncated to 0..q+1: exponentially spaced minima that merge by max and of
+which two sets share about as many as their Jaccard similarity says.
+
+1. Bands of ROWS register values put documents into buckets.  Documents with
+   equal registers are first reduced to one, and buckets with the same members
+   to one bucket, both exactly.
+2. In a bucket all pairs are estimated jointly by likelihood from how many
+   registers are greater, smaller and equal.  Of the pairs within SLACK of the
+   threshold a maximum spanning forest is kept: it joins at every level of
+   similarity the same documents as all pairs, with fewer edges than documents.
+   Buckets of over BLOCK documents are cut into pairs of blocks, all of which
+   are compared, by different tasks.
+3. Every edge left is verified by the exact similarity of the two whole texts.
+4. Groups are the connected components, by alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -30,176 +27,281 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import _words as W
-from tidemark.llm._keys import components, key, keyed
-from tidemark.shared import Cut
-
-SHINGLE, THRESHOLD = 3, 0.6
-BANDS, ROWS = 32, 5
-M = BANDS * ROWS
-B, A, Q = 1.001, 20.0, 2**16 - 2
-#: Standard deviations of the likelihood estimate below the threshold at which a pair is still verified.
-SLACK = 4.0
-
-_rng = np.random.default_rng(7)
-_MUL = _rng.integers(0, 2**32, (2, M), dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, M, dtype=np.uint32)
-_BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-
-
-def registers(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """[len(at), M] registers of the nonempty groups of hashes that begin at ``at``."""
-    x = (shingle >> np.uint64(32)).astype(np.uint32) ^ shingle.astype(np.uint32)
-    low = np.empty((len(at), M), np.uint32)
-    v, s = np.empty_like(x), np.empty_like(x)
-    for i in range(M):
-        np.multiply(x, _MUL[0, i], out=v)
-        np.add(v, _ADD[i], out=v)
-        np.right_shift(v, np.uint32(16), out=s)
-        np.bitwise_xor(v, s, out=v)
-        np.multiply(v, _MUL[1, i], out=v)
-        low[:, i] = np.minimum.reduceat(v, at)
-    least = -np.log1p(-(low + 0.5) / 2**32) / A
-    return np.clip(np.floor(1 - np.log(least) / np.log(B)), 0, Q + 1).astype(np.uint16)
-
-
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+from .common import narrow, only, partitions, ready, settle, without
+from .words import Words, pieces
+
+GRAM = 3
+THRESHOLD = 0.55
+SLACK = 0.15
+REGISTERS, ROWS = 128, 4
+BASE, RATE, TOP = 1.02, 20.0, (1 << 15) - 2
+BLOCK = 2048
+
+_rng = np.random.default_rng(20_240_229)
+_FACTORS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
+_ADDENDS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+
+
+def shingles(w: Words, n_rows: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all word n-grams; a text of fewer words is one shingle, one without words has none."""
+    h, at = w.grams(gram)
+    row = w.row[at]
+    count = np.diff(w.first)
+    short = np.flatnonzero((count > 0) & (count < gram))
+    if len(short):
+        extra = [int(np.bitwise_xor.reduce(w.h[w.first[r] : w.first[r + 1]] * np.arange(1, 2 * count[r], 2, dtype=np.uint64))) for r in short]
+        row, h = np.concatenate([row, short]), np.concatenate([h, np.array(extra, np.uint64)])
+        order = np.argsort(row, kind="stable")
+        row, h = row[order], h[order]
+    return row, h
+
+
+def registers(least: np.ndarray) -> np.ndarray:
+    """Register values of the least 32-bit hashes."""
+    h = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
+    return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
+
+
+def sketches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, rows that have words, their registers), by ranges of rows."""
+    for i, j, w in pieces(texts):
+        row, h = shingles(w, j - i)
+        if not len(h):
+            continue
+        x = (h >> np.uint64(32)).astype(np.uint32)
+        begins = np.flatnonzero(np.diff(row, prepend=-1))
+        least = np.empty((len(begins), REGISTERS), np.uint32)
+        buffer = np.empty_like(x)
+        for k in range(REGISTERS):
+            np.multiply(x, _FACTORS[k], out=buffer)
+            np.add(buffer, _ADDENDS[k], out=buffer)
+            least[:, k] = np.minimum.reduceat(buffer, begins)
+        yield i, row[begins], registers(least)
+
+
+def merge(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Registers of the union of two sets."""
-    return np.maximum(a, b)
-
-
-def estimate(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Jaccard indexes that maximise the joint likelihood of register comparisons, the sizes being known.
+    return np.maximum(one, other)
 
-    With u and v the sizes' shares, a register of the first is greater with
-    probability p(u - vJ) and smaller with p(v - uJ), p(x) = -log_b(1 - x (b-1)/b).
-    The likelihood is concave in J, so ternary search finds the maximum.
-    """
-    more, less = (ka > kb).sum(1), (ka < kb).sum(1)
-    same = ka.shape[1] - more - less
-    u = na / (na + nb)
-    v = 1 - u
 
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
+def cardinality(regs: np.ndarray) -> np.ndarray:
+    return regs.shape[-1] * (1 - 1 / BASE) / (RATE * np.log(BASE) * (BASE ** -regs.astype(float)).sum(-1))
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        g, s = p(u - v * j), p(v - u * j)
-        return more * np.log(np.maximum(g, 1e-12)) + less * np.log(np.maximum(s, 1e-12)) + same * np.log(np.maximum(1 - g - s, 1e-12))
 
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(32):
-        x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        up = likelihood(x) < likelihood(y)
-        lo, hi = np.where(up, x, lo), np.where(up, hi, y)
+def likeliest(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n_one: np.ndarray, n_other: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of greatest likelihood, given in how many registers one set is greater, less and equal, and both sizes."""
+    u = n_one / (n_one + n_other)
+    v = 1 - u
+    scale = (BASE - 1) / BASE
+
+    def log_likelihood(j):
+        p = -np.log1p(-np.clip(u - v * j, 0, 1) * scale) / np.log(BASE)
+        m = -np.log1p(-np.clip(v - u * j, 0, 1) * scale) / np.log(BASE)
+        tiny = 1e-12
+        return greater * np.log(p + tiny) + less * np.log(m + tiny) + equal * np.log(np.maximum(1 - p - m, 0) + tiny)
+
+    lo, hi = np.zeros_like(u), np.minimum(u / v, v / u)
+    for _ in range(18):  # the likelihood is concave
+        a, b = hi - 0.618034 * (hi - lo), lo + 0.618034 * (hi - lo)
+        left = log_likelihood(a) >= log_likelihood(b)
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
     return (lo + hi) / 2
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.slices(batch, "text"):
-            row, h, _, _ = W.words(part["text"])
-            r, s = W.shingles(row, h, part.num_rows, SHINGLE)
-            if not len(r):
-                continue
-            at = np.flatnonzero(np.r_[True, np.diff(r) != 0])
-            k = registers(s, at)
-            mixed = W.mix(s)
-            one, two = np.add.reduceat(mixed, at), np.add.reduceat(W.mix(mixed ^ np.uint64(W._BASE)), at)
-            bands = W.mix((k.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND).sum(2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(W._BASE))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part["k"].take(pa.array(r[at])),
-                    pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)),
-                    pa.array(np.diff(np.r_[at, len(r)]).astype(np.int64)),
-                    pa.array([x.tobytes() for x in k], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64))),
-                ],
-                ["k", "one", "two", "n", "sketch", "bands"],
-            )
-
-
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: float) -> Iterator[tuple[int, int, float]]:
+    """Edges of a maximum spanning forest of the pairs estimated at the floor or above; with two blocks, of the pairs across them."""
+    n = len(ids)
+    size = cardinality(regs)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 23) // (n * regs.shape[1]))
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        equal = (regs[a:b, None, :] == regs[None, :, :]).sum(-1)
+        # A share of equal registers far below the floor can't be estimated at the floor.
+        i, j = np.nonzero(equal >= (floor - 0.12) * regs.shape[1])
+        keep = i + a < j
+        if side is not None:
+            keep &= side[i + a] != side[j]
+        i, j = i[keep] + a, j[keep]
+        if len(i):
+            for c in range(0, len(i), 1 << 16):
+                x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                e = equal[x - a, y]
+                g = (regs[x] > regs[y]).sum(-1)
+                est = likeliest(g, regs.shape[1] - e - g, e, size[x], size[y])
+                ok = est >= floor
+                found.append((x[ok], y[ok], est[ok]))
+    if not found:
+        return
+    x, y, est = (np.concatenate(k) for k in zip(*found))
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k in np.lexsort((ids[y], ids[x], -est)):
+        p, q = root(int(x[k])), root(int(y[k]))
+        if p != q:
+            parent[q] = p
+            one, other = int(ids[x[k]]), int(ids[y[k]])
+            if one != other:
+                yield min(one, other), max(one, other), float(est[k])
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, regs, signature) of the documents with words."""
+
+    def sketch(batches):
+        for b in batches:
+            for i, rows, regs in sketches(b.column("text")):
+                ids = b.column("doc_id").take(pa.array(rows + i))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "regs"])
+
+    return narrow(docs).mapInArrow(sketch, "doc_id long, regs binary").withColumn("signature", F.xxhash64("regs"))
+
+
+def _bands(batches):
+    for b in batches:
+        regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS).astype(np.uint64)
+        key = np.full(regs.shape[:2], 0, np.uint64) + np.arange(regs.shape[1], dtype=np.uint64)
+        for k in range(ROWS):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, k] + np.uint64(1)
+            key ^= key >> np.uint64(29)
+        ids = np.repeat(b.column("doc_id").to_numpy(), regs.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel().view(np.int64))], ["doc_id", "key"])
+
+
+def _runs(batches, columns: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows that agree in the given columns, of batches sorted by them."""
+    held: list[pa.Table] = []
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        ka, kb = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, M) for c in ("sa", "sb"))
-        j = estimate(ka, kb, b["na"].to_numpy(), b["nb"].to_numpy())
-        keep = pa.array(j >= THRESHOLD - SLACK * np.sqrt(THRESHOLD * (1 - THRESHOLD) / M))
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(j)], ["a", "b", "estimate"]).filter(keep)
-
-
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact Jaccard indexes of the shingle sets of paired texts."""
-    n = len(left)
-    sides = [W.shingles(*W.words(c)[:2], n, SHINGLE) for c in (left, right)]
-    r, s = (np.concatenate([x[i] for x in sides]) for i in (0, 1))
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
-    twice = (r[1:] == r[:-1]) & (s[1:] == s[:-1])
-    common = np.bincount(r[1:][twice], minlength=n)
-    total = np.bincount(r, minlength=n) - common
-    return common / np.maximum(total, 1)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.slices(batch, "ta", "tb"):
-            j = jaccard(part["ta"], part["tb"])
-            yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["estimate"], pa.array(j)], ["a", "b", "estimate", "jaccard"]).filter(pa.array(j >= THRESHOLD))
-
-
-def near_groups(docs: DataFrame, cut: Cut) -> DataFrame:
-    """(k, root): each document that has near duplicates and isn't its group's least, with that least one."""
-    texts = keyed(docs)
-    ktype = "struct<doc_id:bigint,th:bigint>"
-    sketches = cut(texts.mapInArrow(_sketch, f"k {ktype}, one bigint, two bigint, n bigint, sketch binary, bands array<bigint>"), "sketch")
-    least = sketches.groupBy("one", "two").agg(F.min("k").alias("rep"), F.count("*").alias("c"))
-    same = cut(sketches.select("k", "one", "two").join(least.where("c > 1"), ["one", "two"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    reps = sketches.dropDuplicates(["k"]).join(same.select(F.col("a").alias("k")), "k", "left_anti")
-    reps = cut(reps.select("k", "n", "sketch", "bands"), "reps")
-    cut.drop("sketch")
-    buckets = cut(reps.select("k", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("k").alias("ks")).where("size(ks) > 1").select("ks").distinct(), "buckets")
-
-    stars = buckets.select(F.array_min("ks").alias("b"), F.explode("ks").alias("a")).where("a <> b").select("a", "b").distinct()
-    first, tested = _edges(stars, reps, texts, cut, "stars")
-    comps = components(first, cut, "first")
-    members = buckets.select(F.monotonically_increasing_id().alias("bucket"), "ks").select("bucket", F.explode("ks").alias("k"))
-    members = members.join(comps, "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
-    members = cut(members, "members")
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    split = members.join(mixed, "bucket", "left_semi")
-    left = split.select("bucket", F.col("k").alias("a"), F.col("root").alias("ra"))
-    right = split.select("bucket", F.col("k").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "bucket").where("ra <> rb AND a > b").select("a", "b").distinct()
-    across = across.join(tested, ["a", "b"], "left_anti")
-    second, _ = _edges(across, reps, texts, cut, "across")
-    return components(first.unionAll(second).unionAll(same), cut, "all")
-
-
-def _edges(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cut: Cut, name: str) -> tuple[DataFrame, DataFrame]:
-    pairs = cut(pairs, name)
-    one = reps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = reps.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    ktype = "struct<doc_id:bigint,th:bigint>"
-    likely = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_likely, f"a {ktype}, b {ktype}, estimate double"), f"{name}-likely")
-    wanted = likely.select(F.col("a").alias("k")).unionAll(likely.select(F.col("b").alias("k"))).distinct()
-    full = cut(texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]), f"{name}-texts")
-    both = likely.join(full.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(full.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    edges = cut(both.mapInArrow(_verify, f"a {ktype}, b {ktype}, estimate double, jaccard double").select("a", "b"), f"{name}-edges")
-    cut.drop(f"{name}-texts", f"{name}-likely")
-    return edges, pairs
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, dup_of): each near duplicate with the document of its group that stays."""
-    groups = near_groups(docs, Cut(docs.sparkSession))
-    return groups.select(F.col("k.doc_id").alias("doc_id"), F.col("root.doc_id").alias("dup_of"))
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the documents that near_duplicates names; columns as they were."""
-    groups = near_groups(docs, Cut(docs.sparkSession)).select("k")
-    rows = docs.select(F.struct("*").alias("row"), key().alias("k"))
-    return rows.join(groups, "k", "left_anti").select("row.*")
+        t = pa.Table.from_batches([b])
+        keys = [t[c].to_numpy() for c in columns]
+        change = np.zeros(len(t), bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), len(t)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            now = tuple(k[x] for k in keys)
+            if held and now != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.concat_tables(held)
+
+
+def candidates(sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b, estimate) that join all documents whose estimates, in some bucket, are within SLACK of the threshold."""
+    spark = ready(sketch.sparkSession)
+    floor = threshold - SLACK
+    first = Window.partitionBy("signature")
+    marked = settle(sketch.withColumn("first", F.min("doc_id").over(first)))
+    same = marked.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("estimate"))
+    chosen = marked.where("doc_id = first").select("doc_id", "regs")
+    bucket = Window.partitionBy("key")
+    rows = (
+        chosen.mapInArrow(_bands, "doc_id long, key long")
+        .withColumn("n", F.count("*").over(bucket))
+        .where("n > 1")
+        .withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(bucket))
+        .withColumn("also", F.bit_xor(F.xxhash64("doc_id", F.lit(1))).over(bucket))
+        .select("doc_id", "n", "members", "also")
+        .distinct()
+    )
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = (
+        rows.withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("doc_id", "members", "also", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    )
+    task = ["members", "also", "i", "j"]
+    rows = rows.join(chosen, "doc_id").repartition(partitions(spark), *task).sortWithinPartitions(*task)
+
+    def edges(batches):
+        for t in _runs(batches, task):
+            if len(t) < 2:
+                continue
+            regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            side = t["own"].to_numpy() if t["i"][0] != t["j"][0] else None
+            got = list(_forest(t["doc_id"].to_numpy(), regs, side, floor))
+            if got:
+                a, b, e = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], ["a", "b", "estimate"])
+
+    near = rows.mapInArrow(edges, "a long, b long, estimate double")
+    return near.union(same).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for i, j, w in pieces(texts):
+        row, h = shingles(w, j - i)
+        cut = np.searchsorted(row, np.arange(j - i + 1))
+        out += [np.unique(h[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+    return out
+
+
+def verified(edges: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b, jaccard) whose whole texts are at least as similar as the threshold, exactly."""
+    ids = settle(edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct())
+    texts = only(narrow(docs), ids)
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+
+    def check(batches):
+        for b in batches:
+            pairs = zip(_sets(b.column("text_a")), _sets(b.column("text_b")))
+            j = np.array([(c := len(np.intersect1d(x, y, assume_unique=True))) / max(1, len(x) + len(y) - c) for x, y in pairs])
+            ok = pa.array(np.flatnonzero(j >= threshold))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok), pa.array(j).take(ok)], ["a", "b", "jaccard"])
+
+    return edges.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, jaccard double")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of all ends of edges (a, b); group_id is the smallest id that is connected."""
+    at = settle(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct())
+    state = None
+    while True:
+        # Large star: all larger neighbours of a node go to its smallest one.
+        both = at.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(at.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        large = least.where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        small = large.withColumn("m", F.min("lo").over(Window.partitionBy("hi")))
+        both = small.select(F.col("m").alias("lo"), F.col("hi")).union(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
+        at = settle(both.where("lo <> hi").distinct())
+        now = at.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
+        if now == state or not now[0]:
+            break
+        state = now
+    return at.select(F.col("hi").alias("doc_id"), F.col("lo").alias("group_id"))
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, duplicate_of, group_size): documents whose group has one with a smaller id, duplicate_of.
+
+    A group holds the documents that verified pairs connect, exact copies
+    included.  Rows without doc_id or text, and texts without words, are in no
+    group; texts of fewer than GRAM words equal only texts of the same words; rows
+    that share a doc_id are one document, near another if one of its texts is.
+    """
+    ready(docs.sparkSession)
+    edges = settle(candidates(sketched(docs), threshold))
+    pairs = components(verified(edges, docs, threshold))
+    sizes = pairs.groupBy("group_id").agg((F.count("*") + 1).alias("group_size"))
+    return pairs.join(sizes, "group_id").select("doc_id", F.col("group_id").alias("duplicate_of"), "group_size")
+
+
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one document of each group: the one with the smallest doc_id.  Rows that are in no group stay."""
+    return without(docs, settle(near_copies(docs, threshold).select("doc_id")))

@@ -1,18 +1,14 @@
-"""Toxicity by a factorization machine over hashed terms.
-
-A document is the set of its distinct words and of the beginnings of longer words,
-hashed to 2**BITS features. The
-machine adds to a bias and linear weights the inner products of the features'
-factors, so it learns pairs of terms, such as an insult with the mention of a
-group, that no sum of single weights tells from either alone. It is fitted on the
-terms whose share of toxic documents differs from the whole's. Linear weights are
-found by FTRL with an L1 penalty, factors by AdaGrad; the score above which a
-document is rejected is set by cross-validation.
-
-Nulls, empties, ties: documents without text, or without a known term, get the
-bias and stay. Labels of a doc_id that repeats count as toxic if one of them is;
-null labels don't count. Rows that repeat get the same score. Without labels of
-both classes nothing is rejected. Whole texts are read, of any length.
+"""Toxicity (10): a factorization machine over hashed terms.
+
+score = w0 + sum of w[t] over the document's terms
+      + sum over pairs of terms of <v[t], v[u]>
+The pair part is computed as half of |sum v|^2 - sum |v|^2, in time linear in
+the terms.  It learns pairs, such as an insult beside a mention of a group, that
+no sum of single weights can tell from either word alone.
+
+The machine is fitted in numpy on a bounded sample of the labelled documents
+(SAMPLE) and its weights, whose size is fixed by BITS and FACTORS, go to the
+executors, where whole Arrow batches of whole texts are scored at once.
 """
 
 from __future__ import annotations
@@ -21,179 +17,161 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from tidemark.llm import _words as W
-from tidemark.shared import ship
+from .common import few, narrow, ready, settle, without
+from .words import pieces
+
+#: Most labelled documents that the machine is fitted on, chosen by a hash of their ids.
+SAMPLE = 20_000
+#: Hashed terms and factors of each; terms seen in fewer than LEAST sampled documents have no weight.
+BITS, FACTORS, LEAST = 20, 4, 4
+#: Bytes of a stem, and of the least word that has one.
+STEM = (4, 6)
+THRESHOLD = 0.5
 
-BITS, FACTORS, EPOCHS, BATCH, FOLDS = 18, 8, 20, 32, 4
-RATE, VRATE, L1, SPREAD = 0.3, 0.1, 0.1, 0.05
-#: Terms, as many standard deviations off the share of toxic documents, that the machine is fitted on.
-SALIENT = 3.5
-#: Words longer than this count by their first bytes too: stems of inflected languages.
-PREFIX = 4
-#: Terms that fewer of the labelled documents hold aren't features.
-MIN_DOCS = 3
-#: The bound of the labelled sample: so many labels, those of least hash.
-MAX_LABELLED = 10_000
+
+def _terms(texts: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Distinct hashed terms by document: rows i..j, then the row and the term of each.
+
+    Terms are words and, for longer words, stems, which inflected forms share.
+    """
+    for i, j, w in pieces(texts):
+        if not len(w.h):
+            yield i, j, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            continue
+        stems = w.stems(*STEM)
+        long = stems != 0
+        row = np.concatenate([w.row, w.row[long]]).astype(np.int64)
+        key = np.unique((row << bits) | (np.concatenate([w.h, stems[long]]) >> np.uint64(64 - bits)).astype(np.int64))
+        yield i, j, key >> bits, key & ((1 << bits) - 1)
 
 
 class Machine:
-    """bias + w[t] summed over terms + <v[t], v[u]> summed over pairs of terms."""
-
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, threshold: float) -> None:
-        used = np.flatnonzero((w != 0) | (v != 0).any(1))
-        self.at = np.full(len(w), -1, np.int32)
-        self.at[used] = np.arange(len(used))
-        self.bias, self.w, self.v, self.threshold = bias, w[used], v[used], threshold
-
-    def scores(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Log odds of n documents from (row, feature) of their words, which may repeat."""
-        f = self.at[term]
-        r, f = row[f >= 0], f[f >= 0].astype(np.int64)
-        pair = np.unique(r * (len(self.w) + 1) + f)
-        r, f = np.divmod(pair, len(self.w) + 1)
-        out = np.full(n, self.bias) + np.bincount(r, self.w[f], n)
-        for j in range(self.v.shape[1]):
-            x = self.v[f, j]
-            out += (np.bincount(r, x, n) ** 2 - np.bincount(r, x * x, n)) / 2
+    """A fitted factorization machine; w and v have rows only for the terms kept."""
+
+    def __init__(self, bits: int, w0: float, slot: np.ndarray, w: np.ndarray, v: np.ndarray):
+        self.bits, self.w0, self.slot, self.w, self.v = bits, w0, slot, w, v
+
+    def _score(self, n: int, row: np.ndarray, s: np.ndarray) -> np.ndarray:
+        out = np.full(n, self.w0)
+        if len(row):
+            out += np.bincount(row, self.w[s], n)
+            for f in range(self.v.shape[1]):
+                x = self.v[s, f]
+                out += 0.5 * (np.bincount(row, x, n) ** 2 - np.bincount(row, x * x, n))
         return out
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Probability of toxicity of each text; an empty text has that of no evidence."""
+        out = np.empty(len(texts))
+        for i, j, row, term in _terms(texts, self.bits):
+            s = self.slot[term]
+            known = s >= 0
+            out[i:j] = self._score(j - i, row[known], s[known])
+        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
-def terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the words of a text column and of the beginnings of longer words; they may repeat."""
-    low = pc.utf8_lower(col)
-    row, h, begin, end = W.words(low, lower=False)
-    prefix_row, prefix = W.prefixes(low, row, begin, end, PREFIX)
-    return np.concatenate([row, prefix_row]), (np.concatenate([h, prefix]) >> np.uint64(64 - BITS)).astype(np.int64)
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, least: int = LEAST, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, seed: int = 7) -> Machine:
+    """AdaGrad on the logistic loss, both classes weighing the same; rows has the hashed terms of each document.
 
-def _descend(sets: list[np.ndarray], y: np.ndarray, seed: int) -> Machine:
-    rng = np.random.default_rng(seed)
-    d = 1 << BITS
-    size, share = [len(x) for x in sets], y.mean()
-    count, hits = (np.bincount(np.concatenate(sets), c, d) for c in (None, np.repeat(y, size)))
-    kept = (count >= MIN_DOCS) & (np.abs(hits - share * count) > SALIENT * np.sqrt(count * share * (1 - share) + 1e-9))
-    sets = [s[kept[s]] for s in sets]
-    w, v = np.zeros(d), np.zeros((d, FACTORS))
-    v[kept] = rng.normal(0, SPREAD, (int(kept.sum()), FACTORS))
-    bias = float(np.log(y.mean() / (1 - y.mean())))
-    z, g2, v2, bias2 = np.zeros(d), np.zeros(d), np.full((d, FACTORS), 1e-2), 1.0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(order), BATCH):
-            b = order[lo : lo + BATCH]
-            f, r = np.concatenate([sets[i] for i in b]), np.repeat(np.arange(len(b)), [len(sets[i]) for i in b])
-            if not len(f):
-                continue
-            vf = v[f]
-            total = np.stack([np.bincount(r, vf[:, j], len(b)) for j in range(FACTORS)], 1)
-            raw = bias + np.bincount(r, w[f], len(b)) + ((total**2).sum(1) - np.bincount(r, (vf**2).sum(1), len(b))) / 2
-            err = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[b]
-            bias2 += err.sum() ** 2
-            bias -= 0.1 * err.sum() / np.sqrt(bias2)
-            u, back = np.unique(f, return_inverse=True)
-            g = np.bincount(back, err[r], len(u))
-            step = (np.sqrt(g2[u] + g * g) - np.sqrt(g2[u])) / RATE
-            z[u] += g - step * w[u]
-            g2[u] += g * g
-            w[u] = np.where(np.abs(z[u]) <= L1, 0, -(z[u] - np.sign(z[u]) * L1) / ((1 + np.sqrt(g2[u])) / RATE))
-            gv = err[r][:, None] * (total[r] - vf)
-            gv = np.stack([np.bincount(back, gv[:, j], len(u)) for j in range(FACTORS)], 1) + 1e-2 * v[u]
-            v2[u] += gv * gv
-            v[u] -= VRATE * gv / np.sqrt(v2[u])
-    return Machine(bias, w, v, 0.0)
-
-
-def fit(sets: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Machine:
-    """Machine from documents' distinct features and labels 0 or 1.
-
-    The threshold is in the middle between scores at the best F1 of machines fitted without the fold scored.
+    With no labelled row of either class there is nothing to learn: everything is then clean.
     """
-    y = np.asarray(toxic, float)
-    if min((y == 0).sum(), (y == 1).sum()) < FOLDS:
-        return Machine(-10.0, np.zeros(1 << BITS), np.zeros((1 << BITS, FACTORS)), 0.0)
+    size = 1 << bits
+    labels = np.asarray(labels, float)
+    slot = np.full(size, -1, np.int32)
+    positive = labels.sum()
+    if not 0 < positive < len(labels):
+        return Machine(bits, -4.0, slot, np.zeros(1), np.zeros((1, factors)))
+    length = np.array([len(r) for r in rows])
+    term = np.concatenate(rows) if length.sum() else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(rows)), length)
+    df = np.bincount(term, minlength=size)
+    df1 = np.bincount(term, labels[doc], minlength=size)
+    # Terms whose share among the toxic differs by less than chance would explain only add noise to long texts.
+    p = positive / len(labels)
+    z = (df1 - df * p) / np.sqrt(np.maximum(df, 1) * p * (1 - p))
+    kept = np.flatnonzero((df >= least) & (np.abs(z) >= 4))
+    if not len(kept):
+        return Machine(bits, -4.0, slot, np.zeros(1), np.zeros((1, factors)))
+    slot[kept] = np.arange(len(kept))
+    s = slot[term]
+    ok = s >= 0
+    s, doc = s[ok], doc[ok]
     rng = np.random.default_rng(seed)
-    fold = np.empty(len(y), int)
-    for c in (0, 1):
-        own = rng.permutation(np.flatnonzero(y == c))
-        fold[own] = np.arange(len(own)) % FOLDS
-    got = np.empty(len(y))
-    for k in range(FOLDS):
-        rows = np.flatnonzero(fold == k)
-        m = _descend([sets[i] for i in np.flatnonzero(fold != k)], y[fold != k], seed + k + 1)
-        got[rows] = m.scores(np.repeat(np.arange(len(rows)), [len(sets[i]) for i in rows]), np.concatenate([sets[i] for i in rows]).astype(np.int64), len(rows))
-    made = _descend(sets, y, seed)
-    order = np.argsort(-got, kind="stable")
-    s, hit = got[order], np.cumsum(y[order])
-    f1 = np.where(np.r_[s[1:] < s[:-1], True], 2 * hit / (np.arange(1, len(s) + 1) + y.sum()), 0)
-    best = int(np.argmax(f1))
-    made.threshold = float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best] - 1)
-    return made
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.slices(batch, "text"):
-            row, term = terms(part["text"])
-            pair = np.unique((row << BITS) | term)
-            at = W.starts(pair >> BITS, part.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part["toxic"], lists], ["toxic", "terms"])
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """A machine from the MAX_LABELLED labels of least hash; that many rows at most are broadcast and collected."""
-    ship(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    found = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_sets, "toxic int, terms array<int>").toArrow()
-    column = found["terms"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
-    y = found["toxic"].to_numpy()
-    order = sorted(range(len(y)), key=lambda i: (y[i], flat[at[i] : at[i + 1]].tobytes()))  # whatever order they came in
-    return fit([flat[at[i] : at[i + 1]] for i in order], y[order])
-
-
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs in a struct ``row`` with ``p``, the probability of toxicity, and ``reject``."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part in W.slices(batch, "__text"):
-                s = m.scores(*terms(part["__text"]), part.num_rows)
-                reject = (s > m.threshold) & part["__text"].is_valid().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array(1 / (1 + np.exp(-s))), pa.array(reject)], ["row", "p", "reject"])
-
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("__text"))
-    schema = StructType().add("row", rows.schema["row"].dataType).add("p", DoubleType()).add("reject", BooleanType())
-    return rows.mapInArrow(score, schema)
-
-
-def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p) of the documents that are rejected."""
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    machine = train(narrow, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                s = m.scores(*terms(part["text"]), part.num_rows)
-                reject = (s > m.threshold) & part["text"].is_valid().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(1 / (1 + np.exp(-s)))], ["doc_id", "p"]).filter(pa.array(reject))
-
-    return narrow.mapInArrow(score, "doc_id bigint, p double")
-
-
-def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rejected ones; columns as they were."""
-    return scored(docs, train(docs, labels)).where("NOT reject").select("row.*")
+    n, k = len(rows), len(kept)
+    m = Machine(bits, 0.0, slot, np.zeros(k), rng.normal(0, 0.05, (k, factors)))
+    weight = np.where(labels > 0, 0.5 / positive, 0.5 / (n - positive)) * n
+    order_start = np.searchsorted(doc, np.arange(n + 1))
+    g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, factors), 1e-8)
+    batch = max(64, n // 40)
+    for _ in range(epochs):
+        perm = rng.permutation(n)
+        for b in range(0, n, batch):
+            take = perm[b : b + batch]
+            count = order_start[take + 1] - order_start[take]
+            row = np.repeat(np.arange(len(take)), count)
+            at = np.repeat(order_start[take] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            ss = s[at]
+            sums = np.stack([np.bincount(row, m.v[ss, f], len(take)) for f in range(factors)], 1)
+            out = m._score(len(take), row, ss)
+            err = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - labels[take]) * weight[take] / len(take)
+            d0 = err.sum()
+            dw = np.bincount(ss, err[row], k) + l2 * m.w
+            dv = np.stack([np.bincount(ss, err[row] * (sums[row, f] - m.v[ss, f]), k) for f in range(factors)], 1) + l2 * m.v
+            g0 += d0 * d0
+            gw += dw * dw
+            gv += dv * dv
+            m.w0 -= rate * d0 / np.sqrt(g0)
+            m.w -= rate * dw / np.sqrt(gw)
+            m.v -= 0.3 * rate * dv / np.sqrt(gv)
+    return m
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of at most so many labelled documents, chosen by a hash of their ids."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = settle(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    return narrow(docs).join(few(chosen), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, bits: int = BITS) -> Machine:
+    """The machine fitted on a sample; a document labelled twice counts as toxic if either says so."""
+
+    def terms(batches):
+        for b in batches:
+            found: list[bytes] = []
+            for i, j, row, term in _terms(b.column("text"), bits):
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                found += [term[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
+
+    got = sample(docs, labels, most).mapInArrow(terms, "doc_id long, toxic int, terms binary").toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"].to_pylist()], got["toxic"].to_numpy(), bits)
+
+
+def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
+    """Documents found toxic: (doc_id, score), score at least the threshold.
+
+    Whole texts are scored.  Rows without doc_id or text aren't judged; an empty
+    text is clean; equal texts get equal scores; a repeated id is listed once,
+    with its highest score.
+    """
+    spark = ready(docs.sparkSession)
+    machine = spark.sparkContext.broadcast(train(docs, labels, most))
+
+    def score(batches):
+        m = machine.value
+        for b in batches:
+            s = m.scores(b.column("text"))
+            hit = np.flatnonzero(s >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(hit)), pa.array(s[hit])], ["doc_id", "score"])
+
+    return narrow(docs).mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.max("score").alias("score"))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the toxic ones; fitted on those of docs that have labels."""
+    return without(docs, settle(toxic(docs, labels).select("doc_id")))
