@@ -3,10 +3,13 @@
 Whole documents are cut into overlapping passages, long enough that any run of
 the longest item's length lies within one.  A passage is a query; block-max
 WAND finds all items whose BM25 score, as a share of the item's score for
-itself, reaches THRESHOLD: before a list is opened, the sum of greatest impacts
-must reach the threshold, and before an item is scored, the sum of its blocks'
-greatest impacts must.  The items found are then verified: enough word n-grams
-of the question part and of the answer part must occur in the passage.
+itself, reaches THRESHOLD.  Items are cut into BLOCKS ranges and each term has
+its greatest impact in each.  The sums of these over a passage's terms bound
+all scores in a range; they're computed for a whole Arrow batch of passages at
+once, and WAND runs over the ranges whose bound reaches the threshold only:
+that leaves out no item that could reach it.  The items found are then
+verified: enough word n-grams of the question part and of the answer part must
+occur in the passage.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, so that what an
 executor holds doesn't grow with the benchmarks; each shard is one more pass.
@@ -14,7 +17,7 @@ executor holds doesn't grow with the benchmarks; each shard is one more pass.
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +35,7 @@ THRESHOLD = 0.5
 QUESTION, ANSWER, GRAM = 0.5, 0.5, 3
 #: Where no column says which part is the answer: the last so much of the item's words.
 ANSWER_SHARE = 0.25
-BLOCK = 8
+BLOCKS = 64
 SHARD_ITEMS = 20_000
 
 
@@ -59,8 +62,10 @@ class Index:
         cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.items = [item[a:b] for a, b in zip(cut[:-1], cut[1:])]
         self.impacts = [impact[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        self.most = np.array([x.max() for x in self.impacts]) if len(self.terms) else np.zeros(0)
-        self.blocks = [(x[BLOCK - 1 :: BLOCK].tolist() if len(x) % BLOCK == 0 else [*x[BLOCK - 1 :: BLOCK].tolist(), int(x[-1])], [float(y[k : k + BLOCK].max()) for k in range(0, len(y), BLOCK)]) for x, y in zip(self.items, self.impacts)]
+        self.block = max(1, -(-n // BLOCKS))
+        self.bounds = np.zeros((len(self.terms), max(1, -(-n // self.block))), np.float32)
+        # Rounded up, so that sums in single precision stay bounds.
+        np.maximum.at(self.bounds, (term, item // self.block), (impact * (1 + 1e-5)).astype(np.float32))
         self.question: list[np.ndarray] = []
         self.answer: list[np.ndarray] = []
         parts = Words(strings(pa.array(answers, pa.string()))) if answers is not None else None
@@ -77,58 +82,43 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, -1)
 
-    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with at least the threshold for a query of distinct terms."""
-        # Lists as [next item, position, term]; a heap keeps them in the order of their next items.
-        heap = [(int(self.items[t][0]), int(t), 0) for t in terms]
-        heapq.heapify(heap)
+    def wand(self, terms: np.ndarray, threshold: float, lo: int = 0, hi: int | None = None) -> list[tuple[int, float]]:
+        """All (item, score) with at least the threshold for a query of distinct terms, of the items lo..hi."""
+        lists = []
+        for t in terms.tolist():
+            a, b = np.searchsorted(self.items[t], (lo, len(self.ids) if hi is None else hi))
+            if a < b:
+                items, impacts = self.items[t][a:b].tolist(), self.impacts[t][a:b].tolist()
+                lists.append([items[0], 0, items, impacts, max(impacts)])
         found = []
-        while heap:
-            heap.sort()
-            # The pivot: the first item at which the greatest impacts together could reach the threshold.
+        slack = threshold - 1e-9
+        while lists:
+            lists.sort(key=lambda x: x[0])
+            # The pivot: the first item at which the lists so far could together reach the threshold.
             total, pivot = 0.0, -1
-            for k, (item, t, _) in enumerate(heap):
-                total += self.most[t]
-                if total >= threshold:
-                    pivot = item
-                    last = k
+            for entry in lists:
+                total += entry[4]
+                if total >= slack:
+                    pivot = entry[0]
                     break
             if pivot < 0:
                 break
-            while last + 1 < len(heap) and heap[last + 1][0] == pivot:
-                last += 1
-            # The blocks in which the pivot lies bound its score, up to the end of the nearest block.
-            bound, until = 0.0, np.iinfo(np.int64).max
-            for item, t, at in heap[: last + 1]:
-                ends, most = self.blocks[t]
-                b = at // BLOCK
-                while b < len(ends) and ends[b] < pivot:
-                    b += 1
-                if b < len(ends):
-                    bound += most[b]
-                    until = min(until, ends[b])
-            if last + 1 < len(heap):
-                until = min(until, heap[last + 1][0] - 1)
-            if bound < threshold:
-                target, score = max(until, pivot) + 1, None
-            elif heap[0][0] == pivot:
-                target, score = pivot + 1, 0.0
-            else:
-                target, score = pivot, None
-            rest = []
-            for k, (item, t, at) in enumerate(heap):
-                if k <= last and item < target:
-                    if score is not None:
-                        score += float(self.impacts[t][at])
-                    postings = self.items[t]
-                    at = at + 1 if score is not None else int(np.searchsorted(postings, target))
-                    if at < len(postings):
-                        rest.append((int(postings[at]), t, at))
+            scored = lists[0][0] == pivot
+            score = 0.0
+            for entry in lists:
+                if entry[0] > pivot:
+                    break
+                at, items = entry[1], entry[2]
+                if scored:
+                    score += entry[3][at]
+                    at += 1
                 else:
-                    rest.append((item, t, at))
-            if score is not None and score >= threshold:
+                    at = bisect_left(items, pivot, at)
+                entry[1] = at
+                entry[0] = items[at] if at < len(items) else -1
+            if scored and score >= slack:
                 found.append((pivot, score))
-            heap = rest
+            lists = [x for x in lists if x[0] >= 0]
         return found
 
     def overlap(self, item: int, h: np.ndarray) -> tuple[float, float]:
@@ -150,6 +140,17 @@ def _grams(h: np.ndarray, n: int = 0):
     return n, np.unique(g)
 
 
+def _sums(table: np.ndarray, which: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of the table by group, in steps of bounded memory; group is sorted."""
+    out = np.zeros((n, table.shape[1]), np.float32)
+    step = 1 << 16
+    for a in range(0, len(which), step):
+        g = group[a : a + step]
+        begins = np.flatnonzero(np.diff(g, prepend=-1))
+        out[g[begins]] += np.add.reduceat(table[which[a : a + step]], begins, axis=0)
+    return out
+
+
 def leaks(texts: pa.Array, index: Index, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(row, item, score, question overlap, answer overlap, first word) of the verified passages."""
     stride = index.passage // 2
@@ -169,23 +170,31 @@ def leaks(texts: pa.Array, index: Index, threshold: float = THRESHOLD) -> Iterat
         half = base[w.row[known]] + place[known] // stride
         key = np.unique(half * len(index.terms) + term[known])
         half, which = key // len(index.terms), key % len(index.terms)
-        bound = np.bincount(half, index.most[which], base[-1] + 1)
-        cut = np.searchsorted(half, np.arange(base[-1] + 1))
+        bound = _sums(index.bounds, which, half, base[-1] + 1)
         row_of = np.repeat(np.arange(j - i), halves)
         following = np.append(row_of[1:] == row_of[:-1], False)
-        possible = np.flatnonzero(bound[:-1] + np.where(following, bound[1:], 0) >= threshold)
-        for p in possible.tolist():
-            terms = which[cut[p] : cut[p + 2] if following[p] and p + 2 < len(cut) else (len(which) if following[p] else cut[p + 1])]
-            terms = np.unique(terms)
-            if index.most[terms].sum() < threshold:
-                continue
+        bound[:-1][following] += bound[1:][following]
+        possible = np.flatnonzero(bound[:-1].max(1) >= threshold)
+        if not len(possible):
+            continue
+        # The same bound again, with terms that both halves have counted once.
+        cut = np.searchsorted(half, np.arange(base[-1] + 2))
+        count = cut[possible + 1 + following[possible]] - cut[possible]
+        at = np.repeat(cut[possible] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        key = np.unique(np.repeat(np.arange(len(possible)), count) * len(index.terms) + which[at])
+        passage, term = key // len(index.terms), key % len(index.terms)
+        bound = _sums(index.bounds, term, passage, len(possible))
+        cut = np.searchsorted(passage, np.arange(len(possible) + 1))
+        for k in np.flatnonzero(bound.max(1) >= threshold).tolist():
+            p, terms = int(possible[k]), term[cut[k] : cut[k + 1]]
             row = int(row_of[p])
             start = int(w.first[row] + (p - base[row]) * stride)
             h = w.h[start : min(start + 2 * stride, w.first[row + 1])]
-            for item, score in index.wand(terms, threshold):
-                q, a = index.overlap(item, h)
-                if q >= QUESTION and a >= ANSWER:
-                    yield i + row, item, score, q, a, start - int(w.first[row])
+            for b in np.flatnonzero(bound[k] >= threshold).tolist():
+                for item, score in index.wand(terms, threshold, b * index.block, (b + 1) * index.block):
+                    q, a = index.overlap(item, h)
+                    if q >= QUESTION and a >= ANSWER:
+                        yield i + row, item, score, q, a, start - int(w.first[row])
 
 
 def _shards(benchmark: DataFrame) -> Iterator[Index]:
