@@ -1,11 +1,582 @@
-"""All queries over the versioned-table operators, and their SQL."""
+"""All queries over the versioned-table operators, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.functions import html as H
+from tidemark.functions import scalars as X
+from tidemark.operators import index as I
+from tidemark.operators import membership, objects, oplog, shards, stats
+from tidemark.operators import versions as V
+from tidemark.plans.model import MONO, UNBOUNDED, Cutoff, excluded, included, within
+from tidemark.sources import wal, zim
+from tidemark.streaming import stages
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+LOG = """m AS (
+    SELECT user_id AS key, event_id + 1 AS seqno, value,
+           CASE event_type WHEN 'signup' THEN 'set' WHEN 'view' THEN 'delete' WHEN 'error' THEN 'remove' ELSE 'insert' END AS op
+    FROM events)"""
+
+
+def _fold(name: str = "v", source: str = "m", where: str = "true") -> str:
+    return f"""{name} AS (
+    SELECT key, seqno, CASE WHEN op = 'delete' THEN NULL ELSE value END AS value, op = 'delete' AS deleted FROM (
+        SELECT *, coalesce(max(seqno) FILTER (op = 'set') OVER k, 0) AS ls, coalesce(max(seqno) FILTER (op = 'remove') OVER k, 0) AS lr
+        FROM {source} WHERE {where} WINDOW k AS (PARTITION BY key))
+    WHERE op <> 'remove' AND seqno >= ls AND seqno > lr)"""
+
+
+def _tip(name: str = "t", source: str = "v") -> str:
+    return f"{name} AS (SELECT key, seqno, value, deleted FROM {source} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seqno DESC) = 1)"
+
+
+BASE = f"WITH {LOG}, {_fold()}, {_tip()} "
+
+
+def _add(sql: str | None = None):
+    def wrap(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.from_events(_t(spark, d, "events"))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.fold(_log(spark, d))
+
+
+def _middle(spark: SparkSession, d: str) -> int:
+    return _log(spark, d).agg(F.max("seqno")).first()[0] // 2
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(newer, older): what the two halves of the log leave, each by itself."""
+    log, mid = _log(spark, d), _middle(spark, d)
+    return oplog.fold(log.where(F.col("seqno") > mid)), oplog.fold(log.where(F.col("seqno") <= mid))
+
+
+HALF = "(SELECT max(seqno) // 2 FROM m)"
+HALVES = f"WITH {LOG}, {_fold('a', 'm', f'seqno > {HALF}')}, {_fold('b', 'm', f'seqno <= {HALF}')}, {_tip('a_tip', 'a')}, {_tip('b_tip', 'b')} "
+
+# -- reads --------------------------------------------------------------------
+
+
+@_add(BASE + "SELECT * FROM t")
+def iter_latest(spark, d):
+    return I.ordered(oplog.fold_latest(_log(spark, d)))
+
+
+@_add(BASE + "SELECT * FROM t WHERE key = 42")
+def get_latest(spark, d):
+    return oplog.fold_latest(_log(spark, d).where("key = 42"))
+
+
+@_add(BASE + "SELECT * FROM v WHERE key = 42")
+def get_versions_exploded(spark, d):
+    return oplog.fold(_log(spark, d).where("key = 42"))
+
+
+@_add(BASE + "SELECT * FROM v")
+def iter_versions(spark, d):
+    return I.ordered(_versions(spark, d))
+
+
+@_add(BASE + "SELECT * FROM t WHERE key >= 20 AND key < 60")
+def range_incl_excl(spark, d):
+    return I.ordered(oplog.fold_latest(_log(spark, d).where(within(F.col("key"), included(20), excluded(60)))))
+
+
+@_add(BASE + "SELECT * FROM t WHERE key > 20 AND key <= 60")
+def range_excl_incl(spark, d):
+    return I.ordered(oplog.fold_latest(_log(spark, d).where(within(F.col("key"), excluded(20), included(60)))))
+
+
+@_add(BASE + "SELECT * FROM v WHERE key < 60")
+def range_versions(spark, d):
+    return I.scan(_versions(spark, d), UNBOUNDED, excluded(60), history=True)
+
+
+@_add(BASE + "SELECT * FROM t WHERE key >= 20")
+def reverse_range(spark, d):
+    return I.scan(_versions(spark, d), included(20), UNBOUNDED, reverse=True)
+
+
+@_add(BASE + "SELECT * FROM v WHERE key > 100")
+def reverse_versions(spark, d):
+    return I.scan(_versions(spark, d), excluded(100), UNBOUNDED, reverse=True, history=True)
+
+
+@_add("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000")
+def snapshot_range(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    return rows.where(within(F.col("key"), included(1000), excluded(5000))).orderBy("key")
+
+
+@_add(BASE + "SELECT min(key) AS first_key, max(key) AS last_key FROM t")
+def first_last(spark, d):
+    return oplog.fold_latest(_log(spark, d)).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+@_add(BASE + "SELECT count(*) AS n_count, count(*) FILTER (deleted) AS n_deleted, (SELECT count(*) FROM v) AS n_versions, max(seqno) AS seqno, (SELECT CAST(sum(CASE WHEN deleted THEN 17 ELSE 25 END) AS BIGINT) FROM v) AS footprint FROM t")
+def index_stats(spark, d):
+    return I.stats(_versions(spark, d))
+
+
+@_add(BASE + "SELECT count(*) AS n_count, count(*) FILTER (deleted) AS n_deleted FROM t")
+def len_and_deleted(spark, d):
+    return oplog.fold_latest(_log(spark, d)).agg(F.count("*").alias("n_count"), F.count_if("deleted").alias("n_deleted"))
+
+
+@_add(f"WITH {LOG} SELECT max(seqno) AS seqno FROM m")
+def max_seqno(spark, d):
+    return _log(spark, d).agg(F.max("seqno").alias("seqno"))
+
+
+@_add("SELECT CAST(NULL AS BIGINT) AS key, CAST(NULL AS BIGINT) AS seqno, '' AS problem WHERE false")
+def validate(spark, d):
+    return I.violations(_versions(spark, d))
+
+
+# -- operations ---------------------------------------------------------------
+
+
+@_add(f"""WITH {LOG} SELECT key, seqno, op, CASE WHEN o_op <> 'remove' THEN o_seqno END AS old_seqno,
+      CASE WHEN o_op NOT IN ('remove', 'delete') THEN o_value END AS old_value, CASE WHEN o_op <> 'remove' THEN o_op = 'delete' END AS old_deleted
+      FROM (SELECT *, lag(seqno) OVER w AS o_seqno, lag(value) OVER w AS o_value, lag(op) OVER w AS o_op FROM m WINDOW w AS (PARTITION BY key ORDER BY seqno))""")
+def old_entry_lag(spark, d):
+    return oplog.old_entries(_log(spark, d))
+
+
+def _only(op: str) -> str:
+    return f"WITH {LOG}, o AS (SELECT * FROM m WHERE op = '{op}'), {_fold('v', 'o')} SELECT * FROM v"
+
+
+@_add(_only("set"))
+def set_only(spark, d):
+    return oplog.fold(_log(spark, d).where("op = 'set'"))
+
+
+@_add(_only("insert"))
+def insert_history(spark, d):
+    return oplog.fold(_log(spark, d).where("op = 'insert'"))
+
+
+@_add(_only("delete"))
+def delete_tombstone(spark, d):
+    return oplog.fold(_log(spark, d).where("op = 'delete'"))
+
+
+@_add(f"WITH {LOG}, r AS (SELECT key, max(seqno) AS epoch FROM m WHERE op = 'remove' GROUP BY key) SELECT m.key, m.seqno, m.op FROM m LEFT JOIN r USING (key) WHERE m.op <> 'remove' AND m.seqno > coalesce(r.epoch, 0)")
+def remove_epoch(spark, d):
+    log = _log(spark, d)
+    epoch = F.coalesce(F.max(F.when(F.col("op") == "remove", F.col("seqno"))).over(Window.partitionBy("key")), F.lit(0))
+    return log.withColumn("epoch", epoch).where("op <> 'remove' AND seqno > epoch").select("key", "seqno", "op")
+
+
+@_add(f"WITH {LOG} SELECT op, count(*) AS n FROM m GROUP BY op")
+def op_counts(spark, d):
+    return _log(spark, d).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@_add(HALVES + "SELECT * FROM b UNION ALL SELECT * FROM a")
+def commit_batch_versions(spark, d):
+    newer, older = _parts(spark, d)
+    return oplog.commit(older, newer, True)
+
+
+@_add(HALVES + """SELECT a.* FROM a WHERE key NOT IN (SELECT key FROM b)
+      UNION ALL SELECT * FROM a_tip WHERE key IN (SELECT key FROM b)
+      UNION ALL SELECT b.* FROM b LEFT JOIN a_tip x ON b.key = x.key WHERE x.key IS NULL OR x.deleted""")
+def commit_batch_no_versions(spark, d):
+    newer, older = _parts(spark, d)
+    return oplog.commit(older, newer, False)
+
+
+@_add(BASE + "SELECT v.* FROM v JOIN t USING (key) WHERE NOT t.deleted OR v.seqno = t.seqno")
+def sticky_delete(spark, d):
+    return oplog.sticky(_versions(spark, d))
+
+
+@_add()
+def cas_fold(spark, d):
+    """Each write expects the version that its predecessor of the same key left; those that follow a remove expect none."""
+    log = oplog.old_entries(_log(spark, d)).select("seqno", "op", "key", F.coalesce("old_seqno", F.lit(0)).alias("cas")).join(_log(spark, d).select("seqno", "value"), "seqno")
+    return oplog.cas_fold(log)
+
+
+@_add()
+def sequential_fold(spark, d):
+    return oplog.sequential_fold(_log(spark, d), "seqno")
+
+
+# -- version algebra ----------------------------------------------------------
+
+
+@_add(BASE + "SELECT key, seqno, value, deleted FROM v")
+def to_values(spark, d):
+    return V.unpacked(V.packed(_versions(spark, d)))
+
+
+@_add(BASE + "SELECT key, seqno, value, deleted FROM v")
+def non_identity_diff(spark, d):
+    """Deltas as differences of newer and older values, folded back: whole cents, so that no digit is lost."""
+    cents = _versions(spark, d).withColumn("value", F.round(F.col("value") * 1_000_000).cast("long"))
+    back = V.unpacked(V.encoded(cents, lambda newer, older: newer - older), lambda newer, delta: newer - delta)
+    exact = _versions(spark, d).select("key", "seqno", F.col("value").alias("own"), F.round(F.col("value") * 1_000_000).cast("long").alias("whole"))
+    return back.join(exact, ["key", "seqno"]).where(F.col("value").eqNullSafe(F.col("whole"))).select("key", "seqno", F.col("own").alias("value"), "deleted")
+
+
+@_add(BASE + "SELECT key, min(seqno) AS oldest_seqno FROM v GROUP BY key")
+def oldest_seqno(spark, d):
+    return V.summary(_versions(spark, d)).select("key", "oldest_seqno")
+
+
+@_add(BASE + "SELECT key, count(*) - 1 AS deltas FROM v GROUP BY key")
+def delta_count(spark, d):
+    return V.summary(_versions(spark, d)).select("key", "deltas")
+
+
+@_add(HALVES + f", {_fold('w', 'm')} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = w.key AND b.seqno = w.seqno AND b.value IS NOT DISTINCT FROM w.value AND b.deleted = w.deleted)")
+def contains_versions(spark, d):
+    """Versions of the whole log that the older half lacks."""
+    return V.lacking(_parts(spark, d)[1], _versions(spark, d))
+
+
+@_add(f"WITH {LOG}, e AS (SELECT * FROM m WHERE seqno % 2 = 0), o AS (SELECT * FROM m WHERE seqno % 2 = 1), {_fold('x', 'e')}, {_fold('y', 'o')} SELECT * FROM x UNION ALL SELECT * FROM y")
+def entry_commit_interleave(spark, d):
+    log = _log(spark, d)
+    return V.interleave(oplog.fold(log.where("seqno % 2 = 0")), oplog.fold(log.where("seqno % 2 = 1")))
+
+
+@_add(BASE + "SELECT *, row_number() OVER (PARTITION BY key ORDER BY seqno DESC) - 1 AS age FROM v")
+def versions_newest_first(spark, d):
+    return V.newest_first(_versions(spark, d)).withColumn("age", F.col("age").cast("long"))
+
+
+# -- compaction ---------------------------------------------------------------
+
+CUT = 600
+
+
+def _compact(name: str, cutoff: Cutoff, keep: str) -> None:
+    def query(spark, d):
+        return V.compact(_versions(spark, d), cutoff)
+
+    query.__name__ = name
+    _add(BASE + f"SELECT v.* FROM v JOIN t USING (key) WHERE {keep}")(query)
+
+
+for _name, _cutoff, _keep in (
+    ("compact_mono", MONO, "v.seqno = t.seqno AND NOT t.deleted"),
+    ("compact_lsm_incl", Cutoff("lsm", included(CUT)), f"v.seqno > {CUT}"),
+    ("compact_lsm_excl", Cutoff("lsm", excluded(CUT)), f"v.seqno >= {CUT}"),
+    ("compact_lsm_unbounded", Cutoff("lsm"), "false"),
+    ("compact_tombstone_incl", Cutoff("tombstone", included(CUT)), f"NOT (t.deleted AND t.seqno <= {CUT})"),
+    ("compact_tombstone_excl", Cutoff("tombstone", excluded(CUT)), f"NOT (t.deleted AND t.seqno < {CUT})"),
+    ("compact_tombstone_unbounded", Cutoff("tombstone"), "NOT t.deleted"),
+    ("compact_noop", Cutoff("lsm", excluded(0)), "true"),
+):
+    _compact(_name, _cutoff, _keep)
+
+# -- merges -------------------------------------------------------------------
+
+
+@_add(HALVES + "SELECT * FROM a UNION ALL SELECT * FROM b_tip")
+def lsm_merge_latest(spark, d):
+    return V.merge(*_parts(spark, d), versions=False)
+
+
+@_add(HALVES + "SELECT * FROM a UNION ALL SELECT * FROM b")
+def lsm_merge_versions(spark, d):
+    return V.merge(*_parts(spark, d), versions=True)
+
+
+@_add(HALVES + "SELECT * FROM a_tip UNION ALL SELECT * FROM b_tip WHERE key NOT IN (SELECT key FROM a_tip)")
+def y_get_first_level(spark, d):
+    return V.first_level(_parts(spark, d))
+
+
+THIRDS = f"WITH {LOG}, {_fold('p', 'm', 'seqno % 3 = 0')}, {_fold('q', 'm', 'seqno % 3 = 1')}, {_fold('r', 'm', 'seqno % 3 = 2')}, u AS (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM r), {_tip('t', 'u')} "
+
+
+def _thirds(spark, d) -> list[DataFrame]:
+    return [oplog.fold(_log(spark, d).where(f"seqno % 3 = {k}")) for k in range(3)]
+
+
+@_add(THIRDS + "SELECT * FROM t")
+def level_winner_nway(spark, d):
+    return V.level_winner(_thirds(spark, d))
+
+
+@_add(THIRDS + "SELECT * FROM u")
+def levels_versions_nway(spark, d):
+    return V.scan_within(_thirds(spark, d))
+
+
+@_add(HALVES + "SELECT a.* FROM a UNION ALL SELECT b.* FROM b")
+def append_disjoint(spark, d):
+    return V.append(*_parts(spark, d))
+
+
+# -- seqno windows and shards -------------------------------------------------
+
+
+@_add(BASE + ", w AS (SELECT * FROM v WHERE seqno <= 800), " + _tip("x", "w") + " SELECT * FROM x")
+def asof_seqno(spark, d):
+    return V.as_of(_versions(spark, d), 800)
+
+
+@_add(BASE + "SELECT * FROM v WHERE seqno > 300 AND seqno <= 800")
+def seqno_window(spark, d):
+    return V.seqno_window(_versions(spark, d), excluded(300), included(800))
+
+
+@_add("SELECT o_orderkey AS key, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
+def shard_ntile(spark, d):
+    return shards.as_shards(_t(spark, d, "orders").select(F.col("o_orderkey").alias("key")), 7)
+
+
+@_add("SELECT o_orderkey AS key, CASE WHEN o_orderkey < 1000 THEN 0 WHEN o_orderkey < 3000 THEN 1 ELSE 2 END AS part FROM orders")
+def part_by_ranges(spark, d):
+    ranges = shards.high_keys_to_ranges([excluded(1000), excluded(3000), UNBOUNDED])
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    return rows.select("key", shards.by_ranges(F.col("key"), ranges).alias("part")).where("part IS NOT NULL")
+
+
+@_add("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 100")
+def piecewise_page(spark, d):
+    return V.page(_t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value")), 700, 100)
+
+
+@_add(BASE + "SELECT key < 75 AS low, count(*) AS n FROM t GROUP BY 1")
+def split_by_pivot(spark, d):
+    low, high = shards.split(oplog.fold_latest(_log(spark, d)), 75)
+    return low.select(F.lit(True).alias("low")).union(high.select(F.lit(False))).groupBy("low").agg(F.count("*").alias("n"))
+
+
+# -- membership ---------------------------------------------------------------
+
+
+@_add("SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def bitmap_cardinality(spark, d):
+    return membership.cardinality(membership.bitmaps(_t(spark, d, "orders").select(F.col("o_custkey").alias("digest"))))
+
+
+@_add("SELECT count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT user_id FROM events)")
+def bitmap_union_cardinality(spark, d):
+    one = membership.bitmaps(_t(spark, d, "orders").select(F.col("o_custkey").alias("digest")))
+    return membership.cardinality(membership.union(one, membership.bitmaps(_t(spark, d, "events").select(F.col("user_id").alias("digest")))))
+
+
+@_add("SELECT c_custkey AS digest, c_custkey IN (SELECT o_custkey FROM orders) AS found FROM customer")
+def bitmap_contains(spark, d):
+    sets = membership.bitmaps(_t(spark, d, "orders").select(F.col("o_custkey").alias("digest")))
+    return membership.contains(_t(spark, d, "customer").select(F.col("c_custkey").alias("digest")), sets)
+
+
+@_add("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def membership_semi(spark, d):
+    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@_add("SELECT count(*) AS n, true AS found FROM customer")
+def membership_none(spark, d):
+    return membership.accept_all(_t(spark, d, "customer")).groupBy("found").agg(F.count("*").alias("n"))
+
+
+# -- log ----------------------------------------------------------------------
+
+
+def _records(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select((F.col("event_id") + 1).alias("seqno"), F.col("event_type").cast("binary").alias("op"))
+
+
+@_add("SELECT event_id + 1 AS seqno, event_type AS op FROM events WHERE event_id + 1 > 100 AND event_id + 1 <= 900")
+def wal_range(spark, d):
+    return wal.in_range(_records(spark, d), excluded(100), included(900)).withColumn("op", F.col("op").cast("string"))
+
+
+@_add("SELECT event_id // 64 AS batch, min(event_id + 1) AS first_seqno, max(event_id + 1) AS last_seqno, count(*) AS n FROM events GROUP BY 1")
+def wal_batches(spark, d):
+    return wal.batches(_records(spark, d), 64)
+
+
+@_add(f"WITH {LOG}, {_fold('v', 'm', 'seqno > 500')} SELECT * FROM v")
+def wal_replay_from(spark, d):
+    return oplog.fold(_log(spark, d).where("seqno > 500"))
+
+
+@_add("SELECT CAST(user_id % 5 AS INTEGER) AS shard, count(*) AS n FROM events GROUP BY 1")
+def wal_shards(spark, d):
+    return shards.hashed(_log(spark, d), 5).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@_add("SELECT count(*) AS n, CAST(sum(event_id + 1) AS BIGINT) AS total FROM events")
+def wal_seqno_sum(spark, d):
+    return _records(spark, d).agg(F.count("*").alias("n"), F.sum("seqno").alias("total"))
+
+
+# -- dataflow -----------------------------------------------------------------
+
+
+@_add("SELECT event_id, value * 2 AS doubled FROM events")
+def mq_map(spark, d):
+    return stages.map_(_t(spark, d, "events"), event_id=F.col("event_id"), doubled=F.col("value") * 2)
+
+
+@_add("SELECT event_id, value FROM events WHERE value > 50")
+def mq_filter(spark, d):
+    return stages.filter_(_t(spark, d, "events").select("event_id", "value"), F.col("value") > 50)
+
+
+@_add("""SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def mq_filter_map(spark, d):
+    return stages.filter_map(_t(spark, d, "events"), "k", F.get_json_object("props", "$.k").cast("long"))
+
+
+@_add("SELECT count(*) AS n, max(value) AS top, CAST(sum(user_id) AS BIGINT) AS total FROM events")
+def mq_reduce(spark, d):
+    return stages.reduce_(_t(spark, d, "events"), n=F.count("*"), top=F.max("value"), total=F.sum("user_id"))
+
+
+@_add("SELECT branch, count(*) AS n FROM events, (VALUES (0), (1), (2)) b(branch) GROUP BY branch")
+def mq_split(spark, d):
+    rows = _t(spark, d, "events").select("event_id")
+    every = rows.select(F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("branch"))
+    return every.groupBy("branch").agg(F.count("*").alias("n"))
+
+
+# -- objects and paths --------------------------------------------------------
+
+
+@_add("SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS oid FROM documents WHERE text IS NOT NULL")
+def git_blob_oid(spark, d):
+    return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.blob_oid(F.col("text")).alias("oid"))
+
+
+@_add("""SELECT p_partkey, array_to_string(list_concat(list_transform(range(1, least(3, length(p_name)) + 1), lambda i: p_name[i]), [p_name]), '|') AS path FROM part""")
+def key_path_fanout(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.array_join(X.key_path(F.col("p_name")), "|").alias("path"))
+
+
+@_add("SELECT page_id, url FROM (SELECT *, string_split(url, '/') AS p FROM pages) WHERE NOT (p < string_split('https://', '/')) AND p < string_split('https://site5', '/')")
+def path_range(spark, d):
+    parts = X.path(F.col("url"))
+    low, high = (F.array(*map(F.lit, x.split("/"))) for x in ("https://", "https://site5"))
+    return _t(spark, d, "pages").where((parts >= low) & (parts < high)).orderBy(parts).select("page_id", "url")
+
+
+@_add("""WITH f AS (SELECT DISTINCT string_split(url, '/')[1:3] AS p FROM pages WHERE page_id % 10 = 0)
+      SELECT page_id, url FROM pages WHERE string_split(url, '/')[1:3] NOT IN (SELECT p FROM f)""")
+def path_excluded(spark, d):
+    rows = _t(spark, d, "pages").withColumn("path", X.path(F.col("url")))
+    folders = rows.where("page_id % 10 = 0").select(F.slice("path", 1, 3).alias("path"))
+    return objects.excluded(rows, folders).select("page_id", "url")
+
+
+@_add("""WITH p AS (SELECT DISTINCT string_split(url, '/') AS p FROM pages), n AS (SELECT DISTINCT p[1:i] AS path FROM p, range(1, 40) r(i) WHERE i <= len(p))
+      SELECT array_to_string(path, '|') AS path, CAST(len(path) AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY path[1:len(path) - 1] ORDER BY path) - 1 AS INTEGER) AS breadth FROM n""")
+def trie_walk_depth(spark, d):
+    rows = _t(spark, d, "pages").select(X.path(F.col("url")).alias("path"), F.col("page_id").alias("value")).groupBy("path").agg(F.max("value").alias("value"))
+    return objects.trie_walk(rows).select(F.array_join("path", "|").alias("path"), "depth", "breadth")
+
+
+@_add("SELECT upper(left(lang, 1)) AS namespace, count(*) AS n FROM documents GROUP BY 1")
+def count_by_namespace(spark, d):
+    return zim.by_namespace(_t(spark, d, "documents").select(F.upper(F.substring("lang", 1, 1)).alias("namespace")))
+
+
+@_add("SELECT CAST(page_id AS INTEGER) AS id, CAST(page_id - page_id % 5 AS INTEGER) AS target FROM pages")
+def redirect_resolve(spark, d):
+    """Each page whose id isn't a multiple of five redirects to the one before it."""
+    page = F.col("page_id").cast("int")
+    rows = _t(spark, d, "pages").select(page.alias("id"), F.when(page % 5 != 0, page - 1).alias("redirect"))
+    return zim.resolved(rows)
+
+
+# -- statistics ---------------------------------------------------------------
+
+
+@_add("""WITH h AS (SELECT least(CAST(floor(value / 5) AS BIGINT), 99) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
+      c AS (SELECT bucket, CAST(floor(sum(n) OVER (ORDER BY bucket) * 100 / sum(n) OVER ()) AS BIGINT) AS percentile FROM h)
+      SELECT percentile, bucket FROM (SELECT *, greatest(coalesce(lag(percentile) OVER (ORDER BY bucket), 0), 90) AS before FROM c) WHERE percentile > before""")
+def hist_percentiles(spark, d):
+    return stats.percentiles(stats.histogram(_t(spark, d, "events"), "value", 5, 100))
+
+
+@_add("SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) WHERE k = CAST(floor(n * 0.99) AS BIGINT)")
+def p99_nearest_rank(spark, d):
+    return stats.nearest_rank(_t(spark, d, "events"), "value")
+
+
+@_add("SELECT date_trunc('second', ts) AS second, CAST(sum(user_id) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
+def throughput_1s(spark, d):
+    out = stats.throughput(_t(spark, d, "events"), "ts", "user_id")
+    return out.withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+@_add("SELECT count(user_id) AS n, min(user_id) AS min, max(user_id) AS max, CAST(floor(sum(user_id) / count(user_id)) AS BIGINT) AS mean FROM events")
+def depth_summary(spark, d):
+    return stats.summary(_t(spark, d, "events"), "user_id")
+
+
+@_add("""SELECT o_orderkey, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') < 90 THEN 'hot'
+      WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') < 360 THEN 'cold' ELSE 'frozen' END AS age FROM orders""")
+def age_bucket(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", X.age_bucket(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")).alias("age"))
+
+
+@_add("""SELECT doc_id, CASE WHEN n_chars * 100 >= 1099511627776 THEN (n_chars * 100) // 1099511627776 || 'tb' WHEN n_chars * 100 >= 1073741824 THEN (n_chars * 100) // 1073741824 || 'gb'
+      WHEN n_chars * 100 >= 1048576 THEN (n_chars * 100) // 1048576 || 'mb' WHEN n_chars * 100 >= 1024 THEN (n_chars * 100) // 1024 || 'kb' ELSE (n_chars * 100) || 'b' END AS size FROM documents""")
+def humanize_bytes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.humanize(F.col("n_chars") * 100).alias("size"))
+
+
+@_add("SELECT key, used, seq FROM (SELECT user_id AS key, ts AS used, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 ORDER BY used DESC, seq DESC LIMIT 20")
+def lru_keep_n(spark, d):
+    return shards.keep_recent(_t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("used"), F.col("event_id").alias("seq")), 20, at="used")
+
+
+# -- HTML ---------------------------------------------------------------------
+
+
+@_add()
+def html_nodes(spark, d):
+    nodes = H.html_nodes(_t(spark, d, "pages"))
+    return nodes.select("page_id", "node_id", "parent_id", "depth", "kind", "tag", "text")
+
+
+@_add()
+def html_text_lines(spark, d):
+    return H.html_text_lines(_t(spark, d, "pages"))
+
+
+@_add()
+def html_select(spark, d):
+    return H.html_select(_t(spark, d, "pages"), "body p, a[href]").select("page_id", "node_id", "tag", "text")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
