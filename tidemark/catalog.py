@@ -477,7 +477,7 @@ def key_path_fanout(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(X.key_path(F.col("p_name")), "|").alias("path"))
 
 
-@_add("SELECT page_id, url FROM (SELECT *, string_split(url, '/') AS p FROM pages) WHERE NOT (p < string_split('https://', '/')) AND p < string_split('https://site5', '/')")
+@_add("SELECT page_id, url FROM (SELECT *, replace(url, '/', chr(1)) AS p FROM pages) WHERE p >= replace('https://', '/', chr(1)) AND p < replace('https://site5', '/', chr(1))")
 def path_range(spark, d):
     parts = X.path(F.col("url"))
     low, high = (F.array(*map(F.lit, x.split("/"))) for x in ("https://", "https://site5"))

@@ -182,7 +182,8 @@ def contents(rows: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def by_mime(rows: DataFrame, mimes: DataFrame) -> DataFrame:
     """(mime, n), also for types that no entry has."""
-    return mimes.join(rows.where("redirect IS NULL"), "mime", "left").groupBy("mime").agg(F.count("id").alias("n"))
+    counts = rows.where("redirect IS NULL").groupBy("mime").agg(F.count("*").alias("n"))
+    return mimes.select("mime").distinct().join(counts, "mime", "left").select("mime", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def by_namespace(rows: DataFrame) -> DataFrame:
