@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     spark = ready(docs.sparkSession)
     docs = docs.drop("shard", "position")
     source, place = F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)), _order(docs, seed)
-    rows = docs.select("*", source.alias("_source"), place.alias("_hash"))
+    # The columns of docs travel as one struct, so that no name of theirs meets one from here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), source.alias("_source"), place.alias("_hash"))
     # Ranges of the hash, about as many as there are tasks; the top bits of a hash are even.
     bits = max(4, int(np.ceil(np.log2(max(2, partitions(spark))))) + 2)
     rows = rows.withColumn("_range", F.shiftright("_hash", 64 - bits))
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     offsets = offsets.withColumn("_first", passed(F.col("_before"))).withColumn("_ends", F.slice("_ends", F.col("_first") + 1, passed(F.col("_before") + F.col("_n") - 1) - F.col("_first") + 1))
     number = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_hash")) - 1
     rank = (F.col("_before") + F.col("_number")).alias("_rank")
-    ranked = rows.withColumn("_number", number).join(offsets, ["_source", "_range"]).select(*[F.col(c) for c in docs.columns], "_hash", "_take", "_ends", "_first", rank).where("_rank < _take")
+    ranked = rows.withColumn("_number", number).join(offsets, ["_source", "_range"]).select("_doc", "_hash", "_take", "_ends", "_first", rank).where("_rank < _take")
     out = ranked.withColumn("shard", (F.col("_first") + passed(F.col("_rank"))).cast("int"))
     local = Window.partitionBy("shard").orderBy(F.xxhash64("_hash", F.lit(seed + 1)), "_hash")
-    return out.withColumn("position", F.row_number().over(local).cast("long")).select(*docs.columns, "shard", "position")
+    return out.withColumn("position", F.row_number().over(local).cast("long")).select("_doc.*", "shard", "position")
