@@ -142,8 +142,8 @@ def tree(records: DataFrame) -> list[DataFrame]:
     file and offset are those of a node's first record.
     """
     leaf = F.sha2(F.concat_ws("|", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
-    # Records at one place, as only a faulty replica has, are one leaf.
-    nodes = records.withColumn("leaf", leaf).groupBy("side", "file", "offset").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "|"), 256).alias("hash"))
+    # Different records at one place, as only a faulty replica has, are one leaf; equal ones count once.
+    nodes = records.withColumn("leaf", leaf).groupBy("side", "file", "offset").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("leaf")), "|"), 256).alias("hash"))
     out = []
     for level in range(TOP + 1):
         node, place = _levels(level)
