@@ -62,6 +62,14 @@ def test_html():
     assert H.parse("")[0].kind == "doc" and H.lines(None) == []
 
 
+def test_html_in_sql(spark):
+    H.register(spark)
+    rows = spark.sql("SELECT t.line, t.text FROM VALUES ('<body><p>a</p>b') v(html), LATERAL html_text_lines(v.html) t").collect()
+    assert sorted(map(tuple, rows)) == [(0, "a"), (1, "b")]
+    assert spark.sql("SELECT text FROM html_select('<p>a</p><p class=x>b</p>', 'p.x')").first()["text"] == "b"
+    assert spark.sql("SELECT count(*) FROM html_nodes('<p>a</p>')").first()[0] == 3
+
+
 def test_parsec():
     value = P.Ref()
     value.parser = P.choice(P.regex(r"\d+", "number"), P.sequence("list", P.atom("["), P.kleene(value, "items", P.atom(",")), P.atom("]")))

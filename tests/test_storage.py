@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,11 @@ def test_streams(spark, tmp_path):
     q = log.stream(spark, stream.select((F.col("id") + 1).alias("seqno"), F.lit(b"x").alias("op")), str(tmp_path / "c4"), seconds=None)
     stages.close_wait(q)
     assert wal.Wal.load(spark, str(tmp_path / "log")).last == 100
+
+
+@pytest.mark.parametrize("bits,rate", [(8, 0.008), (16, 0.0003)])
+def test_fuse(bits, rate):
+    r = np.random.default_rng(bits)
+    keys, other = r.integers(0, 2**63, 3000).view(np.uint64), r.integers(0, 2**63, 100_000).view(np.uint64)
+    f = membership.BinaryFuse.from_bytes(membership.BinaryFuse.build(keys, bits).to_bytes())
+    assert f.contains(keys).all() and f.contains(other).mean() < rate and int(keys[0]) in f

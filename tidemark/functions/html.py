@@ -297,3 +297,23 @@ def html_select(rows: DataFrame, css: str, key: str = "page_id", column: str = "
     """(key, node_id, tag, attrs, text) of the elements that a selector names."""
     selector(css)
     return _explode(rows, key, column, "node_id int, tag string, attrs map<string,string>, text string", lambda t: ((e.id, e.tag, e.attrs, content(e)) for e in select(t, css)))
+
+
+def register(spark) -> None:
+    """Table functions for SQL: html_nodes(html), html_text_lines(html), html_select(html, css)."""
+
+    class Nodes:
+        def eval(self, html: str):
+            yield from node_rows(html)
+
+    class Lines:
+        def eval(self, html: str):
+            yield from enumerate(lines(html))
+
+    class Select:
+        def eval(self, html: str, css: str):
+            for e in select(html, css):
+                yield e.id, e.tag, e.attrs, content(e)
+
+    for name, cls, schema in (("html_nodes", Nodes, NODES), ("html_text_lines", Lines, "line int, text string"), ("html_select", Select, "node_id int, tag string, attrs map<string,string>, text string")):
+        spark.udtf.register(name, F.udtf(cls, returnType=schema))
