@@ -29,7 +29,8 @@ SAMPLE = 20_000
 BITS, FACTORS, LEAST = 20, 4, 4
 #: Bytes of a stem, and of the least word that has one.
 STEM = (4, 6)
-THRESHOLD = 0.5
+#: Least probability, with both classes weighing the same, of a document that is reported.
+THRESHOLD = 0.3
 
 
 def _terms(texts: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
