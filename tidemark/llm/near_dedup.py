@@ -31,8 +31,8 @@ from .common import narrow, only, partitions, ready, settle, without
 from .words import Words, pieces
 
 GRAM = 3
-THRESHOLD = 0.55
-SLACK = 0.15
+THRESHOLD = 0.5
+SLACK = 0.12
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.02, 20.0, (1 << 15) - 2
 BLOCK = 2048
