@@ -198,7 +198,8 @@ def email(text: str, key: bytes, back: bool = False) -> str | None:
     return _letters(local, key, "local", back) + "@" + ".".join([_letters(x, key, "host", back) for x in labels[:-1]] + labels[-1:])
 
 
-_RUN = re.compile(r"[+(]?\d[\d().+\-/ ]{5,}\d")
+#: What can hold a number; it begins with a digit, so that texts without any are passed over quickly.
+_RUN = re.compile(r"\d[\d().+\-/ ]{4,}\d")
 _FORMS: list[tuple[str, re.Pattern, Callable]] = [
     ("date", re.compile(r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d\-/]|\.\d)"), date),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), ip),
@@ -238,7 +239,8 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
             add(*found.span(), iban(found.group(), key, back))
     for run in runs:
         for _, form, change in _FORMS:
-            for found in form.finditer(text, run.start(), run.end()):
+            # A sign or a parenthesis may come before.
+            for found in form.finditer(text, max(0, run.start() - 2), run.end()):
                 add(*found.span(), change(found.group(), key, back))
     out, last = [], 0
     for start, end, new in sorted(taken):
