@@ -15,79 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.membership import BinaryFuse
+
 from .common import few, narrow, partitions, ready, settle
-from .words import mix
 
 _EMPTY = "bucket int, seed long, segment int, segments int, cells binary"
 
 
-class BinaryFuse:
-    """A binary-fuse filter with three cells a key: no false negatives, about 2**-16 false positives, 18 bits a key."""
-
-    def __init__(self, seed: int, segment: int, segments: int, cells: np.ndarray):
-        self.seed, self.segment, self.segments, self.cells = seed, segment, segments, cells
-
-    @staticmethod
-    def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(keys ^ np.uint64(seed))
-        start = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-        g = mix(h + np.uint64(0x9E3779B97F4A7C15))
-        at = np.empty((3, len(keys)), np.int64)
-        for k in range(3):
-            inner = (g >> np.uint64(20 * k)) & np.uint64(segment - 1)
-            at[k] = ((start + np.uint64(k)) * np.uint64(segment) + inner).astype(np.int64)
-        return at, (h & np.uint64(0xFFFF)).astype(np.uint16)
-
-    @classmethod
-    def build(cls, keys: np.ndarray) -> BinaryFuse:
-        """Peel all keys that stand alone in a cell, round by round, then assign cells in the reverse order."""
-        keys = np.unique(keys.astype(np.uint64))
-        n = len(keys)
-        # Segments grow with the keys as in the published construction; a few spare cells help small sets.
-        segment = 1 << max(2, min(18, int(np.floor(np.log(max(n, 2)) / np.log(3.33) + 2.25))))
-        for attempt in range(100):
-            factor = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3))) * (1 + 0.05 * (attempt // 5))
-            segments = max(1, int(np.ceil(n * factor / segment)) - 2)
-            seed = int(mix(np.array([attempt + 1], np.uint64))[0])
-            at, prints = cls._places(keys, seed, segment, segments)
-            size = (segments + 2) * segment
-            degree = np.bincount(at.ravel(), minlength=size)
-            total = np.zeros(size, np.int64)
-            for k in range(3):
-                np.add.at(total, at[k], np.arange(n))
-            rounds: list[tuple[np.ndarray, np.ndarray]] = []
-            left = n
-            single = np.flatnonzero(degree == 1)
-            while left and len(single):
-                key, where = np.unique(total[single], return_index=True)
-                cell = single[where]
-                rounds.append((key, cell))
-                left -= len(key)
-                touched = at[:, key].ravel()
-                np.subtract.at(degree, touched, 1)
-                np.subtract.at(total, touched, np.tile(key, 3))
-                touched = np.unique(touched)
-                single = touched[degree[touched] == 1]
-            if left:
-                continue
-            cells = np.zeros(size, np.uint16)
-            for key, cell in reversed(rounds):
-                # A cell of this round isn't a cell of another key of the same or an earlier round's remainder.
-                value = prints[key].copy()
-                for k in range(3):
-                    value ^= np.where(at[k, key] == cell, np.uint16(0), cells[at[k, key]])
-                cells[cell] = value
-            return cls(seed, segment, segments, cells)
-        raise RuntimeError("no seed lets these keys be peeled")
-
-    def __contains__(self, key: int) -> bool:
-        return bool(self.contains(np.array([key], np.uint64))[0])
-
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        at, prints = self._places(keys.astype(np.uint64), self.seed, self.segment, self.segments)
-        return (self.cells[at[0]] ^ self.cells[at[1]] ^ self.cells[at[2]]) == prints
-
-
 def _build(table: pa.Table) -> pa.Table:
     digests = table["digest"].to_numpy().view(np.uint64)
     f = BinaryFuse.build(digests)
@@ -139,11 +73,12 @@ def _copies(batch: DataFrame, snapshot: DataFrame | None, kept_filters: DataFram
         .withColumn("text", F.when(F.col("texts") > 1, F.col("text")))
     )
     classes = settle(classes)
-    plain = digests.join(classes.where("texts = 1"), "digest")
-    # Different texts with one digest, about never: the texts themselves are joined.
-    clash = rows.join(classes.where("texts > 1 AND copies > 1").drop("texts"), ["digest", "text"])
     columns = ["doc_id", "digest", "duplicate_of", "copies"]
-    every = plain.select(columns).union(clash.select(columns))
+    every = digests.join(classes.where("texts = 1"), "digest").select(columns)
+    if not classes.where("texts > 1").isEmpty():
+        # Different texts with one digest, about never: the texts themselves are joined.
+        clash = rows.join(classes.where("texts > 1 AND copies > 1").drop("texts"), ["digest", "text"])
+        every = every.union(clash.select(columns))
     return every.groupBy(columns).agg(F.count("*").alias("_n")).where("doc_id <> duplicate_of OR _n > 1").drop("_n")
 
 
