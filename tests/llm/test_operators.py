@@ -128,6 +128,19 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert got == {(k, 0, 30) for k in range(1, 30)}
 
 
+@pytest.mark.parametrize("block", [2048, 100])
+def test_near_dedup_boilerplate(spark, monkeypatch, block):
+    """Pairs just above the threshold among many documents that share boilerplate just below it."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    boilerplate = prose(205, 77)
+    rows = [(k, f"{boilerplate} {prose(15, 60_000 + k // 2)} {prose(100, 61_000 + k)}", "a") for k in range(240)]
+    sets = {i: grams(t) for i, t, _ in rows}
+    near = {(y, x) for x, y in itertools.combinations(sets, 2) if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= near_dedup.THRESHOLD}
+    assert near == {(k + 1, k) for k in range(0, 240, 2)}
+    got = {(r["doc_id"], r["duplicate_of"]) for r in near_dedup.near_copies(docs_of(spark, rows)).collect()}
+    assert got <= near and len(got) >= 0.9 * len(near)
+
+
 def test_near_dedup_awkward(spark, awkward, empty):
     assert {(r["doc_id"], r["duplicate_of"]) for r in near_dedup.near_copies(awkward).collect()} == {(5, 4), (6, 4), (9, 8), (11, 10)}
     kept = near_dedup.near_dedup(awkward)

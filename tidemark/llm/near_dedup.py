@@ -15,7 +15,11 @@ which two sets share about as many as their Jaccard similarity says.
    Buckets of over BLOCK documents are cut into pairs of blocks, all of which
    are compared, by different tasks.
 3. Every edge left is verified by the exact similarity of the two whole texts.
-4. Groups are the connected components, by alternating large and small stars.
+   Connected components, by alternating large and small stars, are the first groups.
+4. Where an edge of a forest failed, the pairs that the forest left out for it
+   count: the whole texts of that bucket's documents are brought together, and all
+   its pairs within SLACK whose ends no verified pair connects yet are verified
+   there, the likeliest first.  The components with these pairs are the groups.
 """
 
 from __future__ import annotations
@@ -108,8 +112,8 @@ def likeliest(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n_one: n
     return (lo + hi) / 2
 
 
-def _forest(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: float) -> Iterator[tuple[int, int, float]]:
-    """Edges of a maximum spanning forest of the pairs estimated at the floor or above; with two blocks, of the pairs across them."""
+def _pairs(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: float, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, estimate) of the pairs estimated at the floor or above, the likeliest first; with two blocks, of those across them, with groups, of those between two."""
     n = len(ids)
     size = cardinality(regs)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -122,6 +126,8 @@ def _forest(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: f
         keep = i + a < j
         if side is not None:
             keep &= side[i + a] != side[j]
+        if group is not None:
+            keep &= group[i + a] != group[j]
         i, j = i[keep] + a, j[keep]
         if len(i):
             for c in range(0, len(i), 1 << 16):
@@ -132,23 +138,43 @@ def _forest(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: f
                 ok = est >= floor
                 found.append((x[ok], y[ok], est[ok]))
     if not found:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     x, y, est = (np.concatenate(k) for k in zip(*found))
-    parent = list(range(n))
+    order = np.lexsort((ids[y], ids[x], -est))
+    return x[order], y[order], est[order]
+
+
+def _root(parent: list[int], k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = parent[k]
+    return k
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
 
-    for k in np.lexsort((ids[y], ids[x], -est)):
-        p, q = root(int(x[k])), root(int(y[k]))
+def _forest(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, floor: float) -> Iterator[tuple[int, int, float]]:
+    """Edges of a maximum spanning forest of the pairs estimated at the floor or above; with two blocks, of the pairs across them."""
+    parent = list(range(len(ids)))
+    for x, y, est in zip(*(k.tolist() for k in _pairs(ids, regs, side, floor))):
+        p, q = _root(parent, x), _root(parent, y)
         if p != q:
             parent[q] = p
-            one, other = int(ids[x[k]]), int(ids[y[k]])
+            one, other = int(ids[x]), int(ids[y])
             if one != other:
-                yield min(one, other), max(one, other), float(est[k])
+                yield min(one, other), max(one, other), est
+
+
+def _joining(ids: np.ndarray, regs: np.ndarray, side: np.ndarray | None, group: np.ndarray, texts: pa.Array, floor: float, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(a, b, jaccard) of exactly verified pairs that connect all groups which any pair at the floor or above connects."""
+    label, own = np.unique(group, return_inverse=True)
+    x, y, _ = _pairs(ids, regs, side, floor, own)
+    used = np.unique(np.concatenate([x, y]))
+    sets = dict(zip(used.tolist(), _sets(texts.take(pa.array(used)))))
+    parent = list(range(len(label)))
+    for i, j in zip(x.tolist(), y.tolist()):
+        p, q = _root(parent, int(own[i])), _root(parent, int(own[j]))
+        if p != q and (jaccard := _jaccard(sets[i], sets[j])) >= threshold:
+            parent[q] = p
+            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])), jaccard
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -198,14 +224,12 @@ def _runs(batches, columns: list[str]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def candidates(sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b, estimate) that join all documents whose estimates, in some bucket, are within SLACK of the threshold."""
-    spark = ready(sketch.sparkSession)
-    floor = threshold - SLACK
-    first = Window.partitionBy("signature")
-    marked = settle(sketch.withColumn("first", F.min("doc_id").over(first)))
-    same = marked.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("estimate"))
-    chosen = marked.where("doc_id = first").select("doc_id", "regs")
+#: What is compared by itself: a bucket, known by its members, or a pair of its blocks.
+_TASK = ["members", "also", "i", "j"]
+
+
+def buckets(chosen: DataFrame) -> DataFrame:
+    """(doc_id, members, also, i, j, own): the documents of each bucket, by pairs of blocks; own is a document's block."""
     bucket = Window.partitionBy("key")
     rows = (
         chosen.mapInArrow(_bands, "doc_id long, key long")
@@ -217,28 +241,58 @@ def candidates(sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .distinct()
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = (
+    return (
         rows.withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("doc_id", "members", "also", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     )
-    task = ["members", "also", "i", "j"]
-    rows = rows.join(chosen, "doc_id").repartition(partitions(spark), *task).sortWithinPartitions(*task)
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *_TASK).sortWithinPartitions(*_TASK)
+
+
+def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, registers and, with two blocks, the side of each row of a task."""
+    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return t["doc_id"].to_numpy(), regs, t["own"].to_numpy() if t["i"][0] != t["j"][0] else None
+
+
+def candidates(rows: DataFrame, chosen: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b, estimate) with their task, which join all documents of the task whose estimates are within SLACK of the threshold."""
+    floor = threshold - SLACK
 
     def edges(batches):
-        for t in _runs(batches, task):
+        for t in _runs(batches, _TASK):
             if len(t) < 2:
                 continue
-            regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            side = t["own"].to_numpy() if t["i"][0] != t["j"][0] else None
-            got = list(_forest(t["doc_id"].to_numpy(), regs, side, floor))
+            got = list(_forest(*_arrays(t), floor))
             if got:
                 a, b, e = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], ["a", "b", "estimate"])
+                task = [t[c].combine_chunks().take(pa.array([0] * len(got))) for c in _TASK]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64()), *task], ["a", "b", "estimate", *_TASK])
+
+    return _by_task(rows.join(chosen, "doc_id")).mapInArrow(edges, "a long, b long, estimate double, members long, also long, i int, j int")
+
+
+def rest(rows: DataFrame, chosen: DataFrame, groups: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified edges (a, b, jaccard) that connect what the tasks' pairs within SLACK connect beyond the groups (doc_id, group_id)."""
+    floor = threshold - SLACK
+    group = F.coalesce("group_id", "doc_id")
+    task = Window.partitionBy(*_TASK)
+    rows = rows.join(groups, "doc_id", "left").withColumn("group_id", group)
+    rows = settle(rows.withColumn("least", F.min("group_id").over(task)).withColumn("most", F.max("group_id").over(task)).where("least < most").drop("least", "most"))
+    texts = only(narrow(docs), settle(rows.select("doc_id").distinct()))
+
+    def edges(batches):
+        for t in _runs(batches, _TASK):
+            got = list(_joining(*_arrays(t), t["group_id"].to_numpy(), t["text"].combine_chunks(), floor, threshold))
+            if got:
+                a, b, jaccard = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(jaccard, pa.float64())], ["a", "b", "jaccard"])
 
-    near = rows.mapInArrow(edges, "a long, b long, estimate double")
-    return near.union(same).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return _by_task(rows.join(chosen, "doc_id").join(texts, "doc_id")).mapInArrow(edges, "a long, b long, jaccard double")
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -250,6 +304,11 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    c = len(np.intersect1d(x, y, assume_unique=True))
+    return c / max(1, len(x) + len(y) - c)
+
+
 def verified(edges: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b, jaccard) whose whole texts are at least as similar as the threshold, exactly."""
     ids = settle(edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct())
@@ -260,7 +319,7 @@ def verified(edges: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     def check(batches):
         for b in batches:
             pairs = zip(_sets(b.column("text_a")), _sets(b.column("text_b")))
-            j = np.array([(c := len(np.intersect1d(x, y, assume_unique=True))) / max(1, len(x) + len(y) - c) for x, y in pairs])
+            j = np.array([_jaccard(x, y) for x, y in pairs])
             ok = pa.array(np.flatnonzero(j >= threshold))
             yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok), pa.array(j).take(ok)], ["a", "b", "jaccard"])
 
@@ -296,8 +355,17 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     that share a doc_id are one document, near another if one of its texts is.
     """
     ready(docs.sparkSession)
-    edges = settle(candidates(sketched(docs), threshold))
-    pairs = components(verified(edges, docs, threshold))
+    marked = settle(sketched(docs).withColumn("first", F.min("doc_id").over(Window.partitionBy("signature"))))
+    same = marked.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    chosen = marked.where("doc_id = first").select("doc_id", "regs")
+    rows = settle(buckets(chosen))
+    edges = settle(candidates(rows, chosen, threshold))
+    sure = settle(verified(edges.select("a", "b").union(same).distinct(), docs, threshold).select("a", "b"))
+    pairs = components(sure)
+    again = settle(edges.join(sure, ["a", "b"], "left_anti").select(*_TASK).distinct())
+    if not again.isEmpty():
+        more = rest(rows.join(again, _TASK, "left_semi"), chosen, pairs, docs, threshold)
+        pairs = components(pairs.select(F.col("group_id").alias("a"), F.col("doc_id").alias("b")).union(more.select("a", "b")))
     sizes = pairs.groupBy("group_id").agg((F.count("*") + 1).alias("group_size"))
     return pairs.join(sizes, "group_id").select("doc_id", F.col("group_id").alias("duplicate_of"), "group_size")
 
