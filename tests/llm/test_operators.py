@@ -218,6 +218,16 @@ def test_mixing_tree():
     assert mixing.quotas({"a": 10, "b": 10, "c": 10}, mixing.targets({"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1, "c": 1})) == {"a": 10, "b": 10, "c": 10}
 
 
+def test_mixing_keeps_all_by_default(spark):
+    for sizes in ({"hot": 50_000, **{f"s{k}": 2500 for k in range(20)}, mixing.UNKNOWN: 1}, {"hot": 5_000_000_000, "b": 250_000_007, "c": 3}, {"one": 1}):
+        assert mixing.quotas(sizes, mixing.targets(sizes)) == sizes
+    rows = [(k, f"t{k}", "hot" if k < 900 else "small" if k < 999 else None) for k in range(1000)]
+    assert ids(mixing.mix(docs_of(spark, rows))) == list(range(1000))
+    got = mixing.mix(docs_of(spark, rows), total=500).collect()
+    by = {s: sum(r["source"] == s for r in got) for s in ("hot", "small", None)}
+    assert len(got) == 500 and by[None] == 1 and by["small"] == 88 and len({r["doc_id"] for r in got}) == 500
+
+
 def test_mixing_awkward(spark, awkward, empty):
     got = mixing.mix(awkward, temperature=1.0)
     assert got.count() == len(AWKWARD) and set(got.columns) == set(awkward.columns)

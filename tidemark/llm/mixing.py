@@ -1,5 +1,9 @@
 """Mixing sources to target weights (3) by a multivariate-hypergeometric splitting tree.
 
+Without given weights the mix has all documents, or a given total of them that
+the sources share by size to the power TEMPERATURE: a source too small for its
+share is taken entirely, and the others share the rest.
+
 Each source's documents are put in a keyed random order and cut into blocks.
 The mix takes a whole number of blocks' worth of each source, its quota.  A
 binary tree then splits the root's vector of quotas among the output shards:
@@ -28,27 +32,48 @@ from .common import partitions, ready, settle
 BLOCK, SHARD = 16, 4096
 #: Most shards; a larger corpus has larger ones. It bounds the plan that is broadcast: so many numbers a source.
 SHARDS = 65_536
-#: Where no weights are given, a source weighs as its size to this power.
+#: Where no weights are given, a source weighs as its size to this power in a total less than all documents.
 TEMPERATURE = 0.7
 SEED = 17
 UNKNOWN = "(no source)"
 
 
-def targets(sizes: Mapping[str, int], weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE) -> dict[str, float]:
-    """Weights that sum to 1; a source without documents gets none, and a source that no weight is given for isn't used."""
-    given = {s: n**temperature for s, n in sizes.items() if n > 0} if weights is None else {s: w for s, w in weights.items() if w > 0 and sizes.get(s, 0) > 0}
-    total = sum(given.values())
-    return {s: w / total for s, w in sorted(given.items())} if total else {}
+def filled(sizes: Mapping[str, int], weights: Mapping[str, float], total: int) -> dict[str, float]:
+    """Documents of each source in a total shared by weight: a source too small for its share is taken entirely, and the others share the rest."""
+    out: dict[str, float] = {}
+    rest, left = float(min(total, sum(sizes[s] for s in weights))), sum(weights.values())
+    # The sources that run out first come first.
+    for s in sorted(weights, key=lambda s: (sizes[s] / weights[s], s)):
+        out[s] = min(float(sizes[s]), rest * min(1.0, weights[s] / left) if left > 0 else rest)
+        rest, left = rest - out[s], left - weights[s]
+    return out
+
+
+def targets(sizes: Mapping[str, int], weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None) -> dict[str, float]:
+    """Weights that sum to 1; a source without documents gets none, and a source that no weight is given for isn't used.
+
+    With a total, or without given weights (the total is then all documents),
+    these are the shares that the sources can fill.
+    """
+    given = {s: float(n) ** temperature for s, n in sizes.items() if n > 0} if weights is None else {s: w for s, w in weights.items() if w > 0 and sizes.get(s, 0) > 0}
+    if weights is None and total is None:
+        total = sum(sizes[s] for s in given)
+    if given and total is not None:
+        available = sum(sizes[s] for s in given)
+        given = {s: float(sizes[s]) for s in given} if total >= available else {s: n for s, n in filled(sizes, given, total).items() if n > 0}
+    whole = sum(given.values())
+    return {s: w / whole for s, w in sorted(given.items())} if whole else {}
 
 
-def quotas(sizes: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, int]:
-    """Documents to take of each source: the most for which the weights can be met without taking any twice.
+def quotas(sizes: Mapping[str, int], weights: Mapping[str, float], total: int | None = None) -> dict[str, int]:
+    """Documents to take of each source: the most for which the weights can be met without taking any twice, or a total if that is less.
 
     Fractions are given out by largest remainder, ties by name.
     """
     if not weights:
         return {}
-    total = int(min(sizes[s] / w for s, w in weights.items()) + 1e-9)
+    most = int(min(sizes[s] / w for s, w in weights.items()) * (1 + 1e-12) + 1e-9)
+    total = most if total is None else min(total, most)
     exact = {s: total * w for s, w in weights.items()}
     out = {s: min(int(x + 1e-9), sizes[s]) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: max(0, total - sum(out.values()))]:
@@ -95,9 +120,11 @@ def _order(docs: DataFrame, seed: int):
     return F.xxhash64(F.lit(seed), *[docs[c].cast("string") for c in ("doc_id", "text") if c in docs.columns])
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block: int = BLOCK, shard_docs: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block: int = BLOCK, shard_docs: int = SHARD, seed: int = SEED, total: int | None = None) -> DataFrame:
     """docs' columns with shard and position: an exact mix of the sources without any document twice.
 
+    Given weights are met exactly, by as many documents as that leaves room for,
+    unless a total is given.  Without weights the total is all documents.
     Rows without a source form one source, UNKNOWN.  Rows that repeat are rows
     of their own.  The last block of a source may have fewer documents.  An
     empty table, or weights for absent sources only, gives no rows.  Columns of
@@ -113,8 +140,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     rows = rows.withColumn("_range", F.shiftright("_hash", 64 - bits))
     counts = settle(rows.select("_source", "_range").groupBy("_source", "_range").agg(F.count("*").alias("_n")))
     sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
-    chosen = targets(sizes, weights, temperature)
-    take = quotas(sizes, chosen)
+    chosen = targets(sizes, weights, temperature, total)
+    take = quotas(sizes, chosen, total)
     names = [s for s in take if take[s] > 0]
     per = np.array([-(-take[s] // block) for s in names], np.int64)
     if not names:
