@@ -475,6 +475,31 @@ def test_pii_forms(value):
         assert pii.luhn(digits) == pii.luhn("".join(c for c in value if c.isdigit()))
 
 
+@pytest.mark.parametrize(
+    "value",
+    ["+44 20 7946 0958", "+49 30 901820", "+34 912 345 678", "+33 1 42 68 53 00", "+44 (20) 7946 0958", "3782 822463 10005", "3782-822463-10005", "3.5.1971", "13.5.1971", "1/2/2020", "13/2/2020", "2020-1-2", "+49 301 23 4567"],
+)
+def test_pii_more_forms(value):
+    text = f"é before {value}, after {value}."
+    new, n = pii.pseudonymize(text)
+    fresh = re.fullmatch(r"é before (.+), after (.+)\.", new)
+    assert n == 2 and value not in new and fresh[1] == fresh[2]
+    assert re.sub(r"\d", "0", fresh[1]) == re.sub(r"\d", "0", value)
+    assert pii.pseudonymize(new, back=True)[0] == text
+
+
+def test_pii_neighbours():
+    for text, count, kept in (
+        ("from 2020-01-02/2020-02-03 on", 2, ("2020-01-02", "2020-02-03")),
+        ("to GB29 NWBK 6016 1331 9268 19 BIC NWBKGB2L", 1, ("6016 1331",)),
+        ("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 OK", 2, ("3704 0044", "6016 1331")),
+        ("call +49 30 901820 2021-03-04", 2, ("901820", "2021-03-04")),
+    ):
+        new, n = pii.pseudonymize(text)
+        assert n == count and not any(x in new for x in kept)
+        assert pii.pseudonymize(new, back=True)[0] == text
+
+
 def test_pii_permutation():
     for size in (1, 2, 10, 365, 1000):
         out = [pii.permute(k, size, b"k", "t") for k in range(size)]

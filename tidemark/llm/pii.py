@@ -7,6 +7,10 @@ written as a number below the count of values of its format, and a Feistel
 network permutes these numbers: as it is a permutation under one key, equal
 values get equal pseudonyms in all documents, different ones different, and who
 has the key can go back.
+
+Left out are telephone numbers without + other than in groups of 3-3-4, with + those
+of fewer than 8 digits, cards in groups other than 4-4-4-1 to 7, 4-6-5 and 4-6-4, dates
+with names of months or years of two digits, IPv6 addresses, and names.
 """
 
 from __future__ import annotations
@@ -117,6 +121,20 @@ def phone(text: str, key: bytes, back: bool = False) -> str | None:
     return _refill(text, f"{country}{area + 200:03d}{exchange + 200:03d}{line:04d}")
 
 
+def country(digits: str) -> int:
+    """Digits of the calling code that an international number begins with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3
+
+
+def international(text: str, key: bytes, back: bool = False) -> str | None:
+    """A number with + outside North America: all but the calling code and the first digit after it."""
+    d = _digits(text)
+    if not 8 <= len(d) <= 15 or d[0] in "01":
+        return None
+    k = country(d) + 1
+    return _refill(text, d[:k] + str(permute(int(d[k:]), 10 ** (len(d) - k), key, "international" + d[:k], back)).zfill(len(d) - k))
+
+
 def ssn(text: str, key: bytes, back: bool = False) -> str | None:
     a, b, c = int(text[:3]), int(text[4:6]), int(text[7:])
     if a in (0, 666) or a >= 900 or not b or not c:
@@ -149,13 +167,17 @@ def date(text: str, key: bytes, back: bool = False) -> str | None:
     if not 0 <= n < _DAYS:
         return None
     day_only = len(a) != 4 and sign != "." and not month_first
-    kind = "date" + ("m" if month_first else "d" if day_only else "")
+    # A day or month of one digit stays one; with both of two the form is the padded one.
+    places = {"y": len(a), "m": len(b), "d": len(c)} if len(a) == 4 else {"m": len(a), "d": len(b)} if month_first else {"d": len(a), "m": len(b)}
+    short = "".join(x for x in "md" if places[x] == 1)
+    kind = "date" + ("m" if month_first else "d" if day_only else "") + short
     while True:
         n = permute(n, _DAYS, key, kind, back)
         d = datetime.date.fromordinal(_FIRST + n)
-        if not day_only or d.day > 12:  # so that the form stays what it was
+        # So that the form stays what it was.
+        if (not day_only or d.day > 12) and (d.month < 10 or "m" not in short) and (d.day < 10 or "d" not in short):
             break
-    y, m, day = f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"
+    y, m, day = f"{d.year:04d}", f"{d.month:0{places['m']}d}", f"{d.day:0{places['d']}d}"
     if len(a) == 4:
         return f"{y}{sign}{m}{sign}{day}"
     return f"{m}{sign}{day}{sign}{y}" if month_first else f"{day}{sign}{m}{sign}{y}"
@@ -201,14 +223,29 @@ def email(text: str, key: bytes, back: bool = False) -> str | None:
 #: What can hold a number; it begins with a digit, so that texts without any are passed over quickly.
 _RUN = re.compile(r"\d[\d().+\-/ ]{4,}\d")
 _FORMS: list[tuple[str, re.Pattern, Callable]] = [
-    ("date", re.compile(r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d\-/]|\.\d)"), date),
+    ("date", re.compile(r"(?:(?<![\d.\-/])|(?<=\d{4}-\d{2}-\d{2}/))(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d\-]|\.\d|/(?!\d{4}-\d{2}-\d{2}(?!\d)))"), date),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), ip),
+    ("international", re.compile(r"(?<![\d+])\+\d{1,14}(?:[ .\-/]?(?:\(\d{1,5}\) ?)?\d{1,14}){0,7}(?!\d)"), international),
     ("ssn", re.compile(r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])"), ssn),
     ("phone", re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)"), phone),
-    ("card", re.compile(r"(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.+-])\d{13,19}(?!\d)"), card),
+    ("card", re.compile(r"(?<![\d.+-])\d{4}([ -])\d{6}\1\d{4,5}(?!\d)|(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.+-])\d{13,19}(?!\d)"), card),
     ("number", re.compile(r"(?<![\d.+-])\d{13,19}(?!\d)"), number),
 ]
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Lengths of the IBANs of each country.
+_LENGTHS = {
+    c: int(n)
+    for n, cs in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ "
+            "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,CY,DO,GT,HU,LB,PL 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+        ).split()
+    )
+    for c in cs.split(",")
+}
+#: Calling codes of two digits.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
@@ -235,13 +272,24 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
         at = text.find("@", max(at + 1, found.end() if found else 0))
     runs = list(_RUN.finditer(text))
     if runs:
-        for found in _IBAN.finditer(text):
-            add(*found.span(), iban(found.group(), key, back))
+        at = 0
+        while found := _IBAN.search(text, at):
+            value = found.group()
+            # Words in capitals may follow: the country's length first, then the longest.
+            ends = [len(value), *(k for k in range(len(value) - 1, 14, -1) if value[k] == " ")]
+            ends.sort(key=lambda k: len(value[:k].replace(" ", "")) != _LENGTHS.get(value[:2]))
+            end = next((k for k in ends if add(found.start(), found.start() + k, iban(value[:k], key, back))), 0)
+            at = found.start() + (end or 2)
     for run in runs:
         for _, form, change in _FORMS:
             # A sign or a parenthesis may come before.
             for found in form.finditer(text, max(0, run.start() - 2), run.end()):
-                add(*found.span(), change(found.group(), key, back))
+                value = found.group()
+                # Other numbers may follow an international one.
+                while not add(found.start(), found.start() + len(value), change(value, key, back)) and change is international:
+                    value = re.sub(r"[^\d]+\d*$", "", value)
+                    if len(value) < 9:
+                        break
     out, last = [], 0
     for start, end, new in sorted(taken):
         out += [text[last:start], new]
