@@ -334,6 +334,15 @@ def test_decontamination(spark, awkward, empty):
     assert decontaminate.contaminated(docs_of(spark, [(1, q, "a")]), spark.createDataFrame([(1, q, prose(9, 1))], "item_id long, question string, answer string")).count() == 0
 
 
+def test_decontamination_truncated(spark):
+    """Of items without an answer column, a copy of most words is a leak, whichever end is cut off; a few words aren't."""
+    items = [(k, prose(40, 500 + k)) for k in range(12)]
+    cuts = [slice(0, 30), slice(14, 40), slice(0, 10), slice(32, 40)]
+    df = docs_of(spark, [(k, f"{prose(30, k)} {' '.join(items[k][1].split()[cuts[k % 4]])} {prose(30, 90 + k)}", "a") for k in range(12)])
+    got = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == {(k, k) for k in range(12) if k % 4 < 2}
+
+
 def test_decontamination_shards(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 4)
     items = [(k, prose(25, 500 + k)) for k in range(10)]

@@ -8,8 +8,8 @@ its greatest impact in each.  The sums of these over a passage's terms bound
 all scores in a range; they're computed for a whole Arrow batch of passages at
 once, and WAND runs over the ranges whose bound reaches the threshold only:
 that leaves out no item that could reach it.  The items found are then
-verified: enough word n-grams of the question part and of the answer part must
-occur in the passage.
+verified: enough word n-grams of the question and of the answer, where columns
+say which they are, and else of the whole item must occur in the passage.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, so that what an
 executor holds doesn't grow with the benchmarks; each shard is one more pass.
@@ -31,10 +31,8 @@ from .words import Words, pieces, strings
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
-#: Share of the n-grams of the question and of the answer that a passage must have, and words of an n-gram.
+#: Share of the n-grams of the question (or of an item that isn't parted) and of the answer that a passage must have, and words of an n-gram.
 QUESTION, ANSWER, GRAM = 0.5, 0.5, 3
-#: Where no column says which part is the answer: the last so much of the item's words.
-ANSWER_SHARE = 0.25
 BLOCKS = 64
 SHARD_ITEMS = 20_000
 
@@ -71,7 +69,10 @@ class Index:
         parts = Words(strings(pa.array(answers, pa.string()))) if answers is not None else None
         for k in range(n):
             h = w.h[w.first[k] : w.first[k + 1]]
-            size = max(1, round(len(h) * ANSWER_SHARE)) if parts is None else int(parts.first[k + 1] - parts.first[k])
+            if parts is None:
+                self.question.append(_grams(h))
+                continue
+            size = int(parts.first[k + 1] - parts.first[k])
             self.question.append(_grams(h[: len(h) - size]))
             self.answer.append(_grams(h[len(h) - size :]))
 
@@ -122,9 +123,9 @@ class Index:
         return found
 
     def overlap(self, item: int, h: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and of the answer's n-grams that occur in a passage."""
+        """Shares of the question's and of the answer's n-grams that occur in a passage; both that of the whole item where it isn't parted."""
         shares = []
-        for part in (self.question[item], self.answer[item]):
+        for part in (self.question[item], self.answer[item] if self.answer else self.question[item]):
             shares.append(float(np.isin(part[1], _grams(h, part[0])[1]).mean()) if len(part[1]) else 1.0)
         return shares[0], shares[1]
 
