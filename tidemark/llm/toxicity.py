@@ -9,6 +9,11 @@ no sum of single weights can tell from either word alone.
 The machine is fitted in numpy on a bounded sample of the labelled documents
 (SAMPLE) and its weights, whose size is fixed by BITS and FACTORS, go to the
 executors, where whole Arrow batches of whole texts are scored at once.
+
+A term takes part if its own share of toxic documents differs from chance, or if
+its share together with some other term does from what the machine of the single
+terms expects there: two words that are harmless alone are kept for their pair.
+Terms that tell nothing either way would only add noise to long texts.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ from .words import pieces
 SAMPLE = 20_000
 #: Hashed terms and factors of each; terms seen in fewer than LEAST sampled documents have no weight.
 BITS, FACTORS, LEAST = 20, 4, 4
+#: Least evidence, in nats of likelihood, that a pair of terms tells more than the two by themselves; e**-24 is chance for each of some 10**8 pairs.
+EVIDENCE = 24.0
+#: Most pairs of terms looked at in the fit; the shortest documents of the sample come first.
+PAIRS = 200_000_000
 #: Bytes of a stem, and of the least word that has one.
 STEM = (4, 6)
 #: Least probability, with both classes weighing the same, of a document that is reported.
@@ -74,35 +83,63 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, least: int = LEAST, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss, both classes weighing the same; rows has the hashed terms of each document.
+def _divergence(seen: np.ndarray, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n times the Kullback-Leibler divergence of the shares seen/n and expected/n: Chernoff's bound on chance, as nats."""
+    q, p = seen / n, np.clip(expected / n, 1e-9, 1 - 1e-9)
+    tiny = 1e-12
+    return n * (q * np.log((q + tiny) / p) + (1 - q) * np.log((1 - q + tiny) / (1 - p)))
 
-    With no labelled row of either class there is nothing to learn: everything is then clean.
-    """
-    size = 1 << bits
-    labels = np.asarray(labels, float)
-    slot = np.full(size, -1, np.int32)
-    positive = labels.sum()
-    if not 0 < positive < len(labels):
-        return Machine(bits, -4.0, slot, np.zeros(1), np.zeros((1, factors)))
-    length = np.array([len(r) for r in rows])
-    term = np.concatenate(rows) if length.sum() else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), length)
-    df = np.bincount(term, minlength=size)
-    df1 = np.bincount(term, labels[doc], minlength=size)
-    # Terms whose share among the toxic differs by less than chance would explain only add noise to long texts.
-    p = positive / len(labels)
-    z = (df1 - df * p) / np.sqrt(np.maximum(df, 1) * p * (1 - p))
-    kept = np.flatnonzero((df >= least) & (np.abs(z) >= 4))
-    if not len(kept):
-        return Machine(bits, -4.0, slot, np.zeros(1), np.zeros((1, factors)))
+
+def telling_pairs(start: np.ndarray, term: np.ndarray, labels: np.ndarray, expected: np.ndarray, size: int, least: int, evidence: float = EVIDENCE, most: int = PAIRS) -> np.ndarray:
+    """Terms whose toxic share together with another term differs from the expected one; start has where each document's terms begin."""
+    length = np.diff(start)
+    order = np.argsort(length, kind="stable")
+    chosen = np.sort(order[np.cumsum(length[order].astype(np.int64) ** 2) <= most])
+    doc = np.repeat(np.arange(len(chosen)), length[chosen])
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    terms = term[np.repeat(start[chosen] - np.concatenate([[0], np.cumsum(length[chosen])[:-1]]), length[chosen]) + np.arange(len(doc))]
+    df = np.bincount(terms, minlength=size)
+    # A pair needs this many documents to reach the evidence at all.
+    names = np.flatnonzero(df >= max(least, 8))
+    number = np.full(size, -1)
+    number[names] = np.arange(len(names))
+    own = number[terms]
+    doc, own = doc[own >= 0], own[own >= 0]
+    begin = np.searchsorted(doc, np.arange(len(chosen) + 1))
+    by_term = np.argsort(own, kind="stable")
+    cut = np.searchsorted(own[by_term], np.arange(len(names) + 1))
+    y, p = labels[chosen], expected[chosen]
+    hit = np.zeros(len(names), bool)
+    for t in range(len(names)):
+        d = doc[by_term[cut[t] : cut[t + 1]]]
+        count = begin[d + 1] - begin[d]
+        at = np.repeat(begin[d] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        other = own[at]
+        n = np.bincount(other, minlength=len(names))
+        seen = np.bincount(other, np.repeat(y[d], count), len(names))
+        mean = np.bincount(other, np.repeat(p[d], count), len(names))
+        can = np.flatnonzero(n >= max(least, 8))
+        can = can[can != t]
+        good = can[_divergence(seen[can], mean[can], n[can]) >= evidence]
+        # A pair of terms that only occur together tells what each of them does.
+        good = good[(n[good] < df[names[t]]) | (n[good] < df[names[good]])]
+        if len(good):
+            hit[t] = True
+            hit[good] = True
+    return names[hit]
+
+
+def _descend(kept: np.ndarray, term: np.ndarray, doc: np.ndarray, labels: np.ndarray, bits: int, factors: int, epochs: int, rate: float, l2: float, seed: int) -> Machine:
+    """AdaGrad over the terms kept."""
+    slot = np.full(1 << bits, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     s = slot[term]
     ok = s >= 0
     s, doc = s[ok], doc[ok]
     rng = np.random.default_rng(seed)
-    n, k = len(rows), len(kept)
-    m = Machine(bits, 0.0, slot, np.zeros(k), rng.normal(0, 0.05, (k, factors)))
+    n, k, positive = len(labels), len(kept), labels.sum()
+    m = Machine(bits, 0.0, slot, np.zeros(k), rng.normal(0, 0.1, (k, factors)))
     weight = np.where(labels > 0, 0.5 / positive, 0.5 / (n - positive)) * n
     order_start = np.searchsorted(doc, np.arange(n + 1))
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, factors), 1e-8)
@@ -130,6 +167,44 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     return m
 
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, least: int = LEAST, epochs: int = 40, rate: float = 0.1, l2: float = 2e-4, seed: int = 7) -> Machine:
+    """A machine on the logistic loss, both classes weighing the same; rows has the hashed terms of each document.
+
+    Without labelled rows of both classes there is nothing to learn: everything is then clean.
+    """
+    size = 1 << bits
+    labels = np.asarray(labels, float)
+    constant = Machine(bits, -4.0, np.full(size, -1, np.int32), np.zeros(1), np.zeros((1, factors)))
+    positive = labels.sum()
+    if not 0 < positive < len(labels):
+        return constant
+    length = np.array([len(r) for r in rows])
+    term = np.concatenate(rows) if length.sum() else np.zeros(0, np.int64)
+    start = np.concatenate([[0], np.cumsum(length)])
+    doc = np.repeat(np.arange(len(rows)), length)
+    df = np.bincount(term, minlength=size)
+    df1 = np.bincount(term, labels[doc], minlength=size)
+    p = positive / len(labels)
+    z = (df1 - df * p) / np.sqrt(np.maximum(df, 1) * p * (1 - p))
+    single = np.flatnonzero((df >= least) & (np.abs(z) >= 4))
+    m = _descend(single, term, doc, labels, bits, factors, epochs, rate, l2, seed) if len(single) else constant
+    # What the single terms expect of each document, at the sample's own share of toxic ones.
+    if len(single):
+        s = m.slot[term]
+        out = m._score(len(rows), doc[s >= 0], s[s >= 0])
+        lo, hi = -60.0, 60.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (1 / (1 + np.exp(-np.clip(out + mid, -40, 40)))).mean() < p else (lo, mid)
+        expected = 1 / (1 + np.exp(-np.clip(out + lo, -40, 40)))
+    else:
+        expected = np.full(len(rows), p)
+    kept = np.union1d(single, telling_pairs(start, term, labels, expected, size, least))
+    if not len(kept):
+        return constant
+    return m if len(kept) == len(single) else _descend(kept, term, doc, labels, bits, factors, 2 * epochs, rate, l2, seed)
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most so many labelled documents, chosen by a hash of their ids."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -156,9 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, bits: int = BI
 def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """Documents found toxic: (doc_id, score), score at least the threshold.
 
-    Whole texts are scored.  Rows without doc_id or text aren't judged; an empty
-    text is clean; equal texts get equal scores; a repeated id is listed once,
-    with its highest score.
+    Whole texts are scored, however long.  Rows without doc_id or text aren't
+    judged; an empty text is clean; equal texts get equal scores; a repeated id is
+    listed once, with its highest score.  With labels of one class only, or none,
+    and of an empty table nothing is found.  Other columns of docs aren't looked at.
     """
     spark = ready(docs.sparkSession)
     machine = spark.sparkContext.broadcast(train(docs, labels, most))
@@ -174,5 +250,8 @@ def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the toxic ones; fitted on those of docs that have labels."""
+    """docs without the toxic ones; fitted on those of docs that have labels.
+
+    All rows of a doc_id go if one of its texts is toxic; rows that can't be judged stay.
+    """
     return without(docs, settle(toxic(docs, labels).select("doc_id")))
