@@ -6,9 +6,13 @@ another value of the same format that is valid in the same way.  A value is
 written as a number below the count of values of its format, and a Feistel
 network permutes these numbers: as it is a permutation under one key, equal
 values get equal pseudonyms in all documents, different ones different, and who
-has the key can go back.
+has the key can go back.  Spellings of one value stay linked: a date is permuted
+as a day, whichever way it is written, within its century and within the days
+and months that need as many digits and can be read in as many ways; a telephone
+number as its digits, with or without the +1.
 
-Left out are telephone numbers without + other than in groups of 3-3-4, with + those
+What fails validation, such as a long number without Luhn's check digit, is left
+as it is, and so are digits other than 0 to 9.  Left out are telephone numbers without + other than in groups of 3-3-4, with + those
 of fewer than 8 digits, cards in groups other than 4-4-4-1 to 7, 4-6-5 and 4-6-4, dates
 with names of months or years of two digits, IPv6 addresses, and names.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -66,12 +71,12 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if "0" <= c <= "9")
 
 
 def _refill(text: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in text)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in text)
 
 
 def card(text: str, key: bytes, back: bool = False) -> str | None:
@@ -82,19 +87,6 @@ def card(text: str, key: bytes, back: bool = False) -> str | None:
     return _refill(text, body + next(c for c in "0123456789" if luhn(body + c)))
 
 
-def number(text: str, key: bytes, back: bool = False) -> str | None:
-    """A long number that fails Luhn's check keeps failing it: an account number rather than a card."""
-    d = _digits(text)
-    if luhn(d):
-        return None
-    n = int(d[1:])
-    while True:
-        n = permute(n, 10 ** (len(d) - 1), key, "number" + d[0], back)
-        out = d[0] + str(n).zfill(len(d) - 1)
-        if not luhn(out):
-            return _refill(text, out)
-
-
 def ip(text: str, key: bytes, back: bool = False) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -107,18 +99,19 @@ def phone(text: str, key: bytes, back: bool = False) -> str | None:
     d = _digits(text)
     if not 10 <= len(d) <= 15:
         return None
-    country, rest = d[:-10], d[-10:]
+    written, rest = d[:-10], d[-10:]
+    country = written or "1"
     if rest[0] in "01" or rest[3] in "01":
         # No North American number: all but the country's digits and the first of the rest.
         n = permute(int(rest[1:]), 10**9, key, f"phone{country}{rest[0]}", back)
         while str(n).zfill(9)[2] not in "01" and rest[0] not in "01":
             n = permute(n, 10**9, key, f"phone{country}{rest[0]}", back)
-        return _refill(text, country + rest[0] + str(n).zfill(9))
+        return _refill(text, written + rest[0] + str(n).zfill(9))
     n = ((int(rest[0]) - 2) * 100 + int(rest[1:3])) * 800 + (int(rest[3]) - 2) * 100 + int(rest[4:6])
     n = permute(n * 10_000 + int(rest[6:]), 800 * 800 * 10_000, key, "phone" + country, back)
     head, line = divmod(n, 10_000)
     area, exchange = divmod(head, 800)
-    return _refill(text, f"{country}{area + 200:03d}{exchange + 200:03d}{line:04d}")
+    return _refill(text, f"{written}{area + 200:03d}{exchange + 200:03d}{line:04d}")
 
 
 def country(digits: str) -> int:
@@ -148,39 +141,31 @@ def ssn(text: str, key: bytes, back: bool = False) -> str | None:
     return f"{a:03d}{text[3]}{b + 1:02d}{text[6]}{c + 1:04d}"
 
 
-_FIRST = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
+def _class(d: datetime.date) -> tuple[int, int, bool]:
+    """Dates that are permuted among themselves: of a century, with days up to 9, up to 12 or beyond, and with months up to 9 or beyond."""
+    return d.year // 100, (d.day > 9) + (d.day > 12), d.month > 9
+
+
+@lru_cache(1 << 8)
+def _days(century: int, days: int, late: bool) -> list[int]:
+    first, last = datetime.date(max(1, 100 * century), 1, 1), datetime.date(100 * century + 99, 12, 31)
+    return [n for n in range(first.toordinal(), last.toordinal() + 1) if _class(datetime.date.fromordinal(n)) == (century, days, late)]
 
 
 def date(text: str, key: bytes, back: bool = False) -> str | None:
     a, sign, b, _, c = re.split(r"([-/.])", text)
-    if len(a) == 4:
-        order = (a, b, c)
-    else:
-        # Day first with dots; with slashes month first if that is a date, which the pseudonym then is too.
-        order = (c, b, a) if sign == "." or int(a) > 12 else (c, a, b)
-    month_first = len(a) != 4 and sign != "." and int(a) <= 12
+    # Year first; day first with dots; else month first, if that is a date.
+    order = "ymd" if len(a) == 4 else "dmy" if sign == "." or int(a) > 12 else "mdy"
+    written = dict(zip(order, (a, b, c)))
     try:
-        n = datetime.date(*map(int, order)).toordinal() - _FIRST
+        d = datetime.date(int(written["y"]), int(written["m"]), int(written["d"]))
     except ValueError:
         return None
-    if not 0 <= n < _DAYS:
-        return None
-    day_only = len(a) != 4 and sign != "." and not month_first
-    # A day or month of one digit stays one; with both of two the form is the padded one.
-    places = {"y": len(a), "m": len(b), "d": len(c)} if len(a) == 4 else {"m": len(a), "d": len(b)} if month_first else {"d": len(a), "m": len(b)}
-    short = "".join(x for x in "md" if places[x] == 1)
-    kind = "date" + ("m" if month_first else "d" if day_only else "") + short
-    while True:
-        n = permute(n, _DAYS, key, kind, back)
-        d = datetime.date.fromordinal(_FIRST + n)
-        # So that the form stays what it was.
-        if (not day_only or d.day > 12) and (d.month < 10 or "m" not in short) and (d.day < 10 or "d" not in short):
-            break
-    y, m, day = f"{d.year:04d}", f"{d.month:0{places['m']}d}", f"{d.day:0{places['d']}d}"
-    if len(a) == 4:
-        return f"{y}{sign}{m}{sign}{day}"
-    return f"{m}{sign}{day}{sign}{y}" if month_first else f"{day}{sign}{m}{sign}{y}"
+    every = _days(*_class(d))
+    n = permute(bisect_left(every, d.toordinal()), len(every), key, "date%d.%d.%d" % _class(d), back)
+    d = datetime.date.fromordinal(every[n])
+    new = {"y": f"{d.year:04d}", "m": f"{d.month:0{len(written['m'])}d}", "d": f"{d.day:0{len(written['d'])}d}"}
+    return sign.join(new[x] for x in order)
 
 
 def _letters(text: str, key: bytes, kind: str, back: bool) -> str:
@@ -221,17 +206,16 @@ def email(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 #: What can hold a number; it begins with a digit, so that texts without any are passed over quickly.
-_RUN = re.compile(r"\d[\d().+\-/ ]{4,}\d")
+_RUN = re.compile(r"\d[\d().+\-/ ]{4,}\d", re.ASCII)
 _FORMS: list[tuple[str, re.Pattern, Callable]] = [
-    ("date", re.compile(r"(?:(?<![\d.\-/])|(?<=\d{4}-\d{2}-\d{2}/))(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d\-]|\.\d|/(?!\d{4}-\d{2}-\d{2}(?!\d)))"), date),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), ip),
-    ("international", re.compile(r"(?<![\d+])\+\d{1,14}(?:[ .\-/]?(?:\(\d{1,5}\) ?)?\d{1,14}){0,7}(?!\d)"), international),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])"), ssn),
-    ("phone", re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)"), phone),
-    ("card", re.compile(r"(?<![\d.+-])\d{4}([ -])\d{6}\1\d{4,5}(?!\d)|(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.+-])\d{13,19}(?!\d)"), card),
-    ("number", re.compile(r"(?<![\d.+-])\d{13,19}(?!\d)"), number),
+    ("date", re.compile(r"(?:(?<![\d.\-/])|(?<=\d{4}-\d{2}-\d{2}/))(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d\-]|\.\d|/(?!\d{4}-\d{2}-\d{2}(?!\d)))", re.ASCII), date),
+    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.ASCII), ip),
+    ("international", re.compile(r"(?<![\d+])\+\d{1,14}(?:[ .\-/]?(?:\(\d{1,5}\) ?)?\d{1,14}){0,7}(?!\d)", re.ASCII), international),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])", re.ASCII), ssn),
+    ("phone", re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)", re.ASCII), phone),
+    ("card", re.compile(r"(?<![\d.+-])\d{4}([ -])\d{6}\1\d{4,5}(?!\d)|(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.+-])\d{13,19}(?!\d)", re.ASCII), card),
 ]
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
 #: Lengths of the IBANs of each country.
 _LENGTHS = {
     c: int(n)
@@ -301,8 +285,10 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
 def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with pseudonyms in text, and replaced: how many values were.
 
-    All rows are returned; without a value the text is as it was, a missing text
-    stays missing and has 0.  A column of docs named replaced is overwritten.
+    All rows are returned, an empty table gives none; without a value the text is
+    as it was, a missing text stays missing and has 0, rows without doc_id are
+    changed like others.  Whole texts are read, however long, and rows that repeat
+    are changed alike.  A column of docs named replaced is overwritten.
     """
     ready(docs.sparkSession)
     docs = docs.drop("replaced").withColumn("text", F.col("text").cast("string"))
