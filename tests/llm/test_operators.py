@@ -379,6 +379,34 @@ def test_exact_dedup(spark):
     assert ids(exact_dedup.exact_dedup(df)) == sorted(first.values())
 
 
+def test_exact_dedup_kept_filters(spark, tmp_path):
+    """A snapshot's filters are right for batches that come later, whatever the session's number of partitions is by then."""
+    old = docs_of(spark, [(k, f"text {k}", "a") for k in range(1000)])
+    exact_dedup.Snapshot.of(old, 8).write(str(tmp_path / "kept"))
+    kept = exact_dedup.Snapshot.read(old, str(tmp_path / "kept"))
+    batch = docs_of(spark, [(5000 + k, f"text {2 * k}", "a") for k in range(1000)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        got = exact_dedup.copies(batch, kept)
+        assert {(r["doc_id"], r["duplicate_of"]) for r in got.collect()} == {(5000 + k, 2 * k) for k in range(500)}
+        assert exact_dedup.screen(batch.selectExpr("xxhash64(text) AS digest"), kept.filters).count() < 520
+        with pytest.raises(ValueError, match="one snapshot"):
+            exact_dedup.screen(kept.digests, kept.filters.union(exact_dedup.Snapshot.of(old, 3).filters))
+        none = exact_dedup.Snapshot.of(old.limit(0), 4)
+        assert exact_dedup.copies(batch, none).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exact_dedup_one_digest(spark, monkeypatch):
+    """Different texts with one digest are told apart by their bytes."""
+    df = docs_of(spark, [(1, "x", "a"), (2, "y", "a"), (3, "x", "a"), (4, "y", "a"), (5, "z", "a")])
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    for got in (exact_dedup.copies(df), exact_dedup.copies(df.where("doc_id > 2"), df.where("doc_id < 3"))):
+        assert {(r["doc_id"], r["duplicate_of"], r["copies"]) for r in got.collect()} == {(3, 1, 2), (4, 2, 2)}
+
+
 def test_exact_dedup_awkward(spark, awkward, empty):
     got = {(r["doc_id"], r["duplicate_of"], r["copies"]) for r in exact_dedup.copies(awkward).collect()}
     assert got == {(2, 1, 2), (5, 4, 4), (6, 4, 4), (9, 8, 2)}
