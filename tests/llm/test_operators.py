@@ -210,9 +210,19 @@ def test_mixing(spark):
 
 def test_mixing_tree():
     blocks = np.array([1000, 50, 3, 0])
-    leaves = mixing.split(blocks, 7)
+
+
+    def dense(shards, seed=mixing.SEED, top=1):
+        out = np.zeros((shards, 4), np.int64)
+        for lo, hi, i, b in mixing.split(np.arange(4), blocks, 1053, shards, 0, shards, seed, top):
+            for k, _, j, c in mixing.split(i, b, 1053, shards, lo, hi, seed):
+                out[k, j] = c
+        return out
+
+    leaves = dense(7)
+    assert all((dense(7, top=t) == leaves).all() for t in (2, 3, 7))
     assert (leaves.sum(0) == blocks).all() and (leaves >= 0).all() and np.ptp(leaves.sum(1)) <= 1
-    mean = np.mean([mixing.split(blocks, 4, seed)[0] for seed in range(400)], 0)
+    mean = np.mean([dense(4, seed)[0] for seed in range(400)], 0)
     assert np.abs(mean - blocks / 4).max() < 1.2
     assert mixing.quotas({"a": 10, "b": 3}, {"a": 0.5, "b": 0.5}) == {"a": 3, "b": 3}
     assert mixing.quotas({"a": 10, "b": 10, "c": 10}, mixing.targets({"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1, "c": 1})) == {"a": 10, "b": 10, "c": 10}
@@ -228,6 +238,46 @@ def test_mixing_keeps_all_by_default(spark):
     assert len(got) == 500 and by[None] == 1 and by["small"] == 88 and len({r["doc_id"] for r in got}) == 500
 
 
+def brute_mix(rows, take, leaves, block, hashes):
+    """Shard of each row: its place in the order of its source's hashes, in the blocks of the tree's leaves."""
+    out = {}
+    for s, n in take.items():
+        mine = sorted((hashes[k], k) for k, r in enumerate(rows) if (r[2] or mixing.UNKNOWN) == s)[:n]
+        ends = np.cumsum([b.get(s, 0) for b in leaves])
+        for place, (_, k) in enumerate(mine):
+            out[k] = int(np.searchsorted(ends, place // block, "right"))
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 3, "s1": 1, "s4": 1}])
+def test_mixing_is_brute_force(spark, weights):
+    r = random.Random(5)
+    rows = [(k, f"t{k}", "hot" if k % 3 else r.choice(["s1", "s4", None])) for k in range(900)]
+    df = docs_of(spark, rows)
+    hashes = {x["doc_id"]: x["h"] for x in df.select("doc_id", mixing._hash(df, mixing.SEED).alias("h")).collect()}
+    sizes = {s: sum((x[2] or mixing.UNKNOWN) == s for x in rows) for s in ("hot", "s1", "s4", mixing.UNKNOWN)}
+    take = mixing.quotas(sizes, mixing.targets(sizes, weights))
+    names, shards = list(take), max(1, round(sum(take.values()) / 50))
+    per = np.array([-(-take[s] // 8) for s in names])
+    leaves = [{names[j]: int(b) for j, b in zip(i, c)} for _, _, i, c in sorted(mixing.split(np.arange(len(names)), per, int(per.sum()), shards, 0, shards), key=lambda x: x[0])]
+    want = brute_mix(rows, take, leaves, 8, hashes)
+    got = mixing.mix(df, weights, block=8, shard_docs=50).collect()
+    assert {x["doc_id"]: x["shard"] for x in got} == want and len(got) == len(want)
+    for k in range(shards):
+        mine = [x for x in got if x["shard"] == k]
+        assert sorted(x["position"] for x in mine) == list(range(1, len(mine) + 1))
+
+
+def test_mixing_ties(spark):
+    """Rows with one id and text that differ elsewhere, and rows that are equal: the mix doesn't depend on how they are partitioned."""
+    df = docs_of(spark, [(1, "same", "a")] * 200 + [(None, None, None)] * 150).withColumn("more", F.when(F.rand(3) < 0.5, F.floor(F.rand(4) * 20))).withColumn("m", F.create_map(F.lit("k"), F.col("more")))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    key = lambda r: (r["doc_id"], r["more"], r["shard"], r["position"])
+    one, other = (sorted(map(key, mixing.mix(x, {"a": 1, mixing.UNKNOWN: 1}, shard_docs=64, total=120).collect()), key=repr) for x in (df, df.repartition(5)))
+    assert one == other and len(one) == 120 and sum(r[0] is None for r in one) == 60
+    assert mixing.mix(df).count() == 350
+
+
 def test_mixing_awkward(spark, awkward, empty):
     got = mixing.mix(awkward, temperature=1.0)
     assert got.count() == len(AWKWARD) and set(got.columns) == set(awkward.columns)
