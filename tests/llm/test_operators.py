@@ -393,6 +393,23 @@ def test_decontamination_truncated(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == {(k, k) for k in range(12) if k % 4 < 2}
 
 
+def test_decontamination_scores_do_not_depend_on_shards(spark, monkeypatch):
+    """Borderline passages, and one item that is far longer than the others: the same rows and scores however the items are cut."""
+    items = [(k, prose(20 + k % 9, 700 + k)) for k in range(30)] + [(30, prose(400, 9))]
+    r = random.Random(4)
+    rows = []
+    for k in range(90):
+        w = items[k % 30][1].split()
+        rows.append((k, f"{prose(40, k)} {' '.join(x for x in w if r.random() < 0.7)} {prose(300, 50 + k)}", "a"))
+    rows.append((99, f"{prose(20_000, 77)} {items[30][1]} {items[2][1]} {prose(5000, 78)}", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for size in (4, 1000):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", size)
+        got.append(sorted((x["doc_id"], x["item_id"], round(x["score"], 9), x["word"]) for x in decontaminate.contaminated(docs_of(spark, rows), bench).collect()))
+    assert got[0] == got[1] and {(99, 30), (99, 2)} <= {x[:2] for x in got[0]} and 10 < len(got[0]) < 90
+
+
 def test_decontamination_shards(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 4)
     items = [(k, prose(25, 500 + k)) for k in range(10)]

@@ -13,6 +13,8 @@ say which they are, and else of the whole item must occur in the passage.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, so that what an
 executor holds doesn't grow with the benchmarks; each shard is one more pass.
+Document frequencies, mean and longest length are those of all items, so scores
+and passages don't depend on how the items are cut.
 """
 
 from __future__ import annotations
@@ -37,24 +39,51 @@ BLOCKS = 64
 SHARD_ITEMS = 20_000
 
 
+def _words(questions: list[str | None], answers: list[str | None] | None) -> Words:
+    texts = questions if answers is None else [f"{q or ''}\n{a or ''}" for q, a in zip(questions, answers)]
+    return Words(strings(pa.array(texts, pa.string())))
+
+
+class Corpus:
+    """What BM25 has to know of all items: how many there are and how long, and in how many each term is."""
+
+    def __init__(self):
+        self.n = self.words = self.longest = 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, questions: list[str | None], answers: list[str | None] | None = None) -> Corpus:
+        w = _words(questions, answers)
+        length = np.diff(w.first)
+        self.n += len(length)
+        self.words += int(length.sum())
+        self.longest = max(self.longest, int(length.max(initial=0)))
+        own = [np.unique(w.h[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
+        terms, at = np.unique(np.concatenate([self.terms, *own]), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, np.ones(len(at) - len(self.df))]), len(terms)).astype(np.int64)
+        self.terms = terms
+        return self
+
+    @property
+    def mean(self) -> float:
+        return max(1.0, self.words / self.n) if self.n else 1.0
+
+
 class Index:
     """An inverted index with block-max impacts, each item's impacts being shares of its own score."""
 
-    def __init__(self, ids: list[int], questions: list[str | None], answers: list[str | None] | None = None):
-        texts = questions if answers is None else [f"{q or ''}\n{a or ''}" for q, a in zip(questions, answers)]
-        w = Words(strings(pa.array(texts, pa.string())))
+    def __init__(self, ids: list[int], questions: list[str | None], answers: list[str | None] | None = None, corpus: Corpus | None = None):
+        corpus = corpus or Corpus().add(questions, answers)
+        w = _words(questions, answers)
         self.ids = np.array(ids, np.int64)
         n = len(ids)
         length = np.diff(w.first)
-        self.longest = int(length.max()) if n else 0
-        self.passage = max(16, 2 * self.longest)
+        self.passage = max(16, 2 * corpus.longest)
         self.terms, term = np.unique(w.h, return_inverse=True)
         key, tf = np.unique(term.astype(np.int64) * max(n, 1) + w.row, return_counts=True)
         term, item = key // max(n, 1), key % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, length.mean()) if n else 1.0
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log1p((corpus.n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / corpus.mean))
         own = np.bincount(item, impact, n)
         impact = impact / np.maximum(own[item], 1e-12)
         cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -202,14 +231,23 @@ def _shards(benchmark: DataFrame) -> Iterator[Index]:
     columns = {"question", "answer"} <= set(benchmark.columns)
     parts = (F.col("question"), F.col("answer")) if columns else (F.col("text"), F.lit(None))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), parts[0].cast("string").alias("q"), parts[1].cast("string").alias("a")).where("q IS NOT NULL")
-    held: list = []
-    for r in items.orderBy("item_id", "q").toLocalIterator():
-        held.append(r)
-        if len(held) == SHARD_ITEMS:
-            yield Index([x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None)
-            held = []
-    if held:
-        yield Index([x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None)
+    items = settle(items)
+
+    def cut() -> Iterator[tuple[list, list, list | None]]:
+        held: list = []
+        for r in items.orderBy("item_id", "q", "a").toLocalIterator():
+            held.append(r)
+            if len(held) == SHARD_ITEMS:
+                yield [x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None
+                held = []
+        if held:
+            yield [x.item_id for x in held], [x.q for x in held], [x.a for x in held] if columns else None
+
+    corpus = Corpus()
+    for _, questions, answers in cut():
+        corpus.add(questions, answers)
+    for ids, questions, answers in cut():
+        yield Index(ids, questions, answers, corpus)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +256,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     One row for each document and item, that of the best passage (of equal ones
     the first).  Rows without doc_id or text, and items without item_id, text or
     words, match nothing; of items with equal texts each is reported.  Rows that
-    share a doc_id are one document.
+    share a doc_id are one document.  Whole texts are searched, however long; a
+    passage is twice as long as the longest item.  Empty tables have no matches.
     """
     spark = ready(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
