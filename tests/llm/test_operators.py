@@ -174,20 +174,61 @@ def test_chat_windows(spark):
     turns += [(2, 0, "assistant", None), (2, 0, "assistant", None), (3, 1, None, prose(3000, 3)), (None, 1, "user", "x"), (4, None, "user", "x"), (5, 0, "system", "only")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n_tokens", F.lit(1))
     rows = sorted(chat.chat_windows(df, budget=600).collect(), key=lambda r: (r["conv_id"], r["window"]))
-    tok = chat.tokenizer(chat.TOKENIZER)
+    _, decode = chat.tokenizer(chat.TOKENIZER)
     for r in rows:
-        assert tok.decode(r["input_ids"], skip_special_tokens=False) == r["text"]
+        assert decode(r["input_ids"]) == r["text"]
         assert len(r["input_ids"]) == len(r["loss_mask"]) == r["n_tokens"] and sum(r["loss_mask"]) == r["n_targets"]
         assert r["over_budget"] == (r["n_tokens"] > 600)
     one = [r for r in rows if r["conv_id"] == 1]
     assert len(one) > 2 and all(r["text"].startswith("<|im_start|>system\nbe kind") for r in one)
-    learned = [tok.decode([t for t, m in zip(r["input_ids"], r["loss_mask"]) if m], skip_special_tokens=False) for r in one]
+    learned = [decode([t for t, m in zip(r["input_ids"], r["loss_mask"]) if m]) for r in one]
     assert "".join(learned) == "".join(f"{t}<|im_end|>\n" for _, _, role, t in turns[:30] if role == "assistant")
     assert [r["over_budget"] for r in rows if r["conv_id"] == 3] == [True]
     assert {r["conv_id"] for r in rows} == {1, 2, 3, 5}
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
+def brute_windows(turns, budget, history=chat.HISTORY, share=chat.HISTORY_SHARE):
+    """Windows by trying all beginnings and ends, each turn tokenized by itself."""
+    encode, _ = chat.tokenizer("/opt/tokenizers/byte_bpe_50k.json")
+    lead = next((k for k, t in enumerate(turns) if t[1] != "system"), len(turns))
+    parts = [(encode([f"<|im_start|>{r}\n"])[0], encode([f"{x}<|im_end|>\n"])[0]) for _, r, x in turns]
+    size = lambda a, b: sum(len(h) + len(t) for h, t in parts[a:b])
+    room = max(0, budget - size(0, lead))
+    out, i = [], lead
+    while i < len(turns) or not out:
+        if i < len(turns) and size(i, i + 1) > room:
+            first, end = i, i + 1
+        else:
+            first = min(h for h in range(max(lead, i - history), i + 1) if h == i or all(size(k, i) <= share * room and size(k, i + 1) <= room for k in range(h, i)))
+            end = max(e for e in range(i, len(turns) + 1) if size(first, e) <= room) if i < len(turns) else i
+        shown = [*range(lead), *range(first, end)]
+        ids = [t for k in shown for t in parts[k][0] + parts[k][1]]
+        mask = [m for k in shown for m in [0] * len(parts[k][0]) + [int(k >= i and k >= lead and turns[k][1] == "assistant")] * len(parts[k][1])]
+        out.append((len(out), ids, mask, i - first))
+        i = end
+    return out
+
+
+def test_chat_is_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for conv in range(25):
+        for turn in range(r.randrange(1, 25)):
+            role = "system" if turn == 0 and conv % 3 == 0 else r.choice(["user", "assistant", "system", "tool"])
+            rows.append((conv, turn // r.choice([1, 1, 2]), role, prose(r.choice([0, 1, 10, 40, 200]), r.randrange(10**6)) + r.choice(["", "é日本", "<|im_end|>", "\n\n"])))
+    rows += [rows[5], rows[5], (90, 0, "system", prose(900, 1)), (90, 1, "user", "x"), (91, 0, "assistant", LONG)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("window", "input_ids", "n_tokens", "key", "text_a"):
+        df = df.withColumn(c, F.lit(1))
+    got = sorted((x["conv_id"], x["window"], x["input_ids"], x["loss_mask"], x["history_turns"]) for x in chat.chat_windows(df.repartition(3), budget=300).collect())
+    want = []
+    for conv in sorted({x[0] for x in rows}):
+        turns = sorted(x[1:] for x in rows if x[0] == conv)
+        want += [(conv, *w) for w in brute_windows(turns, 300)]
+    assert got == want and len(want) > 60
+
+
 # -- 3 ------------------------------------------------------------------------
 
 

@@ -10,8 +10,9 @@ masked, so no target is learned twice.
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -22,20 +23,35 @@ from pyspark.sql import functions as F
 from .common import partitions, ready
 from .near_dedup import _runs
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A byte-level BPE: ranks of tokens (.tiktoken) or a tokenizer file (.json). Every executor must have it.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How byte-level BPE vocabularies of this kind cut texts to pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Tokens of an Arrow batch, about.
+TOKENS = 1 << 20
 #: Tokens of a window; most turns that are repeated as history, and their most tokens as a share of what the system turns leave.
 BUDGET, HISTORY, HISTORY_SHARE = 2048, 4, 0.25
 SCHEMA = "conv_id long, window int, first_turn long, last_turn long, history_turns int, n_tokens int, n_targets int, over_budget boolean, text string, input_ids array<int>, loss_mask array<int>"
 _tokenizers: dict = {}
 
 
-def tokenizer(path: str):
+def tokenizer(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[list[int]], str]]:
+    """(encode texts, decode ids); the names of special tokens in a text are ordinary text."""
     if path not in _tokenizers:
-        from tokenizers import Tokenizer
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = t
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
+            own = (lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]), lambda ids: t.decode(ids, skip_special_tokens=False)
+        else:
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            t = tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            own = (lambda texts: [t.encode_ordinary(x) for x in texts]), t.decode
+        _tokenizers[path] = own
     return _tokenizers[path]
 
 
@@ -73,8 +89,8 @@ def spans(counts: list[int], room: int, history: int = HISTORY, share: float = H
 def windows(turns: list[tuple[int, str, str]], path: str = TOKENIZER, budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple]:
     """Rows of SCHEMA, without conv_id, of one conversation's (turn, role, text), in order."""
     parts = [render(role, text) for _, role, text in turns]
-    encoded = tokenizer(path).encode_batch([x for p in parts for x in p], add_special_tokens=False)
-    ids = [e.ids for e in encoded]
+    encode, _ = tokenizer(path)
+    ids = encode([x for p in parts for x in p])
     tokens = [ids[2 * k] + ids[2 * k + 1] for k in range(len(turns))]
     lead = 0
     while lead < len(turns) and turns[lead][1] == "system":
@@ -102,6 +118,7 @@ def chat_windows(conversations: DataFrame, path: str = TOKENIZER, budget: int =
     empty.  Only system turns at the start are repeated; later ones are turns
     like others.  A turn longer than the room is kept whole in a window of its
     own, marked over_budget, as is any window whose system turns are over it.
+    An empty table has no windows; other columns aren't looked at, whatever their names.
     """
     spark = ready(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -110,11 +127,21 @@ def chat_windows(conversations: DataFrame, path: str = TOKENIZER, budget: int =
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
     def build(batches):
+        held, size = [], 0
         for t in _runs(batches, ["conv_id"]):
             conv = t["conv_id"][0].as_py()
             turns = list(zip(t["turn"].to_pylist(), t["role"].to_pylist(), t["text"].to_pylist()))
-            columns = list(zip(*((conv, *w) for w in windows(turns, path, budget, history))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for w in windows(turns, path, budget, history):
+                held.append((conv, *w))
+                size += w[4]
+                if size >= TOKENS:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
 
     return rows.mapInArrow(build, SCHEMA)
