@@ -346,22 +346,63 @@ def test_secrets(spark, awkward, empty):
 
 def test_warc_round_trip(spark, tmp_path):
     pages = [(k, f"http://x/{k}", "é" * k + "\r\n\r\nWARC/1.1") for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
     for compress in (False, True):
         data = warc.pack(pages, compress)
         parsed = list(warc.parse(data))
-        assert [p[3].decode() for p in parsed] == [h for _, _, h in pages] and sum(p[1] for p in parsed) == len(data)
+        assert [p[3].decode() for p in parsed] == [h for _, _, h in pages] and b"".join(p[4] for p in parsed) == data
         with pytest.raises(ValueError, match="cut off|no record|gzip"):
             list(warc.parse(data[:-9]))
-    folder = tmp_path / "w"
-    folder.mkdir()
-    (folder / "pages-00000000.warc").write_bytes(warc.pack(pages))
-    read = warc.read(spark, str(folder))
-    made = warc.leaves(spark.createDataFrame(pages, "page_id long, url string, html string"))
-    columns = ["file", "offset", "length", "record_id", "digest"]
-    assert sorted(map(tuple, read.select(columns).collect())) == sorted(map(tuple, made.select(columns).collect()))
-    assert warc.audit(made, read).count() == 0
-    (folder / "pages-00000000.warc").write_bytes(warc.pack([*pages[:7], (7, pages[7][1], "X" * 14 + pages[7][2][7:]), *pages[8:]]))
-    assert {r["status"] for r in warc.audit(made, warc.read(spark, str(folder))).collect()} >= {"changed"}
+        folder = tmp_path / f"w{compress}"
+        folder.mkdir()
+        name = f"pages-00000000-00000.warc{'.gz' if compress else ''}"
+        (folder / name).write_bytes(data)
+        read = warc.read(spark, str(folder))
+        made = warc.records(warc.packed(df, compress))
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, made.collect())) and warc.audit(made, read).count() == 0
+        (folder / name).write_bytes(warc.pack([*pages[:7], (7, pages[7][1], "X" * 14 + pages[7][2][7:]), *pages[8:]]))
+        assert {r["status"] for r in warc.audit(made, warc.read(spark, str(folder))).collect()} >= {"changed"}
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_warc_damage(compress):
+    """Whatever bytes are turned, cut or zeroed, all records elsewhere are found where they are."""
+    r = random.Random(5)
+    pages = [(k, f"http://x/{k}", prose(r.randrange(0, 300), k)) for k in range(40)]
+    data = warc.pack(pages, compress)
+    whole = list(warc.scan(data))
+    assert all(x.problem is None for x in whole)
+    for _ in range(60):
+        bad = bytearray(data)
+        hit = set()
+        for _ in range(r.randrange(1, 4)):
+            at, n = r.randrange(len(data)), r.choice([1, 1, 50, 3000])
+            n = min(n, len(data) - at)
+            kind = r.choice("tzr")
+            bad[at : at + n] = bytes(x ^ 64 for x in data[at : at + n]) if kind == "t" else bytes(n) if kind == "z" else r.randbytes(n)
+            hit |= {k for k, x in enumerate(whole) if x.offset < at + n and at < x.offset + len(x.stored)}
+        cut = r.choice([len(data), r.randrange(len(data))])
+        hit |= {k for k, x in enumerate(whole) if x.offset + len(x.stored) > cut}
+        got = {(x.offset, x.stored): x for x in warc.scan(bytes(bad[:cut]))}
+        for k, x in enumerate(whole):
+            if k not in hit:
+                assert got[x.offset, x.stored].payload == x.payload
+        assert sum(len(s) for _, s in got) <= cut
+
+
+def test_warc_takes_linear_time():
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        data = warc.pack([(k, "http://x", "y" * 2000) for k in range(n)], True)
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            assert sum(1 for _ in warc.scan(data)) == n
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 6 * took[0]
 
 
 def test_warc_audit(spark, monkeypatch):
@@ -384,10 +425,13 @@ def test_warc_audit(spark, monkeypatch):
 
 
 def test_warc_pages_awkward(spark):
-    pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "u", None), (None, "u", "h")], "page_id long, url string, html string").withColumn("file", F.lit(1)).withColumn("offset", F.lit(2))
-    got = warc.leaves(pages.drop("file", "offset")).collect()
-    assert len(got) == 3 and len({(r["file"], r["offset"]) for r in got}) == 3
-    assert warc.leaves(pages).count() == 3
+    pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "u", None), (None, "u", "h"), (3, "u", LONG)] + [(7, "u", "v")] * 120, "page_id long, url string, html string")
+    for c in ("file", "offset", "number", "content"):
+        pages = pages.withColumn(c, F.lit(2))
+    got = warc.records(warc.packed(pages)).collect()
+    assert len(got) == 124 and len({(r["file"], r["offset"]) for r in got}) == 124 and len({r["file"] for r in got}) == 3
+    assert {len(r["payload"]) for r in got} == {0, 1, len(LONG)} and warc.audit_pages(pages.limit(0)).count() == 0
+    assert warc.records(spark.createDataFrame([("a", b""), (None, b"x"), ("b", None), ("c", b"junk")], "file string, content binary")).select("file", "problem").collect() == [("c", "no record")]
 
 
 # -- 6 ------------------------------------------------------------------------

@@ -31,9 +31,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records against a replica with known damage."""
-    pages = _table(spark, sf_dir, "pages")
-    return warc.audit(warc.leaves(pages), warc.leaves(pages, warc.damaged()))
+    """The WARC files that the pages make against a replica with known damage."""
+    return warc.audit_pages(_table(spark, sf_dir, "pages"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
