@@ -572,16 +572,17 @@ def test_exact_dedup_awkward(spark, awkward, empty):
 # -- 8 ------------------------------------------------------------------------
 
 
-def brute_repeats(rows, length):
-    seen, starts = {}, {}
+def brute_repeats(rows, length, within=False):
+    seen, starts, count = {}, {}, {}
     for i, t, _ in rows:
         w = re.findall(r"[^\W_]+", t.lower())
         for s in range(len(w) - length + 1):
             seen.setdefault(tuple(w[s : s + length]), set()).add(i)
+            count[tuple(w[s : s + length])] = count.get(tuple(w[s : s + length]), 0) + 1
     for i, t, _ in rows:
         w = re.findall(r"[^\W_]+", t.lower())
         for s in range(len(w) - length + 1):
-            if len(seen[tuple(w[s : s + length])]) > 1:
+            if len(seen[tuple(w[s : s + length])]) > 1 or (within and count[tuple(w[s : s + length])] > 1):
                 starts.setdefault(i, []).append(s)
     out = set()
     for i, ss in starts.items():
@@ -608,6 +609,17 @@ def test_suffix_dedup(spark, length, span):
     rows += [(100, "la " * 200, "a"), (101, rows[0][1] + " tail", "a"), (102, rows[0][1], "a"), (103, "la la " * 99, "a"), (104, prose(30, 1) * 9, "a")]
     got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in suffix_dedup.repeats(docs_of(spark, rows), length, span).collect()}
     assert got == brute_repeats(rows, length) and got
+    if span == 5:
+        got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in suffix_dedup.repeats(docs_of(spark, rows), length, span, within=True).collect()}
+        assert got == brute_repeats(rows, length, True) and got != brute_repeats(rows, length)
+
+
+def test_suffix_hot_line(spark):
+    """A line that all documents have, in different contexts."""
+    line = prose(70, 4321)
+    rows = [(k, f"{prose(k % 30, 8000 + k)} {line} {prose(k % 17, 9000 + k)}", "a") for k in range(400)]
+    got = {(x["doc_id"], x["start_word"], x["end_word"]) for x in suffix_dedup.repeats(docs_of(spark, rows, clash=True)).collect()}
+    assert got == brute_repeats(rows, 50) and len(got) == 400
 
 
 def test_suffix_merge():

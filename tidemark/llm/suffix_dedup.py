@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, partitions, ready
+from .common import narrow, only, partitions, ready, settle
 from .near_dedup import _runs
 from .words import Words, mix, pieces
 
@@ -202,8 +202,8 @@ def merged(blobs: list[bytes]) -> tuple[Run, np.ndarray]:
     return every.take(out[:, 0]), out[:, 1]
 
 
-def starts(run: Run, lcp: np.ndarray, span: int) -> np.ndarray:
-    """Bit d of each suffix: the passage that begins d words before it is in another document too."""
+def starts(run: Run, lcp: np.ndarray, span: int, within: bool = False) -> np.ndarray:
+    """Bit d of each suffix: the passage that begins d words before it is in another document too, or (within) elsewhere in its own."""
     n = len(lcp)
     mask = np.zeros(n, np.int64)
     size = (run.after != 0).sum(1)
@@ -220,19 +220,21 @@ def starts(run: Run, lcp: np.ndarray, span: int) -> np.ndarray:
         o, h, doc = of[order], left[ok][order], run.doc[ok][order]
         begin = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))
         other = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-        hit = np.repeat(other, np.diff(np.append(begin, len(order))))
+        size_of = np.diff(np.append(begin, len(order)))
+        hit = np.repeat(other | (size_of > 1) if within else other, size_of)
         mask[ok[order[hit]]] |= 1 << d
     return mask
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, within: bool = False) -> DataFrame:
     """(doc_id, start_word, end_word, words): the spans of whole documents that are covered by passages of length words which other documents have too.
 
     Words are compared in lower case and without punctuation.  Spans are as long
     as possible; all documents that have a passage are listed, exact copies
-    included.  A passage that only its own document repeats isn't one; rows that
-    share a doc_id are one document.  Rows without doc_id or text, and texts of
-    fewer words, have no spans.
+    included.  A passage that only its own document repeats is one if within is
+    given; rows that share a doc_id are one document.  Rows without doc_id or text,
+    and texts of fewer words, have no spans, nor has an empty table.  Whole texts are
+    read, however long; other columns aren't looked at, whatever their names.
     """
     spark = ready(docs.sparkSession)
     core, targets = length - span + 1, partitions(spark)
@@ -247,8 +249,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(pa.array(row + i)), pa.array((at - w.first[row]).astype(np.int32))], ["key", "doc_id", "pos"])
 
     same = Window.partitionBy("key")
-    repeated = texts.mapInArrow(places, "key long, doc_id long, pos int").withColumn("apart", F.min("doc_id").over(same) != F.max("doc_id").over(same)).where("apart")
-    listed = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("places"))
+    repeated = texts.mapInArrow(places, "key long, doc_id long, pos int").withColumn("apart", F.count("*").over(same) > 1 if within else F.min("doc_id").over(same) != F.max("doc_id").over(same)).where("apart")
+    listed = settle(repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("places")))
+    # Texts without a repeated place aren't moved.
+    some = only(texts, listed.select("doc_id"))
 
     def suffixes(batches):
         held = []
@@ -286,12 +290,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFram
         blobs = [run.take(slice(x, y)).encode() for x, y in zip(begin, end)]
         yield pa.RecordBatch.from_arrays([pa.array(target[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["target", "run"])
 
-    runs = listed.join(texts, "doc_id").select("doc_id", "text", "places").mapInArrow(suffixes, "target int, run binary")
+    runs = listed.join(some, "doc_id").select("doc_id", "text", "places").mapInArrow(suffixes, "target int, run binary")
 
     def combine(batches):
         for t in _runs(batches, ["target"]):
             run, lcp = merged(t["run"].to_pylist())
-            mask = starts(run, lcp, span)
+            mask = starts(run, lcp, span, within)
             hit = np.flatnonzero(mask)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(run.doc[hit]), pa.array(run.pos[hit]), pa.array(mask[hit])], ["doc_id", "pos", "mask"])
