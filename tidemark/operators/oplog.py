@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.plans.model import VERSION, InvalidCAS, InvalidInput
+from tidemark.session import partitions, ready
+
+from .shards import running
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -69,12 +73,14 @@ def fold(mutations: DataFrame) -> DataFrame:
 def fold_latest(mutations: DataFrame) -> DataFrame:
     """The latest version of each key straight from the log: its last mutation, unless that removes it.
 
-    A hash aggregate with partial sums on the map side, so that neither a window
-    nor a sort is needed where history isn't.
+    Values of fixed width, and the operation as a number, fit the buffers of a hash
+    aggregate, so that neither a window nor a sort is needed where history isn't;
+    strings are aggregated by sort.
     """
-    last = F.max_by(F.struct("op", "value"), "seqno").alias("last")
-    latest = mutations.groupBy("key").agg(F.max("seqno").alias("seqno"), last).select("key", "seqno", "last.*")
-    return as_version(latest.where("op <> 'remove'"))
+    code = F.when(F.col("op") == "remove", 2).when(F.col("op") == "delete", 1).otherwise(0)
+    latest = mutations.groupBy("key").agg(F.max("seqno").alias("seqno"), F.max_by("value", "seqno").alias("value"), F.max_by(code, "seqno").alias("code"))
+    gone = F.col("code") == 1
+    return latest.where("code < 2").select("key", "seqno", F.when(~gone, F.col("value")).alias("value"), gone.alias("deleted"))
 
 
 def old_entries(mutations: DataFrame) -> DataFrame:
@@ -119,41 +125,66 @@ class Model:
         return [(k, *v) for k, versions in self.entries.items() for v in versions]
 
 
-def cas_fold(mutations: DataFrame) -> DataFrame:
-    """Versions that a log with compare-and-set leaves, each mutation having its own seqno: keys in parallel, those that fail skipped."""
-    schema = T.StructType([mutations.schema["key"], T.StructField("seqno", T.LongType()), T.StructField("value", mutations.schema["value"].dataType), T.StructField("deleted", T.BooleanType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Model()
-        for r in rows.sort_values("seqno", kind="stable").itertuples():
-            try:
-                model.apply(r.op, r.key, None if pd.isna(r.value) else r.value, None if pd.isna(r.cas) else int(r.cas), int(r.seqno))
-            except InvalidCAS:
-                pass
-        return pd.DataFrame(model.rows(), columns=VERSION)
-
-    return mutations.select("key", "seqno", "op", "value", "cas").groupBy("key").applyInPandas(run, schema)
+def _schema(mutations: DataFrame) -> T.StructType:
+    return T.StructType([mutations.schema["key"], T.StructField("seqno", T.LongType()), T.StructField("value", mutations.schema["value"].dataType), T.StructField("deleted", T.BooleanType())])
 
 
-def sequential_fold(mutations: DataFrame, order: str, seqno: int = 0) -> DataFrame:
-    """Versions where seqnos are given out in turn: a failed write uses none, so all keys depend on each other and one task folds them.
+def _folded(rows: DataFrame, schema: T.StructType, by_key: bool, own_seqno: bool, seqno: int = 0) -> DataFrame:
+    """The model run over sorted rows (key, seqno, op, value, cas), whose values stay what they are: no number passes through another type.
 
-    For logs that are small; where writers give seqnos, cas_fold() goes by key.
+    By key, one key's entry is held at a time, however many versions others have.
     """
-    schema = T.StructType([mutations.schema["key"], T.StructField("seqno", T.LongType()), T.StructField("value", mutations.schema["value"].dataType), T.StructField("deleted", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(seqno)
-        for rows in batches:
-            for r in rows.itertuples():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        model, last, out = Model(seqno), None, []
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*found))], names=VERSION)
+
+        for b in batches:
+            for key, at, op, value, cas in zip(*(b.column(c).to_pylist() for c in ("key", "seqno", "op", "value", "cas"))):
+                if by_key and key != last and not (key != key and last != last):
+                    out += model.rows()
+                    model, last = Model(seqno), key
+                    if len(out) >= 1 << 14:
+                        yield batch(out)
+                        out = []
                 try:
-                    model.apply(r.op, r.key, None if pd.isna(r.value) else r.value, None if pd.isna(r.cas) else int(r.cas))
+                    model.apply(op, "nan" if key != key else key, value, cas, at if own_seqno else None)
                 except InvalidCAS:
                     pass
-        yield pd.DataFrame(model.rows(), columns=VERSION)
+        out += model.rows()
+        if out:
+            yield batch([(float("nan") if k == "nan" and not isinstance(schema["key"].dataType, T.StringType) else k, *v) for k, *v in out])
+
+    return rows.mapInArrow(run, schema)
+
 
-    rows = mutations.select("op", "key", "value", "cas", F.col(order).alias("_order")).repartition(1).sortWithinPartitions("_order")
-    return rows.mapInPandas(run, schema)
+def cas_fold(mutations: DataFrame) -> DataFrame:
+    """Versions that a log with compare-and-set leaves, each mutation having its own seqno: keys in parallel, those that fail skipped."""
+    spark = ready(mutations.sparkSession)
+    rows = mutations.select("key", "seqno", "op", "value", "cas").repartition(partitions(spark), "key").sortWithinPartitions("key", "seqno")
+    return _folded(rows, _schema(mutations), True, True)
+
+
+def sequential_fold(mutations: DataFrame, order: str, seqno: int = 0) -> DataFrame:
+    """Versions where seqnos are given out in turn, a write that does nothing using none.
+
+    Without compare-and-set, only removes of keys that have no version do nothing.
+    That is known by key, so numbers are given by counts of ranges and the log is
+    folded by key.  With it, whether a write fails depends on the numbers of all
+    before it: such a log is folded in one task, as its meaning is sequential.
+    """
+    ready(mutations.sparkSession)
+    if mutations.where("cas IS NOT NULL").isEmpty():
+        before = F.lag("op").over(Window.partitionBy("key").orderBy(order))
+        idle = (F.col("op") == "remove") & (F.coalesce(before, F.lit("remove")) == "remove")
+        rows = mutations.select("key", "op", "value", "cas", F.col(order).alias("_order"), idle.alias("_idle")).where("NOT _idle").drop("_idle")
+        numbered = running(rows, ["_order"], _at=F.lit(1).cast("long"))
+        return fold(numbered.select("key", (F.col("_at") + seqno).alias("seqno"), "op", "value", "cas"))
+    rows = mutations.select("key", F.lit(None).cast("long").alias("seqno"), "op", "value", "cas", F.col(order).alias("_order")).repartition(1).sortWithinPartitions("_order")
+    return _folded(rows.drop("_order"), _schema(mutations), False, False, seqno)
 
 
 def check_commit(table: DataFrame, batch: DataFrame) -> None:

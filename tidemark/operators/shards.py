@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.model import Bound, InvalidInput, excluded, included, within
+from tidemark.session import ready, settle
 
 
-def as_shards(rows: DataFrame, n: int, by: str = "key") -> DataFrame:
-    """rows with shard 0..n-1: n runs of the ordered rows whose sizes differ by one at most, larger ones first.
+def running(rows: DataFrame, by: Sequence[Column | str], **amounts: Column) -> DataFrame:
+    """rows with running totals of amounts in the given order, their own included; equal rows in it come in any order.
 
-    Exact ntile without sorting all rows in one task: rows are range-partitioned,
-    partitions counted, and a row's number is that of its partition's first row
-    and its place there.
+    Rows are range-partitioned once and settled; a total is that of the partitions
+    before and of the rows before in the own one, so no task sees all rows.
     """
+    placed = settle(rows.withColumns({f"_own_{k}": v for k, v in amounts.items()}).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part").agg(*[F.sum(f"_own_{k}").alias(f"_sum_{k}") for k in amounts])
+    # One row a partition.
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_start_{k}") for k in amounts])
+    within_ = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({k: F.sum(f"_own_{k}").over(within_) for k in amounts}).join(F.broadcast(starts), "_part")
+    return out.withColumns({k: F.col(k) + F.col(f"_start_{k}") for k in amounts}).drop("_part", *[f"_{x}_{k}" for k in amounts for x in ("own", "start")])
+
+
+def as_shards(rows: DataFrame, n: int, by: str = "key") -> DataFrame:
+    """rows with shard 0..n-1: n runs of the ordered rows whose sizes differ by one at most, larger ones first: exact ntile without a sort of all rows in one task."""
     if n <= 0:
         return rows.withColumn("shard", F.lit(0)).limit(0)
-    placed = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(by)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    out = placed.withColumn("_at", F.row_number().over(w) - 1).join(F.broadcast(starts), "_part").withColumn("_at", F.col("_at") + F.col("_start"))
-    small = F.floor(F.col("_total") / n)
-    more = F.col("_total") % n
+    out = running(rows, [by], _at=F.lit(1).cast("long")).withColumn("_at", F.col("_at") - 1)
+    total = out.agg(F.count("*")).first()[0]
+    small, more = divmod(total, n)
     # The first rows % n shards have one row more.
     edge = more * (small + 1)
-    shard = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (small + 1))).otherwise(more + F.floor((F.col("_at") - edge) / F.greatest(small, F.lit(1))))
-    return out.withColumn("shard", shard.cast("int")).drop("_part", "_at", "_start", "_total")
+    shard = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (small + 1))).otherwise(more + F.floor((F.col("_at") - edge) / max(small, 1)))
+    return out.withColumn("shard", shard.cast("int")).drop("_at")
 
 
 def by_ranges(column: Column, ranges: Sequence[tuple[Bound, Bound]]) -> Column:
@@ -76,8 +85,41 @@ def keep_recent(accesses: DataFrame, most: int, key: str = "key", at: str = "at"
 
 def evicted(entries: DataFrame, most: int, bytes_most: int, now, oldest_s: int) -> DataFrame:
     """Entries (key, last_access, size, deleted) that a cache drops: deleted ones, too many, too large in sum, or too old."""
-    w = Window.orderBy(F.desc("last_access"), "key")
-    recent = entries.where("NOT deleted").withColumn("n", F.row_number().over(w)).withColumn("bytes", F.sum("size").over(w))
+    recent = running(entries.where("NOT deleted"), [F.desc("last_access"), F.asc("key")], n=F.lit(1).cast("long"), bytes=F.col("size"))
     old = F.col("last_access").cast("timestamp").cast("long") < F.lit(now).cast("timestamp").cast("long") - oldest_s
     out = recent.where((F.col("n") > most) | (F.col("bytes") > bytes_most) | old)
     return out.select("key").union(entries.where("deleted").select("key"))
+
+
+def cache_stats(trace: DataFrame, most: int, key: str = "key", order: str = "seq", op: str = "op") -> DataFrame:
+    """One row (gets, sets, deleted, evicted, hits): what a cache of the keys accessed last counts over a trace of get, set and delete.
+
+    A cache's state depends on all accesses in turn, so one task follows the trace,
+    holding no more than the cache.
+    """
+
+    def run(batches):
+        held: OrderedDict = OrderedDict()
+        n = {"gets": 0, "sets": 0, "deleted": 0, "evicted": 0, "hits": 0}
+        for b in batches:
+            for k, what in zip(b.column("_key").to_pylist(), b.column("_op").to_pylist()):
+                if what == "get":
+                    n["gets"] += 1
+                    if k in held:
+                        n["hits"] += 1
+                        held.move_to_end(k)
+                elif what == "set":
+                    n["sets"] += 1
+                    held[k] = True
+                    held.move_to_end(k)
+                    if len(held) > most:
+                        held.popitem(last=False)
+                        n["evicted"] += 1
+                elif k in held:
+                    del held[k]
+                    n["deleted"] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in n.values()], names=list(n))
+
+    ready(trace.sparkSession)
+    rows = trace.select(F.col(key).alias("_key"), F.col(op).alias("_op"), F.col(order).alias("_order")).repartition(1).sortWithinPartitions("_order")
+    return rows.mapInArrow(run, "gets long, sets long, deleted long, evicted long, hits long")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shards import running
+
 
 def histogram(rows: DataFrame, column: str, width: float, buckets: int) -> DataFrame:
     """(bucket, n): values by buckets of equal width, the last one also having all that lies beyond."""
@@ -32,12 +36,12 @@ def summary(rows: DataFrame, column: str) -> DataFrame:
 def nearest_rank(rows: DataFrame, column: str, share: float = 0.99) -> DataFrame:
     """The value at place floor(n * share) of the sorted ones.
 
-    Values are counted first; the running sum then runs over distinct values.
+    Values are counted first; running totals of the counts go by ranges of values.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    until = F.sum("n").over(Window.orderBy("value"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", until.alias("until"), total.alias("total")).where(F.col("until") > F.floor(F.col("total") * share)).agg(F.min("value").alias("value"))
+    until = running(counts, ["value"], until=F.col("n"))
+    total = until.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return until.where(F.col("until") > int(Decimal(str(share)) * total)).agg(F.min("value").alias("value"))
 
 
 def throughput(rows: DataFrame, at: str, amount: str, seconds: int = 1) -> DataFrame:

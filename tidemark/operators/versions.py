@@ -16,8 +16,9 @@ from tidemark.plans.model import UNBOUNDED, VERSION, Bound, Cutoff, InvalidInput
 
 def latest(versions: DataFrame, *extra: str) -> DataFrame:
     """The version with the greatest seqno of each key, tombstones included."""
-    best = F.max_by(F.struct("value", "deleted", *extra), "seqno").alias("best")
-    return versions.groupBy("key").agg(F.max("seqno").alias("seqno"), best).select("key", "seqno", "best.value", "best.deleted", *[f"best.{c}" for c in extra])
+    # A maximum for each column: columns of fixed width then fit a hash aggregate's buffers.
+    best = [F.max_by(c, "seqno").alias(c) for c in ("value", "deleted", *extra)]
+    return versions.groupBy("key").agg(F.max("seqno").alias("seqno"), *best)
 
 
 def packed(versions: DataFrame) -> DataFrame:
@@ -158,15 +159,17 @@ def levels(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(*VERSION, F.lit(k).alias("level")) for k, t in enumerate(tables)])
 
 
+def _best(tables: Sequence[DataFrame], order: Column) -> DataFrame:
+    """The row of each key that comes first in an order, given as one number so that a hash aggregate holds it."""
+    rows = levels(tables).withColumn("_order", order.cast("decimal(38,0)"))
+    return rows.groupBy("key").agg(*[F.max_by(c, "_order").alias(c) for c in ("seqno", "value", "deleted")])
+
+
 def level_winner(tables: Sequence[DataFrame]) -> DataFrame:
     """The latest version over all levels; at equal seqnos that of the newer level."""
-    order = F.struct("seqno", (-F.col("level")).alias("rank"))
-    best = F.max_by(F.struct("seqno", "value", "deleted"), order).alias("best")
-    return levels(tables).groupBy("key").agg(best).select("key", "best.*")
+    return _best(tables, F.col("seqno").cast("decimal(25,0)") * len(tables) - F.col("level"))
 
 
 def first_level(tables: Sequence[DataFrame]) -> DataFrame:
     """The version of the first level that has the key, whatever its seqno."""
-    order = F.struct((-F.col("level")).alias("rank"), "seqno")
-    best = F.max_by(F.struct("seqno", "value", "deleted"), order).alias("best")
-    return levels(tables).groupBy("key").agg(best).select("key", "best.*")
+    return _best(tables, F.lit("100000000000000000000").cast("decimal(21,0)") * (len(tables) - F.col("level")) + F.col("seqno"))
