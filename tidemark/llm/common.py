@@ -1,67 +1,15 @@
-"""What the operators of this subpackage share: session set-up, shared storage, removal of rows by id, columns."""
+"""What the operators of this subpackage share: removal of rows by id, columns, and the session's helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import partitions, ready, remove, scratch, settle, shared
+
+__all__ = ["documents", "few", "named", "narrow", "only", "partitions", "ready", "remove", "scratch", "settle", "shared", "without"]
 #: Most ids that are broadcast (about 40 MB as a hash relation); beyond that they're joined by shuffle.
 BROADCAST_IDS = 1_000_000
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package, and see to it that checkpoints have a folder.
-
-    The cluster's spark.checkpoint.dir is used where it is set.  Where it isn't, a
-    temporary folder is made if all runs on this machine, as in tests; on a cluster
-    that is an error, as executors couldn't read each other's tables.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    ready(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A new place in the shared folder, deleted at the end."""
-    folder = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    try:
-        yield folder
-    finally:
-        remove(spark, folder)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """The table computed once and kept in the folder that all executors share."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
