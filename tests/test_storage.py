@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import index as I
 from tidemark.operators import membership, oplog, shards, snapshot, stats
 from tidemark.operators import versions as V
 from tidemark.plans.model import MONO, UNBOUNDED, Cutoff, InvalidFile, InvalidInput, excluded, included, whole_range
@@ -58,17 +59,138 @@ def test_wal(spark, tmp_path):
     assert log.append(spark, ops, "at") == 100
     assert log.append(spark, ops.limit(10), "at") == 110
     again = wal.Wal.load(spark, str(tmp_path), "my-log")
-    assert (again.last, again.number) == (110, 2)
+    assert (again.last, again.number) == (110, 1)
     assert [r["seqno"] for r in again.iter(spark).collect()] == list(range(1, 111))
     assert bytes(again.iter(spark).first()["op"]) == b"op0"
     assert again.read(spark, excluded(5), included(9)).count() == 4
     assert again.read(spark, excluded(2**63 - 1), UNBOUNDED).count() == 0 and again.read(spark, UNBOUNDED, excluded(0)).count() == 0
     assert again.replay_from(spark, 105).count() == 5
-    assert again.purge_till(spark, 100) == 1 and again.read(spark).count() == 10
     assert wal.parse_journal("a-b-journal-012.parquet") == ("a-b", 12) and wal.parse_journal("x.parquet") is None
     assert whole_range(excluded(3), excluded(4)) is None
 
 
+def test_wal_rotates(spark, tmp_path):
+    log = wal.Wal.create(spark, wal.Config(str(tmp_path), "r", journal_limit=2000))
+    for k in range(4):
+        log.append(spark, spark.range(k * 100, k * 100 + 100).select(F.col("id").alias("at"), F.sha1(F.col("id").cast("string")).alias("op")), "at")
+    assert (log.last, log.number) == (400, 4)
+    assert [(j.number, j.state, j.first, j.last) for j in log.describe(spark)] == [(k + 1, "archive", 100 * k + 1, 100 * k + 100) for k in range(4)]
+    assert log.purge_till(spark, 250) == 2 and log.read(spark).count() == 200
+    again = wal.Wal.load(spark, wal.Config(str(tmp_path), "r", journal_limit=1 << 20), state=(0, 0), add=lambda s, seqno, op: (s[0] + 1, max(s[1], seqno)))
+    assert again.state == (200, 400) and again.last == 400
+    assert again.append(spark, spark.range(5).select(F.col("id").alias("at"), F.lit("x").alias("op")), "at") == 405
+    assert again.describe(spark)[-1].state == "working" and again.fold(spark, 0, lambda s, *_: s + 1, after=398) == 7
+
+
+def test_wal_streams_after_appends(spark, tmp_path):
+    """A stream keeps what was appended, runs on after a restart, and a batch that is run again replaces itself only."""
+    log = wal.Wal.create(spark, str(tmp_path / "log"))
+    log.append(spark, spark.range(10).select(F.col("id").alias("at"), F.lit("a").alias("op")), "at")
+    data = str(tmp_path / "in")
+    for lo, hi in ((11, 14), (14, 20)):
+        spark.range(lo, hi).coalesce(1).write.mode("append").parquet(data)
+        stream = stages.from_files(spark, data, "id long", 1).select(F.col("id").alias("seqno"), F.lit(b"s").alias("op"))
+        stages.close_wait(log.stream(spark, stream, str(tmp_path / "c"), once=True))
+    again = wal.Wal.load(spark, str(tmp_path / "log"))
+    assert [r["seqno"] for r in again.iter(spark).collect()] == list(range(1, 20)) and again.last == log.last == 19
+    again.append(spark, spark.range(3).select(F.col("id").alias("at"), F.lit("b").alias("op")), "at")
+    assert again.read(spark).count() == 22 and again.read(spark).where("op = X'61'").count() == 10
+    # The last batch is run again.
+    commits = sorted((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (tmp_path / "c" / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    stages.close_wait(again.stream(spark, stages.from_files(spark, data, "id long", 1).select(F.col("id").alias("seqno"), F.lit(b"s").alias("op")), str(tmp_path / "c"), once=True))
+    assert sorted(r["seqno"] for r in again.read(spark).collect()) == list(range(1, 23))
+
+
+def test_wal_replays(spark, tmp_path):
+    log = wal.Wal.create(spark, str(tmp_path))
+    ops = [f"{op},{key},{value}" for op, key, value in (("set", 1, 5), ("insert", 1, 6), ("delete", 2, 0), ("remove", 1, 0), ("insert", 3, 7))]
+    log.append(spark, spark.createDataFrame(list(enumerate(ops)), "at int, op string"), "at")
+
+    def mutations(records):
+        part = F.split(F.col("op").cast("string"), ",")
+        return records.select("seqno", part[0].alias("op"), part[1].cast("long").alias("key"), part[2].cast("double").alias("value"), F.lit(None).cast("long").alias("cas"))
+
+    index = log.replay(spark, I.Index.empty("t", spark), mutations)
+    assert rows(index.versions) == [(2, 3, None, True), (3, 5, 7.0, False)]
+    log.append(spark, spark.createDataFrame([(0, "insert,3,8")], "at int, op string"), "at")
+    assert rows(log.replay(spark, index, mutations).versions) == [(2, 3, None, True), (3, 5, 7.0, False), (3, 6, 8.0, False)]
+
+
+def test_streams_stop(spark, tmp_path):
+    """What follows a stop is neither handed on nor lost."""
+    data = str(tmp_path / "in")
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(data)
+    got, ends = [], []
+
+    def sink(rows, _):
+        got.extend(r["id"] for r in rows.collect())
+        return len(got) >= 40
+
+    stream = lambda: stages.from_files(spark, data, "id long", 1)
+    first = stages.run(stream(), sink, str(tmp_path / "c"), finish=lambda: ends.append(1))
+    stages.close_wait(first)
+    first.close_wait()
+    assert len(got) == 10 and ends == [1]
+    for n in (20, 30, 40, 40):
+        stages.close_wait(stages.run(stream(), sink, str(tmp_path / "c")))
+        assert len(got) == n
+    assert sorted(got) == list(range(40))
+
+    def bad(rows, _):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="ValueError"):
+        stages.close_wait(stages.run(stream(), bad, str(tmp_path / "c2")))
+
+
+def test_streams_of_iterators(spark, tmp_path):
+    it = stages.from_iter(spark, ((k, f"m{k}") for k in range(25)), "id long, text string", str(tmp_path / "i"), chunk=10)
+    out = []
+    stages.close_wait(stages.fold(it, (0, ""), lambda s, r: (s[0] + r["id"], max(s[1], r["text"])), lambda a, b: (a[0] + b[0], max(a[1], b[1])), out.append, str(tmp_path / "c")))
+    assert out == [(300, "m9")]
+    gen = stages.from_gen(spark, lambda k: (k,) if k < 7 else None, "id long", str(tmp_path / "g"))
+    n = []
+    stages.close_wait(stages.fold(gen, 0, lambda s, r: s + 1, lambda a, b: a + b, n.append, str(tmp_path / "d")))
+    empty = stages.from_iter(spark, [], "id long", str(tmp_path / "e"))
+    stages.close_wait(stages.fold(empty, 0, lambda s, r: s + 1, lambda a, b: a + b, n.append, str(tmp_path / "f")))
+    assert n == [7, 0]
+
+
+def test_running_and_caches(spark):
+    r = random.Random(4)
+    data = [(k, r.choice([1, 5, 9]), r.random()) for k in range(300)]
+    df = spark.createDataFrame(data, "key long, size long, x double")
+    total, want = 0, {}
+    for k, size, _ in sorted(data, key=lambda t: t[2]):
+        total += size
+        want[k] = total
+    assert {q["key"]: q["t"] for q in shards.running(df, ["x"], t=F.col("size")).collect()} == want
+    entries = spark.createDataFrame([(k, f"2024-01-01 00:00:{k:02d}", 10, k == 3) for k in range(20)], "key long, last_access string, size long, deleted boolean")
+    gone = {q["key"] for q in shards.evicted(entries, 8, 1000, "2024-01-01 00:00:20", 15).collect()}
+    assert gone == {3} | set(range(12))
+    assert {q["key"] for q in shards.evicted(entries, 100, 50, "2024-01-01 00:00:20", 100).collect()} == {3} | set(range(15))
+    trace = [(k, r.randrange(8), r.choice(["get", "get", "set", "delete"])) for k in range(400)]
+    held, n = [], dict.fromkeys(("gets", "sets", "deleted", "evicted", "hits"), 0)
+    for _, key, op in trace:
+        if op == "get":
+            n["gets"] += 1
+            n["hits"] += key in held
+            held = [x for x in held if x != key] + [key] * (key in held)
+        elif op == "set":
+            n["sets"] += 1
+            held = [x for x in held if x != key] + [key]
+            n["evicted"] += len(held) > 3
+            held = held[-3:]
+        else:
+            n["deleted"] += key in held
+            held = [x for x in held if x != key]
+    assert shards.cache_stats(spark.createDataFrame(trace, "seq long, key long, op string"), 3).first().asDict() == n
+
+
 def test_filters(spark):
     keys = spark.range(5000).select(membership.digest("id").alias("digest"))
     folded = keys.select(membership.folded(F.col("digest")).alias("digest"))
@@ -135,7 +257,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r["x"] for r in one) == sorted(r["x"] for r in two) == [98, 99]
     stages.close_wait(stages.drain(stream, str(tmp_path / "c3")))
     log = wal.Wal.create(spark, str(tmp_path / "log"))
-    q = log.stream(spark, stream.select((F.col("id") + 1).alias("seqno"), F.lit(b"x").alias("op")), str(tmp_path / "c4"), seconds=None)
+    q = log.stream(spark, stream.select((F.col("id") + 1).alias("seqno"), F.lit(b"x").alias("op")), str(tmp_path / "c4"), once=True)
     stages.close_wait(q)
     assert wal.Wal.load(spark, str(tmp_path / "log")).last == 100
 
