@@ -62,6 +62,58 @@ def test_html():
     assert H.parse("")[0].kind == "doc" and H.lines(None) == []
 
 
+def test_html_deep_and_wide():
+    import time
+
+    deep = "<div>" * 100_000 + "x" + "</div>" * 100_000
+    assert H.parse(deep)[-1].depth == 100_001 and H.lines(deep) == ["x"] and H.content(H.parse(deep)[1]) == "x"
+    assert len(H.select(deep, "div div > div")) == 99_998 and H.select(deep, "p div") == []
+    took = []
+    for n in (20_000, 100_000):
+        wide = "<p>a<br>" * n
+        began = time.perf_counter()
+        nodes = list(H.node_rows(wide))
+        assert len(nodes) == 3 * n + 1 and nodes[-1][2] == 1 and nodes[-3][2] == n - 1
+        assert len(H.select(wide, "p ~ p:nth-of-type(odd)")) == n // 2 - 1 + n % 2
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_html_implied_ends():
+    tree = lambda h: [(e.tag, e.depth) for e in H.parse(h) if e.kind == "tag"]
+    assert tree("<p>a<p>b<div>c</div>") == [("p", 1), ("p", 1), ("div", 1)]
+    assert tree("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == [("ul", 1), ("li", 2), ("ul", 3), ("li", 4), ("li", 4), ("li", 2)]
+    assert tree("<table><tr><td>a<td><table><tr><td>b</table><tr><th>c</table>") == [("table", 1), ("tr", 2), ("td", 3), ("td", 3), ("table", 4), ("tr", 5), ("td", 6), ("tr", 2), ("th", 3)]
+    assert tree("<dl><dt>a<dd>b<dt>c</dl>") == [("dl", 1), ("dt", 2), ("dd", 2), ("dt", 2)]
+    assert tree("<select><option>a<option>b</select>") == [("select", 1), ("option", 2), ("option", 2)]
+    assert tree("<p><b>a<p>b") == [("p", 1), ("b", 2), ("p", 1)]
+
+
+def test_html_selectors_are_brute_force():
+    """Every selector against its meaning, tried for each element."""
+    import random
+
+    r = random.Random(3)
+    page = "".join(r.choice(["<div class=a>", "<div>", "</div>", "<p id=x>", "</p>", "<span class='a b'>", "</span>", "t", "<br>", "<!-- c -->"]) for _ in range(400))
+    every = [e for e in H.parse(page) if e.kind == "tag"]
+    up = lambda e: [] if e.parent is None or e.parent.kind == "doc" else [e.parent, *up(e.parent)]
+    family = lambda e: [c for c in e.parent.children if c.kind == "tag"]
+    earlier = lambda e: family(e)[: family(e).index(e)]
+    cls = lambda e, c: c in e.attrs.get("class", "").split()
+    rules = {
+        "div span": lambda e: e.tag == "span" and any(x.tag == "div" for x in up(e)),
+        "div > .a": lambda e: cls(e, "a") and up(e)[:1] != [] and e.parent.tag == "div",
+        "p + span": lambda e: e.tag == "span" and earlier(e)[-1:] != [] and earlier(e)[-1].tag == "p",
+        ".a ~ br": lambda e: e.tag == "br" and any(cls(x, "a") for x in earlier(e)),
+        "div div .b": lambda e: cls(e, "b") and sum(x.tag == "div" for x in up(e)) > 1,
+        "div p ~ span > br": lambda e: e.tag == "br" and e.parent.tag == "span" and any(x.tag == "p" and any(y.tag == "div" for y in up(x)) for x in earlier(e.parent)),
+        ":nth-last-child(2)": lambda e: family(e)[::-1].index(e) == 1,
+        "span:nth-of-type(2n+1)": lambda e: e.tag == "span" and [x for x in family(e) if x.tag == "span"].index(e) % 2 == 0,
+    }
+    for css, rule in rules.items():
+        assert [e.id for e in H.select(page, css)] == [e.id for e in every if rule(e)], css
+
+
 def test_html_in_sql(spark):
     H.register(spark)
     rows = spark.sql("SELECT t.line, t.text FROM VALUES ('<body><p>a</p>b') v(html), LATERAL html_text_lines(v.html) t").collect()

@@ -7,19 +7,36 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions import parsec as P
 from tidemark.plans.model import InvalidInput
+from tidemark.session import ready
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NODES = "node_id int, parent_id int, sibling int, depth int, kind string, tag string, attrs map<string,string>, text string"
 
 
-@dataclass
+#: Start tags that end an open element: of these names, if it is open below none of those.
+_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_TABLE = frozenset(["table"])
+IMPLIED = {
+    **{t: (frozenset(["p"]), frozenset(["button", "td", "th", "caption", "body"])) for t in _P},
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "td": (frozenset(["td", "th"]), _TABLE), "th": (frozenset(["td", "th"]), _TABLE), "tr": (frozenset(["tr"]), _TABLE),
+    **{t: (frozenset(["thead", "tbody", "tfoot", "tr"]), _TABLE) for t in ("thead", "tbody", "tfoot")},
+}
+
+
+@dataclass(eq=False)
 class Element:
+    """A node; place is its number among all children of its parent, nth among the tags and nth_type among those of its name, from 1."""
+
     id: int
     parent: Element | None
     kind: str  # doc, tag, text, comment, doctype
@@ -27,41 +44,66 @@ class Element:
     attrs: dict[str, str] = field(default_factory=dict)
     text: str = ""
     children: list[Element] = field(default_factory=list)
-    closed: bool = False
-
-    @property
-    def depth(self) -> int:
-        return 0 if self.parent is None else self.parent.depth + 1
+    depth: int = 0
+    place: int = 0
+    nth: int = 0
+    nth_type: int = 0
+    before: Element | None = None
+    tags: int = 0
+    names: dict[str, int] = field(default_factory=dict)
 
 
 class _Builder(HTMLParser):
-    """Unbalanced tags are tolerated: an end tag closes up to the nearest open one of its name, or is ignored."""
+    """Unbalanced tags are tolerated: a start tag ends what it implies the end of, an end tag closes up to the nearest open one of its name, or is ignored."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.all: list[Element] = []
         self.open: list[Element] = [self._add("doc", None)]
+        # How many elements of each name are open, so that most tags needn't look through them.
+        self.count: dict[str, int] = {}
 
     def _add(self, kind: str, parent: Element | None, **more) -> Element:
         e = Element(len(self.all), parent, kind, **more)
         self.all.append(e)
         if parent is not None:
+            e.depth, e.place = parent.depth + 1, len(parent.children)
+            if kind == "tag":
+                parent.tags += 1
+                parent.names[e.tag] = parent.names.get(e.tag, 0) + 1
+                e.nth, e.nth_type = parent.tags, parent.names[e.tag]
+                k = len(parent.children) - 1
+                while k >= 0 and parent.children[k].kind != "tag":
+                    k -= 1
+                e.before = parent.children[k] if k >= 0 else None
             parent.children.append(e)
         return e
 
+    def _close(self, k: int) -> None:
+        for e in self.open[k:]:
+            self.count[e.tag] -= 1
+        del self.open[k:]
+
     def handle_starttag(self, tag, attrs):
+        ends, within = IMPLIED.get(tag, ((), ()))
+        if any(self.count.get(x) for x in ends):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in ends:
+                    self._close(k)
+                    break
+                if self.open[k].tag in within:
+                    break
         e = self._add("tag", self.open[-1], tag=tag, attrs={k: "" if v is None else v for k, v in attrs})
         if tag not in VOID:
             self.open.append(e)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self._add("tag", self.open[-1], tag=tag, attrs={k: "" if v is None else v for k, v in attrs})
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count.get(tag):
+            self._close(next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag))
 
     def handle_data(self, data):
         self._add("text", self.open[-1], text=data)
@@ -79,7 +121,7 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> list[Element]:
-    """All nodes in document order, the document first."""
+    """All nodes in document order, the document first; in time linear in the text, however deep or wide it is."""
     b = _Builder()
     b.feed(html or "")
     b.close()
@@ -88,29 +130,26 @@ def parse(html: str) -> list[Element]:
 
 def node_rows(html: str) -> Iterator[tuple]:
     for e in parse(html):
-        place = next(k for k, c in enumerate(e.parent.children) if c is e) if e.parent else 0
-        yield e.id, e.parent.id if e.parent else None, place, e.depth, e.kind, e.tag or None, e.attrs, e.text or None
+        yield e.id, e.parent.id if e.parent else None, e.place, e.depth, e.kind, e.tag or None, e.attrs, e.text or None
+
+
+def inside(e: Element) -> Iterator[Element]:
+    """A node and all below it, in document order."""
+    stack = [e]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack += reversed(e.children)
 
 
 def lines(html: str) -> list[str]:
     """Text of the body (of the whole where there is none), each text node trimmed, blank ones left out; scripts and styles aren't text."""
     every = parse(html)
     body = next((e for e in every if e.tag == "body"), every[0])
-    out: list[str] = []
+    return [t for e in inside(body) if e.kind == "text" and e.parent.tag not in ("script", "style") and (t := e.text.strip())]
 
-    def walk(e: Element) -> None:
-        if e.tag in ("script", "style"):
-            return
-        if e.kind == "text" and e.text.strip():
-            out.append(e.text.strip())
-        for c in e.children:
-            walk(c)
-
-    walk(body)
-    return out
 
-
-# -- selectors ----------------------------------------------------------------
+# -- selectors --
 
 
 @dataclass
@@ -202,8 +241,6 @@ def _nth(k: int, rule: str) -> bool:
 def _fits(e: Element, s: Simple) -> bool:
     if e.kind != "tag" or s.tag not in ("*", e.tag):
         return False
-    family = [c for c in e.parent.children if c.kind == "tag"] if e.parent else [e]
-    alike = [c for c in family if c.tag == e.tag]
     for kind, name, *more in s.tests:
         if kind == "class" and name not in e.attrs.get("class", "").split():
             return False
@@ -212,16 +249,16 @@ def _fits(e: Element, s: Simple) -> bool:
         if kind == "attr" and not _attr_fits(e.attrs.get(name), *more):
             return False
         if kind == "pseudo":
-            group = alike if name.endswith("of-type") else family
-            at = next(k for k, c in enumerate(group) if c is e)
+            alike = name.endswith("of-type")
+            at = e.nth_type if alike else e.nth
+            size = e.parent.names[e.tag] if alike else e.parent.tags
             ok = {
-                "root": lambda: e.parent is not None and e.parent.kind == "doc",
+                "root": lambda: e.parent.kind == "doc",
                 "empty": lambda: not [c for c in e.children if c.kind in ("tag", "text")],
-                "first-child": lambda: at == 0, "first-of-type": lambda: at == 0,
-                "last-child": lambda: at == len(group) - 1, "last-of-type": lambda: at == len(group) - 1,
-                "only-child": lambda: len(group) == 1, "only-of-type": lambda: len(group) == 1,
-                "nth-child": lambda: _nth(at + 1, more[0] or ""), "nth-of-type": lambda: _nth(at + 1, more[0] or ""),
-                "nth-last-child": lambda: _nth(len(group) - at, more[0] or ""), "nth-last-of-type": lambda: _nth(len(group) - at, more[0] or ""),
+                "first-child": lambda: at == 1, "first-of-type": lambda: at == 1, "last-child": lambda: at == size, "last-of-type": lambda: at == size,
+                "only-child": lambda: size == 1, "only-of-type": lambda: size == 1,
+                "nth-child": lambda: _nth(at, more[0] or ""), "nth-of-type": lambda: _nth(at, more[0] or ""),
+                "nth-last-child": lambda: _nth(size + 1 - at, more[0] or ""), "nth-last-of-type": lambda: _nth(size + 1 - at, more[0] or ""),
                 "enabled": lambda: "disabled" not in e.attrs and e.tag in ("button", "input", "select", "textarea", "option", "fieldset"),
                 "disabled": lambda: "disabled" in e.attrs, "checked": lambda: "checked" in e.attrs or "selected" in e.attrs,
                 "link": lambda: e.tag == "a" and "href" in e.attrs, "lang": lambda: _lang(e, more[0] or ""),
@@ -239,50 +276,61 @@ def _lang(e: Element | None, want: str) -> bool:
     return False
 
 
-def _chain(e: Element, chain: list[Simple]) -> bool:
-    if not _fits(e, chain[-1]):
-        return False
-    if len(chain) == 1:
-        return True
-    joint, rest = chain[-1].joint, chain[:-1]
-    if joint == ">":
-        return e.parent is not None and _chain(e.parent, rest)
-    if joint == " ":
-        up = e.parent
-        while up is not None:
-            if _chain(up, rest):
-                return True
-            up = up.parent
-        return False
-    before = [c for c in e.parent.children if c.kind == "tag"] if e.parent else []
-    before = before[: next((k for k, c in enumerate(before) if c is e), 0)]
-    return bool(before) and _chain(before[-1], rest) if joint == "+" else any(_chain(c, rest) for c in before)
+def _chain(every: list[Element], chain: list[Simple]) -> list[bool]:
+    """Which nodes end the chain; one pass in document order for each part of it, as parents and earlier siblings come first."""
+    n = len(every)
+    fit = [_fits(e, chain[0]) for e in every]
+    for s in chain[1:]:
+        held = [False] * n  # whether the part before fits an ancestor, or an earlier sibling
+        out = [False] * n
+        for k, e in enumerate(every):
+            from_ = e.parent if s.joint in (" ", ">") else e.before
+            if from_ is None:
+                continue
+            reach = fit[from_.id]
+            if s.joint in (" ", "~"):
+                reach = held[k] = reach or held[from_.id]
+            out[k] = reach and _fits(e, s)
+        fit = out
+    return fit
 
 
 def select(html: str, css: str) -> list[Element]:
     """Elements that a selector names, in document order."""
-    alternatives = selector(css)
-    return [e for e in parse(html) if any(_chain(e, c) for c in alternatives)]
+    every = parse(html)
+    found = [_chain(every, c) for c in selector(css)]
+    return [e for e in every if any(f[e.id] for f in found)]
 
 
 def content(e: Element) -> str:
-    return e.text if e.kind == "text" else "".join(content(c) for c in e.children)
+    return "".join(x.text for x in inside(e) if x.kind == "text")
 
 
-# -- tables -------------------------------------------------------------------
+# -- tables --
 
 
 def _explode(rows: DataFrame, key: str, column: str, schema: str, each) -> DataFrame:
-    """Rows of each(text), Arrow batch by Arrow batch."""
-    names = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", schema)]
+    """Rows of each(text), column by column in Arrow batches of bounded size."""
+    ready(rows.sparkSession)
+    out = T.StructType([rows.schema[key], *T._parse_datatype_string(schema).fields])
 
     def run(batches):
-        for b in batches:
-            out = [(k, *r) for k, t in zip(b["_k"], b["_t"]) for r in each(t or "")]
-            yield pd.DataFrame(out, columns=[key, *names])
+        kinds = to_arrow_schema(out)
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("_k"), F.col(column).alias("_t")).mapInPandas(run, f"{key} {kind}, {schema}")
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if isinstance(f.dataType, T.MapType) else c, kinds.field(k).type) for k, (f, c) in enumerate(zip(out.fields, zip(*found)))], names=out.names)
+
+        held: list[tuple] = []
+        for b in batches:
+            for k, t in zip(b.column("_k").to_pylist(), b.column("_t").to_pylist()):
+                held += [(k, *r) for r in each(t or "")]
+                if len(held) >= 1 << 14:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
+
+    return rows.select(F.col(key).alias("_k"), F.col(column).alias("_t")).mapInArrow(run, out)
 
 
 def html_nodes(rows: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
