@@ -31,12 +31,86 @@ def test_snapshots(spark, tmp_path):
     assert c.is_compacted() and rows(c.table(spark)) == rows(V.compact(t.table(spark), MONO))
     flat = snapshot.build(old, str(tmp_path / "3"), snapshot.Config("t", delta_ok=False))
     assert rows(flat.table(spark)) == rows(V.latest(old))
-    assert snapshot.open_snapshot(spark, s.set_filter(spark, b"bits").path).filter == b"bits"
+    assert s.stats["n_count"] == V.latest(old).count() == len(s) and s.stats["n_versions"] == old.count() and len(s.files(spark)) >= 1
+    unlock = c.lock(spark)
+    with pytest.raises(InvalidInput, match="in use"):
+        c.purge(spark)
+    unlock()
     c.purge(spark)
     with pytest.raises(InvalidFile):
         snapshot.open_snapshot(spark, c.path)
 
 
+@pytest.mark.parametrize("kind", ["none", "bloom", "xor8", "fuse"])
+def test_snapshot_filters(spark, tmp_path, kind):
+    """Filters are built with the snapshot and asked by reads."""
+    t = oplog.fold(oplog.random_log(spark, 3, 300, 200, 50, 30, 400))
+    s = snapshot.build(t, str(tmp_path / "s"), snapshot.Config("t", filter=kind))
+    s.validate(spark)
+    s = snapshot.open_snapshot(spark, str(tmp_path / "s"))
+    some = rows(V.latest(t))[:5]
+    assert rows(s.get(spark, some[0][0])) == some[:1] and s.get(spark, 10**9).count() == 0
+    keys = spark.createDataFrame([(r[0],) for r in some] + [(k,) for k in range(5000, 5400)], "key long")
+    assert rows(s.get_all(spark, keys)) == some
+    if kind != "none":
+        passed = membership.maybe(keys.select(F.xxhash64("key").alias("digest")), s.filters(spark)).count()
+        assert 5 <= passed < 5 + 20
+        spark.read.parquet(f"{s.path}/data").limit(0).selectExpr("0 AS bucket", "1 AS buckets", "'x' AS kind", "X'00' AS data").write.mode("overwrite").parquet(f"{s.path}/filter")
+        with pytest.raises(InvalidFile, match="filter"):
+            s.validate(spark)
+
+
+def test_snapshot_order_is_validated(spark, tmp_path):
+    t = oplog.fold(oplog.random_log(spark, 3, 100, 100, 20, 10, 90))
+    s = snapshot.build(t, str(tmp_path / "s"), snapshot.Config("t"))
+    kept = spark.createDataFrame(t.collect(), t.schema)
+    kept.coalesce(1).sortWithinPartitions(F.desc("key")).write.mode("overwrite").parquet(f"{s.path}/data")
+    with pytest.raises(InvalidFile, match="in order"):
+        s.validate(spark)
+    kept.repartition(3).sortWithinPartitions("key", "seqno").write.mode("overwrite").parquet(f"{s.path}/data")
+    with pytest.raises(InvalidFile, match="another file"):
+        s.validate(spark)
+
+
+@pytest.mark.parametrize("delta_ok", [True, False])
+def test_tree(spark, tmp_path, delta_ok):
+    """Writes, flushes and merges in any order read as the table that all writes make."""
+    r = random.Random(9)
+    tree = snapshot.Tree(spark, str(tmp_path), snapshot.Config("t", delta_ok=delta_ok))
+    every = None
+    for k in range(7):
+        batch = oplog.fold(oplog.random_log(spark, k, 0, r.choice([5, 60]), 10, 0, 30, seqno=1000 * k))
+        every = batch if every is None else every.unionByName(batch)
+        tree.write(batch)
+        if k % 3 != 2:
+            assert tree.flush() is not None and tree.flush() is None
+            while tree.compact() is not None:
+                pass
+        assert rows(tree.read().iter()) == rows(V.latest(every))
+        if delta_ok:
+            assert rows(tree.read().iter_versions()) == rows(every)
+    key = rows(every)[0][0]
+    assert rows(tree.read().get(key)) == rows(V.latest(every.where(F.col("key") == key)))
+    sizes = [s for s in tree.sizes() if s is not None]
+    assert all(a < snapshot.Levels.RATIO * b for a, b in zip(sizes, sizes[1:])) and len(list(tmp_path.iterdir())) == len(sizes)
+
+
+def test_tree_cutoff_and_shards(spark, tmp_path):
+    tree = snapshot.Tree(spark, str(tmp_path / "t"), snapshot.Config("t"))
+    one, two = oplog.fold(oplog.random_log(spark, 1, 0, 60, 20, 0, 20)), oplog.fold(oplog.random_log(spark, 2, 0, 60, 20, 0, 20, seqno=500))
+    tree.write(one)
+    tree.levels[5] = snapshot.build(one, str(tmp_path / "five"), tree.config)
+    tree.memory = tree.empty
+    tree.levels[4] = snapshot.build(two, str(tmp_path / "four"), tree.config)
+    assert tree.compact(MONO) == 5 and rows(tree.read().iter_versions()) == rows(V.compact(one.unionByName(two), MONO))
+    t = oplog.fold(oplog.random_log(spark, 1, 300, 0, 0, 0, 300))
+    low, high = shards.split(t, 20)
+    parts = [snapshot.build(x, str(tmp_path / f"p{k}"), tree.config) for k, x in enumerate((low, high))]
+    new = snapshot.reshard(spark, parts, str(tmp_path / "new"))
+    assert abs(len(new[0]) - len(new[1])) <= 1 and sum(map(len, new)) == V.latest(t).count()
+    assert snapshot.reshard(spark, new, str(tmp_path / "none")) is new and not (tmp_path / "none").exists()
+
+
 def test_levels():
     L = snapshot.Levels
     assert L.commit_level(10, [None, None, 50]) == 1
@@ -203,7 +277,7 @@ def test_filters(spark):
     assert b.contains(have).all()
     other = [r[0] for r in spark.range(5000, 10000).select(membership.digest("id")).collect()]
     assert b.contains(other).mean() < 0.05
-    assert membership.Bloom(b.bits, b.hashes, b.to_bytes()).contains(have[:9]).all()
+    assert membership.Bloom.from_bytes(b.to_bytes()).contains(have[:9]).all()
 
 
 def rows_of(df):
@@ -262,6 +336,18 @@ def test_streams(spark, tmp_path):
     assert wal.Wal.load(spark, str(tmp_path / "log")).last == 100
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 3000])
+@pytest.mark.parametrize("kind,rate", [("xor8", 0.008), ("fuse", 0.001), ("bloom", 0.03), ("none", 1)])
+def test_filter_kinds(kind, rate, n):
+    r = np.random.default_rng(n)
+    keys, other = r.integers(0, 2**63, n).view(np.uint64), r.integers(0, 2**63, 50_000).view(np.uint64)
+    cls = membership.KINDS[kind]
+    f = cls.from_bytes(cls.build(keys).to_bytes())
+    assert f.contains(keys).all() and f.contains(other).mean() <= rate and all(int(k) in f for k in keys[:3])
+    if kind == "xor8":
+        assert f.cells.itemsize == 1 and len(f.cells) <= 1.3 * n + 64
+
+
 @pytest.mark.parametrize("bits,rate", [(8, 0.008), (16, 0.0003)])
 def test_fuse(bits, rate):
     r = np.random.default_rng(bits)
