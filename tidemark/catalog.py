@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import html as H
 from tidemark.functions import scalars as X
 from tidemark.operators import index as I
-from tidemark.operators import membership, objects, oplog, shards, stats
+from tidemark.operators import membership, objects, oplog, shards, snapshot, stats
 from tidemark.operators import versions as V
-from tidemark.plans.model import MONO, UNBOUNDED, Cutoff, excluded, included, within
+from tidemark.plans.model import MONO, UNBOUNDED, Bound, Cutoff, excluded, included, within
+from tidemark.session import ready, scratch, settle
 from tidemark.sources import wal, zim
 from tidemark.streaming import stages
 
@@ -73,10 +74,25 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return oplog.fold(log.where(F.col("seqno") > mid)), oplog.fold(log.where(F.col("seqno") <= mid))
 
 
+def _share(spark: SparkSession, d: str, tenths: int) -> int:
+    """The seqno at so many tenths of the log, so that bounds hold a share of it at every size."""
+    return _log(spark, d).agg(F.max("seqno")).first()[0] * tenths // 10
+
+
+def _at(tenths: int) -> str:
+    return f"(SELECT max(event_id + 1) * {tenths} // 10 FROM events)"
+
+
+def _through(spark: SparkSession, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """What make(folder) gives, kept when the folder goes."""
+    with scratch(ready(spark), name) as folder:
+        return settle(make(folder))
+
+
 HALF = "(SELECT max(seqno) // 2 FROM m)"
 HALVES = f"WITH {LOG}, {_fold('a', 'm', f'seqno > {HALF}')}, {_fold('b', 'm', f'seqno <= {HALF}')}, {_tip('a_tip', 'a')}, {_tip('b_tip', 'b')} "
 
-# -- reads --------------------------------------------------------------------
+# -- reads --
 
 
 @_add(BASE + "SELECT * FROM t")
@@ -124,10 +140,84 @@ def reverse_versions(spark, d):
     return I.scan(_versions(spark, d), excluded(100), UNBOUNDED, reverse=True, history=True)
 
 
-@_add("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000")
+def _orders(spark, d) -> DataFrame:
+    """Orders as a table of one version each."""
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") + 1).alias("seqno"), F.col("o_totalprice").alias("value"), F.lit(False).alias("deleted"))
+
+
+@_add("WITH e AS (SELECT max(o_orderkey) AS top FROM orders) SELECT o_orderkey AS key, o_orderkey + 1 AS seqno, o_totalprice AS value, false AS deleted FROM orders, e WHERE o_orderkey >= top // 10 AND o_orderkey < top * 4 // 10")
 def snapshot_range(spark, d):
-    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    return rows.where(within(F.col("key"), included(1000), excluded(5000))).orderBy("key")
+    """A snapshot is built, opened again and scanned."""
+    top = _orders(spark, d).agg(F.max("key")).first()[0]
+
+    def make(folder):
+        snapshot.build(_orders(spark, d), f"{folder}/s", snapshot.Config("orders"))
+        return snapshot.open_snapshot(spark, f"{folder}/s").index(spark).range(included(top // 10), excluded(top * 4 // 10))
+
+    return _through(spark, "snapshot", make)
+
+
+@_add(BASE + "SELECT * FROM v")
+def snapshot_versions(spark, d):
+    """A snapshot of all versions, validated."""
+
+    def make(folder):
+        s = snapshot.build(_versions(spark, d), f"{folder}/s", snapshot.Config("log", filter="fuse"))
+        s.validate(spark)
+        return s.table(spark)
+
+    return _through(spark, "snapshot", make)
+
+
+@_add(BASE + "SELECT (SELECT count(*) FROM t) AS n_count, (SELECT count(*) FROM t WHERE deleted) AS n_deleted, count(*) AS n_versions, max(seqno) AS seqno FROM v")
+def snapshot_stats(spark, d):
+    """Counts that are observed while a snapshot is written."""
+
+    def make(folder):
+        s = snapshot.build(_versions(spark, d), f"{folder}/s", snapshot.Config("log")).stats
+        return spark.createDataFrame([tuple(s[k] for k in ("n_count", "n_deleted", "n_versions", "seqno"))], "n_count long, n_deleted long, n_versions long, seqno long")
+
+    return _through(spark, "snapshot", make)
+
+
+@_add(BASE + "SELECT t.* FROM t WHERE key IN (SELECT c_custkey * 3 FROM customer)")
+def snapshot_filtered_get(spark, d):
+    """Many keys looked up, those that the snapshot's filter excludes without a read."""
+
+    def make(folder):
+        s = snapshot.build(_versions(spark, d), f"{folder}/s", snapshot.Config("log", filter="xor8"))
+        return s.get_all(spark, _t(spark, d, "customer").select((F.col("c_custkey") * 3).alias("key")))
+
+    return _through(spark, "snapshot", make)
+
+
+@_add(HALVES + ", x AS (SELECT * FROM a UNION ALL SELECT * FROM b), " + _tip("y", "x") + " SELECT * FROM y WHERE NOT deleted")
+def snapshot_compacted(spark, d):
+    """The older half built, the newer one merged over it, and both compacted."""
+
+    def make(folder):
+        newer, older = _parts(spark, d)
+        first = snapshot.build(older, f"{folder}/0", snapshot.Config("log"))
+        second = snapshot.incremental(spark, first, newer, f"{folder}/1")
+        return snapshot.compact(spark, second, f"{folder}/2", MONO).table(spark)
+
+    return _through(spark, "snapshot", make)
+
+
+@_add(f"WITH {LOG}, " + ", ".join(_fold(f"q{k}", "m", f"seqno > {_at(k)} AND seqno <= {_at(k + 2)}") for k in range(0, 10, 2)) + ", u AS (" + " UNION ALL ".join(f"SELECT * FROM q{k}" for k in range(0, 10, 2)) + ") SELECT * FROM u")
+def tree_versions(spark, d):
+    """Fifths of the log written to a tree of levels, flushed and merged between."""
+
+    def make(folder):
+        tree = snapshot.Tree(spark, folder, snapshot.Config("log"))
+        for k in range(0, 10, 2):
+            tree.write(oplog.fold(_log(spark, d).where(within(F.col("seqno"), excluded(_share(spark, d, k)), included(_share(spark, d, k + 2))))))
+            if k < 8:
+                tree.flush()
+                tree.compact()
+        return tree.read().iter_versions()
+
+    return _through(spark, "tree", make)
 
 
 @_add(BASE + "SELECT min(key) AS first_key, max(key) AS last_key FROM t")
@@ -150,12 +240,17 @@ def max_seqno(spark, d):
     return _log(spark, d).agg(F.max("seqno").alias("seqno"))
 
 
-@_add("SELECT CAST(NULL AS BIGINT) AS key, CAST(NULL AS BIGINT) AS seqno, '' AS problem WHERE false")
+@_add(BASE + "SELECT key, seqno, 'repeated seqno' AS problem FROM v WHERE seqno % 97 = 0 UNION ALL SELECT DISTINCT key, 0, 'seqno below 1' FROM v WHERE seqno % 89 = 0 UNION ALL SELECT key, 1000000000 + seqno, 'tombstone with a value' FROM v WHERE seqno % 83 = 0")
 def validate(spark, d):
-    return I.violations(_versions(spark, d))
+    """What is wrong with a table in which known rows are."""
+    good = _versions(spark, d)
+    bad = good.where("seqno % 97 = 0")
+    bad = bad.unionByName(good.where("seqno % 89 = 0").select("key", (F.col("seqno") * 0).alias("seqno"), F.lit(1.0).alias("value"), F.lit(False).alias("deleted")).dropDuplicates(["key"]))
+    bad = bad.unionByName(good.where("seqno % 83 = 0").select("key", (F.col("seqno") + 1_000_000_000).alias("seqno"), F.lit(1.0).alias("value"), F.lit(True).alias("deleted")))
+    return I.violations(good.unionByName(bad))
 
 
-# -- operations ---------------------------------------------------------------
+# -- operations --
 
 
 @_add(f"""WITH {LOG} SELECT key, seqno, op, CASE WHEN o_op <> 'remove' THEN o_seqno END AS old_seqno,
@@ -215,19 +310,21 @@ def sticky_delete(spark, d):
     return oplog.sticky(_versions(spark, d))
 
 
-@_add()
+@_add(f"WITH {LOG}, {_fold('v', 'm', 'seqno % 7 <> 0')} SELECT * FROM v")
 def cas_fold(spark, d):
-    """Each write expects the version that its predecessor of the same key left; those that follow a remove expect none."""
-    log = oplog.old_entries(_log(spark, d)).select("seqno", "op", "key", F.coalesce("old_seqno", F.lit(0)).alias("cas")).join(_log(spark, d).select("seqno", "value"), "seqno")
-    return oplog.cas_fold(log)
+    """Each write expects the version that the last one of its key left; every seventh expects another one, and fails."""
+    log = _log(spark, d)
+    good = oplog.old_entries(log.where("seqno % 7 <> 0")).select("seqno", F.coalesce("old_seqno", F.lit(0)).alias("cas"))
+    return oplog.cas_fold(log.drop("cas").join(good, "seqno", "left").withColumn("cas", F.coalesce("cas", F.lit(-1))))
 
 
-@_add()
+@_add(f"""WITH {LOG}, p AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY key ORDER BY seqno), 'remove') AS before FROM m),
+      n AS (SELECT key, op, value, row_number() OVER (ORDER BY seqno) AS seqno FROM p WHERE op <> 'remove' OR before <> 'remove'), {_fold('v', 'n')} SELECT * FROM v""")
 def sequential_fold(spark, d):
     return oplog.sequential_fold(_log(spark, d), "seqno")
 
 
-# -- version algebra ----------------------------------------------------------
+# -- version algebra --
 
 
 @_add(BASE + "SELECT key, seqno, value, deleted FROM v")
@@ -235,13 +332,11 @@ def to_values(spark, d):
     return V.unpacked(V.packed(_versions(spark, d)))
 
 
-@_add(BASE + "SELECT key, seqno, value, deleted FROM v")
+@_add(BASE + "SELECT key, seqno, CAST(round(value * 1000000) AS BIGINT) AS value, deleted FROM v")
 def non_identity_diff(spark, d):
-    """Deltas as differences of newer and older values, folded back: whole cents, so that no digit is lost."""
-    cents = _versions(spark, d).withColumn("value", F.round(F.col("value") * 1_000_000).cast("long"))
-    back = V.unpacked(V.encoded(cents, lambda newer, older: newer - older), lambda newer, delta: newer - delta)
-    exact = _versions(spark, d).select("key", "seqno", F.col("value").alias("own"), F.round(F.col("value") * 1_000_000).cast("long").alias("whole"))
-    return back.join(exact, ["key", "seqno"]).where(F.col("value").eqNullSafe(F.col("whole"))).select("key", "seqno", F.col("own").alias("value"), "deleted")
+    """Deltas as differences of newer and older values, folded back: whole millionths, so that no digit is lost."""
+    whole = _versions(spark, d).withColumn("value", F.round(F.col("value") * 1_000_000).cast("long"))
+    return V.unpacked(V.encoded(whole, lambda newer, older: newer - older), lambda newer, delta: newer - delta)
 
 
 @_add(BASE + "SELECT key, min(seqno) AS oldest_seqno FROM v GROUP BY key")
@@ -271,32 +366,32 @@ def versions_newest_first(spark, d):
     return V.newest_first(_versions(spark, d)).withColumn("age", F.col("age").cast("long"))
 
 
-# -- compaction ---------------------------------------------------------------
+# -- compaction --
 
-CUT = 600
+CUT = _at(6)
 
 
-def _compact(name: str, cutoff: Cutoff, keep: str) -> None:
+def _compact(name: str, kind: str, bound: Callable[[int], Bound] | None, keep: str) -> None:
     def query(spark, d):
-        return V.compact(_versions(spark, d), cutoff)
+        return V.compact(_versions(spark, d), Cutoff(kind, UNBOUNDED if bound is None else bound(_share(spark, d, 6))))
 
     query.__name__ = name
     _add(BASE + f"SELECT v.* FROM v JOIN t USING (key) WHERE {keep}")(query)
 
 
-for _name, _cutoff, _keep in (
-    ("compact_mono", MONO, "v.seqno = t.seqno AND NOT t.deleted"),
-    ("compact_lsm_incl", Cutoff("lsm", included(CUT)), f"v.seqno > {CUT}"),
-    ("compact_lsm_excl", Cutoff("lsm", excluded(CUT)), f"v.seqno >= {CUT}"),
-    ("compact_lsm_unbounded", Cutoff("lsm"), "false"),
-    ("compact_tombstone_incl", Cutoff("tombstone", included(CUT)), f"NOT (t.deleted AND t.seqno <= {CUT})"),
-    ("compact_tombstone_excl", Cutoff("tombstone", excluded(CUT)), f"NOT (t.deleted AND t.seqno < {CUT})"),
-    ("compact_tombstone_unbounded", Cutoff("tombstone"), "NOT t.deleted"),
-    ("compact_noop", Cutoff("lsm", excluded(0)), "true"),
+for _name, _kind, _bound, _keep in (
+    ("compact_mono", "mono", None, "v.seqno = t.seqno AND NOT t.deleted"),
+    ("compact_lsm_incl", "lsm", included, f"v.seqno > {CUT}"),
+    ("compact_lsm_excl", "lsm", excluded, f"v.seqno >= {CUT}"),
+    ("compact_lsm_unbounded", "lsm", None, "false"),
+    ("compact_tombstone_incl", "tombstone", included, f"NOT (t.deleted AND t.seqno <= {CUT})"),
+    ("compact_tombstone_excl", "tombstone", excluded, f"NOT (t.deleted AND t.seqno < {CUT})"),
+    ("compact_tombstone_unbounded", "tombstone", None, "NOT t.deleted"),
+    ("compact_noop", "lsm", lambda _: excluded(0), "true"),
 ):
-    _compact(_name, _cutoff, _keep)
+    _compact(_name, _kind, _bound, _keep)
 
-# -- merges -------------------------------------------------------------------
+# -- merges --
 
 
 @_add(HALVES + "SELECT * FROM a UNION ALL SELECT * FROM b_tip")
@@ -336,17 +431,17 @@ def append_disjoint(spark, d):
     return V.append(*_parts(spark, d))
 
 
-# -- seqno windows and shards -------------------------------------------------
+# -- seqno windows and shards --
 
 
-@_add(BASE + ", w AS (SELECT * FROM v WHERE seqno <= 800), " + _tip("x", "w") + " SELECT * FROM x")
+@_add(BASE + ", w AS (SELECT * FROM v WHERE seqno <= " + _at(8) + "), " + _tip("x", "w") + " SELECT * FROM x")
 def asof_seqno(spark, d):
-    return V.as_of(_versions(spark, d), 800)
+    return V.as_of(_versions(spark, d), _share(spark, d, 8))
 
 
-@_add(BASE + "SELECT * FROM v WHERE seqno > 300 AND seqno <= 800")
+@_add(BASE + f"SELECT * FROM v WHERE seqno > {_at(3)} AND seqno <= {_at(8)}")
 def seqno_window(spark, d):
-    return V.seqno_window(_versions(spark, d), excluded(300), included(800))
+    return V.seqno_window(_versions(spark, d), excluded(_share(spark, d, 3)), included(_share(spark, d, 8)))
 
 
 @_add("SELECT o_orderkey AS key, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
@@ -372,7 +467,7 @@ def split_by_pivot(spark, d):
     return low.select(F.lit(True).alias("low")).union(high.select(F.lit(False))).groupBy("low").agg(F.count("*").alias("n"))
 
 
-# -- membership ---------------------------------------------------------------
+# -- membership --
 
 
 @_add("SELECT count(DISTINCT o_custkey) AS n FROM orders")
@@ -402,16 +497,53 @@ def membership_none(spark, d):
     return membership.accept_all(_t(spark, d, "customer")).groupBy("found").agg(F.count("*").alias("n"))
 
 
-# -- log ----------------------------------------------------------------------
+# -- log --
 
 
 def _records(spark, d) -> DataFrame:
     return _t(spark, d, "events").select((F.col("event_id") + 1).alias("seqno"), F.col("event_type").cast("binary").alias("op"))
 
 
-@_add("SELECT event_id + 1 AS seqno, event_type AS op FROM events WHERE event_id + 1 > 100 AND event_id + 1 <= 900")
+@_add(f"SELECT event_id + 1 AS seqno, event_type AS op FROM events WHERE event_id + 1 > {_at(1)} AND event_id + 1 <= {_at(9)}")
 def wal_range(spark, d):
-    return wal.in_range(_records(spark, d), excluded(100), included(900)).withColumn("op", F.col("op").cast("string"))
+    return wal.in_range(_records(spark, d), excluded(_share(spark, d, 1)), included(_share(spark, d, 9))).withColumn("op", F.col("op").cast("string"))
+
+
+@_add(f"SELECT event_id + 1 AS seqno, event_type AS op FROM events WHERE event_id + 1 > {_at(3)}")
+def wal_journals(spark, d):
+    """The log appended in three parts to journals that rotate, loaded again, its oldest part purged, and read from a seqno on."""
+
+    def make(folder):
+        config = wal.Config(folder, "events", journal_limit=1)
+        log = wal.Wal.create(spark, config)
+        mid = _share(spark, d, 3)
+        for low, high in ((-1, mid), (mid, _share(spark, d, 6)), (_share(spark, d, 6), 2**62)):
+            log.append(spark, _t(spark, d, "events").where(within(F.col("event_id") + 1, excluded(low), included(high))), "event_id", "event_type")
+        again = wal.Wal.load(spark, config)
+        again.purge_till(spark, mid)
+        return again.replay_from(spark, mid).withColumn("op", F.col("op").cast("string"))
+
+    return _through(spark, "log", make)
+
+
+@_add(f"WITH {LOG}, {_fold('v', 'm')} SELECT * FROM v")
+def wal_replayed_index(spark, d):
+    """Half of the log in an index, the rest replayed onto it from journals."""
+
+    def make(folder):
+        log = wal.Wal.create(spark, folder, "events")
+        packed = _log(spark, d).select("seqno", F.to_json(F.struct("op", "key", "value")).cast("binary").alias("op"))
+        log.write(spark, packed)
+        mid = _share(spark, d, 5)
+        index = I.Index("log", oplog.fold(_log(spark, d).where(F.col("seqno") <= mid)), seqno=mid)
+
+        def mutations(records):
+            row = F.from_json(F.col("op").cast("string"), "op string, key long, value double").alias("row")
+            return records.select("seqno", row).select("seqno", "row.*", F.lit(None).cast("long").alias("cas"))
+
+        return log.replay(spark, index, mutations).versions
+
+    return _through(spark, "log", make)
 
 
 @_add("SELECT event_id // 64 AS batch, min(event_id + 1) AS first_seqno, max(event_id + 1) AS last_seqno, count(*) AS n FROM events GROUP BY 1")
@@ -419,9 +551,9 @@ def wal_batches(spark, d):
     return wal.batches(_records(spark, d), 64)
 
 
-@_add(f"WITH {LOG}, {_fold('v', 'm', 'seqno > 500')} SELECT * FROM v")
+@_add(f"WITH {LOG}, {_fold('v', 'm', f'seqno > {_at(5)}')} SELECT * FROM v")
 def wal_replay_from(spark, d):
-    return oplog.fold(_log(spark, d).where("seqno > 500"))
+    return oplog.fold(_log(spark, d).where(F.col("seqno") > _share(spark, d, 5)))
 
 
 @_add("SELECT CAST(user_id % 5 AS INTEGER) AS shard, count(*) AS n FROM events GROUP BY 1")
@@ -434,7 +566,7 @@ def wal_seqno_sum(spark, d):
     return _records(spark, d).agg(F.count("*").alias("n"), F.sum("seqno").alias("total"))
 
 
-# -- dataflow -----------------------------------------------------------------
+# -- dataflow --
 
 
 @_add("SELECT event_id, value * 2 AS doubled FROM events")
@@ -457,14 +589,34 @@ def mq_reduce(spark, d):
     return stages.reduce_(_t(spark, d, "events"), n=F.count("*"), top=F.max("value"), total=F.sum("user_id"))
 
 
-@_add("SELECT branch, count(*) AS n FROM events, (VALUES (0), (1), (2)) b(branch) GROUP BY branch")
+@_add("SELECT branch, event_id FROM events, (VALUES (0), (1), (2)) b(branch) WHERE value > 50")
 def mq_split(spark, d):
-    rows = _t(spark, d, "events").select("event_id")
-    every = rows.select(F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("branch"))
-    return every.groupBy("branch").agg(F.count("*").alias("n"))
+    """A stream of the events, filtered, to three sinks."""
+
+    def make(folder):
+        stream = stages.from_files(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema)
+        sink = lambda k: lambda rows, _: rows.select(F.lit(k).alias("branch"), "event_id").write.mode("append").parquet(f"{folder}/out")
+        stages.close_wait(stages.split(stages.filter_(stream, F.col("value") > 50), [sink(k) for k in range(3)], f"{folder}/checkpoint"))
+        return spark.read.schema("branch int, event_id long").parquet(f"{folder}/out")
+
+    return _through(spark, "stream", make)
+
+
+@_add("SELECT count(*) AS n, max(value) AS top FROM events")
+def mq_fold(spark, d):
+    """A stream of the events, reduced with an identity and functions."""
+
+    def make(folder):
+        stream = stages.from_files(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema).select("value")
+        out = []
+        top = lambda *x: max((v for v in x if v is not None), default=None)
+        stages.close_wait(stages.fold(stream, (0, None), lambda s, r: (s[0] + 1, top(s[1], r["value"])), lambda a, b: (a[0] + b[0], top(a[1], b[1])), out.append, f"{folder}/checkpoint"))
+        return spark.createDataFrame(out, "n long, top double")
 
+    return _through(spark, "stream", make)
 
-# -- objects and paths --------------------------------------------------------
+
+# -- objects and paths --
 
 
 @_add("SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS oid FROM documents WHERE text IS NOT NULL")
@@ -472,6 +624,14 @@ def git_blob_oid(spark, d):
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.blob_oid(F.col("text")).alias("oid"))
 
 
+@_add("SELECT lang || '/' || doc_id AS key, sha1('blob ' || strlen(text) || chr(0) || text) AS oid FROM documents WHERE text IS NOT NULL AND lang >= 'de' AND lang < 'fr'")
+def store_scan(spark, d):
+    """A range of paths of a store of blobs."""
+    rows = _t(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    store = objects.Store.of(rows, F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")), F.col("text"))
+    return store.scan(included(["de"]), excluded(["fr"])).select(F.array_join("path", "/").alias("key"), "oid")
+
+
 @_add("""SELECT p_partkey, array_to_string(list_concat(list_transform(range(1, least(3, length(p_name)) + 1), lambda i: p_name[i]), [p_name]), '|') AS path FROM part""")
 def key_path_fanout(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(X.key_path(F.col("p_name")), "|").alias("path"))
@@ -512,7 +672,7 @@ def redirect_resolve(spark, d):
     return zim.resolved(rows)
 
 
-# -- statistics ---------------------------------------------------------------
+# -- statistics --
 
 
 @_add("""WITH h AS (SELECT least(CAST(floor(value / 5) AS BIGINT), 99) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
@@ -555,7 +715,7 @@ def lru_keep_n(spark, d):
     return shards.keep_recent(_t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("used"), F.col("event_id").alias("seq")), 20, at="used")
 
 
-# -- HTML ---------------------------------------------------------------------
+# -- HTML --
 
 
 @_add()
@@ -574,6 +734,17 @@ def html_select(spark, d):
     return H.html_select(_t(spark, d, "pages"), "body p, a[href]").select("page_id", "node_id", "tag", "text")
 
 
+@_add("""SELECT page_id, regexp_extract(x, 'href="([^"]*)"', 1) AS href, regexp_extract(x, '>([^<>]*)</a>', 1) AS text
+      FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href="[^"]*">[^<>]*</a></li>')) AS x FROM pages)""")
+def html_links(spark, d):
+    return H.html_select(_t(spark, d, "pages"), "nav > ul > li > a[href]").select("page_id", F.col("attrs")["href"].alias("href"), "text")
+
+
+@_add("""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(html, '<!--.*?-->', '', 'gs')), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""")
+def html_tag_counts(spark, d):
+    return H.html_nodes(_t(spark, d, "pages")).where("kind = 'tag'").groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
