@@ -352,7 +352,9 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A group holds the documents that verified pairs connect, exact copies
     included.  Rows without doc_id or text, and texts without words, are in no
     group; texts of fewer than GRAM words equal only texts of the same words; rows
-    that share a doc_id are one document, near another if one of its texts is.
+    that share a doc_id are one document, near another if one of its texts is.  Whole
+    texts are compared, however long; an empty table has no groups; other columns
+    aren't looked at, whatever their names.
     """
     ready(docs.sparkSession)
     marked = settle(sketched(docs).withColumn("first", F.min("doc_id").over(Window.partitionBy("signature"))))
