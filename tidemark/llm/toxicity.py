@@ -94,25 +94,30 @@ def telling_pairs(start: np.ndarray, term: np.ndarray, labels: np.ndarray, expec
     """Terms whose toxic share together with another term differs from the expected one; start has where each document's terms begin."""
     length = np.diff(start)
     order = np.argsort(length, kind="stable")
-    chosen = np.sort(order[np.cumsum(length[order].astype(np.int64) ** 2) <= most])
-    doc = np.repeat(np.arange(len(chosen)), length[chosen])
-    if not len(doc):
+    taken = np.zeros(len(length), bool)
+    taken[order[np.cumsum(length[order].astype(np.int64) ** 2) <= most]] = True
+    chosen = np.flatnonzero(taken)
+    terms = term[np.repeat(taken, length)]
+    if not len(terms):
         return np.zeros(0, np.int64)
-    terms = term[np.repeat(start[chosen] - np.concatenate([[0], np.cumsum(length[chosen])[:-1]]), length[chosen]) + np.arange(len(doc))]
+    doc = np.repeat(np.arange(len(chosen), dtype=np.int32), length[chosen])
     df = np.bincount(terms, minlength=size)
     # A pair needs this many documents to reach the evidence at all.
     names = np.flatnonzero(df >= max(least, 8))
-    number = np.full(size, -1)
+    number = np.full(size, -1, np.int32)
     number[names] = np.arange(len(names))
     own = number[terms]
-    doc, own = doc[own >= 0], own[own >= 0]
+    del terms
+    known = own >= 0
+    doc, own = doc[known], own[known]
     begin = np.searchsorted(doc, np.arange(len(chosen) + 1))
-    by_term = np.argsort(own, kind="stable")
-    cut = np.searchsorted(own[by_term], np.arange(len(names) + 1))
+    # The documents of each term, one term's after another's.
+    cut = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(names)))])
+    by_term = doc[np.argsort(own, kind="stable")]
     y, p = labels[chosen], expected[chosen]
     hit = np.zeros(len(names), bool)
     for t in range(len(names)):
-        d = doc[by_term[cut[t] : cut[t + 1]]]
+        d = by_term[cut[t] : cut[t + 1]]
         count = begin[d + 1] - begin[d]
         at = np.repeat(begin[d] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         other = own[at]
@@ -179,9 +184,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     if not 0 < positive < len(labels):
         return constant
     length = np.array([len(r) for r in rows])
-    term = np.concatenate(rows) if length.sum() else np.zeros(0, np.int64)
+    term = np.concatenate(rows).astype(np.int32) if length.sum() else np.zeros(0, np.int32)
     start = np.concatenate([[0], np.cumsum(length)])
-    doc = np.repeat(np.arange(len(rows)), length)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), length)
     df = np.bincount(term, minlength=size)
     df1 = np.bincount(term, labels[doc], minlength=size)
     p = positive / len(labels)
@@ -225,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, bits: int = BI
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
     got = sample(docs, labels, most).mapInArrow(terms, "doc_id long, toxic int, terms binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"].to_pylist()], got["toxic"].to_numpy(), bits)
+    return fit([np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()], got["toxic"].to_numpy(), bits)
 
 
 def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
