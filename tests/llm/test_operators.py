@@ -424,6 +424,20 @@ def test_warc_audit(spark, monkeypatch):
     assert warc.audit(a.limit(0), a.limit(0)).count() == 0 and warc.audit(a, a.limit(0)).count() == 400
 
 
+def test_warc_audit_of_pages(spark, tmp_path):
+    """All kinds of damage, against SQL."""
+    import duckdb
+
+    r = random.Random(8)
+    pages = [(k, f"http://x/{k}" if k % 9 else None, "é" * r.randrange(60)) for k in range(600)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    want = sorted(con.execute(f'SELECT file, "offset", length, record_id, status FROM ({warc.SQL})').fetchall())
+    got = warc.audit_pages(spark.read.parquet(str(tmp_path / "pages")))
+    assert sorted(map(tuple, got.collect())) == want and {w[-1] for w in want} == {"changed", "missing", "extra"}
+
+
 def test_warc_pages_awkward(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "u", None), (None, "u", "h"), (3, "u", LONG)] + [(7, "u", "v")] * 120, "page_id long, url string, html string")
     for c in ("file", "offset", "number", "content"):

@@ -180,6 +180,10 @@ def packed(pages: DataFrame, compress: bool = False, ids: int = PAGES) -> DataFr
     return rows.mapInArrow(run, "file string, content binary")
 
 
+#: The record that a damaged replica has more.
+MORE = encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:more>"}, b"more")
+
+
 def damage(file: str, content: bytes) -> bytes | None:
     """A replica of a file with known damage, all of it in place.
 
@@ -203,7 +207,7 @@ def damage(file: str, content: bytes) -> bytes | None:
             out[last:end] = bytes(end - last)
     if kind == 1:
         out = out[: last + (len(out) - last) // 2]
-    return bytes(out) + (encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:more>"}, b"more") if kind == 3 else b"")
+    return bytes(out) + (MORE if kind == 3 else b"")
 
 
 def damaged(files: DataFrame) -> DataFrame:
@@ -325,4 +329,4 @@ SQL = f"""
            CASE WHEN number % 5 = 2 OR mark = '02' THEN 'missing' ELSE 'changed' END AS status
     FROM o WHERE number % 5 = 2 OR mark IN ('00', '01', '02') OR (number % 5 = 1 AND last)
     UNION ALL
-    SELECT file, CAST(before + length AS BIGINT), CAST(95 AS BIGINT), '<urn:page:more>', 'extra' FROM o WHERE number % 5 = 3 AND last"""
+    SELECT file, CAST(before + length AS BIGINT), CAST({len(MORE)} AS BIGINT), '<urn:page:more>', 'extra' FROM o WHERE number % 5 = 3 AND last"""
