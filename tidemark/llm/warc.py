@@ -189,18 +189,21 @@ def damage(file: str, content: bytes) -> bytes | None:
 
     By a file's number, of five: 1 its last record is cut in half, 2 it is missing,
     3 it has one more record.  By the MD5 of a page's id: 00 a bit of its last
-    byte but the ends of lines is turned, 01 its first bytes are overwritten,
-    02 its bytes are zeros.
+    byte but the ends of lines is turned, and, for every second record but the last
+    two, so that what can't be read isn't one piece, 01 its first bytes are
+    overwritten, 02 its bytes are zeros.
     """
     kind = int(file.split("-")[1]) % 5
     if kind == 2:
         return None
-    out, last = bytearray(content), 0
-    for r in scan(content):
+    out, last, every = bytearray(content), 0, list(scan(content))
+    for k, r in enumerate(every):
         mark = hashlib.md5(r.fields["WARC-Record-ID"][10:-1].encode()).hexdigest()[:2]
         last, end = r.offset, r.offset + len(r.stored)
         if mark == "00":
             out[end - 5] ^= 1
+        elif k % 2 or k >= len(every) - 2:
+            continue
         elif mark == "01":
             out[last : last + 8] = b"rotten!!"
         elif mark == "02":
@@ -323,10 +326,10 @@ SQL = f"""
         FROM p),
     o AS (
         SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-               k = max(k) OVER (PARTITION BY file) AS last
+               k = max(k) OVER (PARTITION BY file) AS last, k % {PAGES} % 2 = 0 AND k < max(k) OVER (PARTITION BY file) - 1 AS apart
         FROM r)
     SELECT file, CAST(before AS BIGINT) AS "offset", length, record_id,
-           CASE WHEN number % 5 = 2 OR mark = '02' THEN 'missing' ELSE 'changed' END AS status
-    FROM o WHERE number % 5 = 2 OR mark IN ('00', '01', '02') OR (number % 5 = 1 AND last)
+           CASE WHEN number % 5 = 2 OR (mark = '02' AND apart) THEN 'missing' ELSE 'changed' END AS status
+    FROM o WHERE number % 5 = 2 OR mark = '00' OR (mark IN ('01', '02') AND apart) OR (number % 5 = 1 AND last)
     UNION ALL
     SELECT file, CAST(before + length AS BIGINT), CAST({len(MORE)} AS BIGINT), '<urn:page:more>', 'extra' FROM o WHERE number % 5 = 3 AND last"""
