@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import few, partitions, ready, scratch, settle
@@ -34,6 +35,8 @@ RANGE, FAN, LEVELS = 1 << 18, 64, 3
 PAGES = 50
 #: Bytes that are unpacked at once, most bytes of a record's fields, and most differing nodes that are written into a filter.
 PIECE, HEAD, FEW = 1 << 14, 1 << 20, 1000
+#: So many zeros or more are a hole, which ends what can't be read.
+HOLE = re.compile(rb"\0{64,}")
 
 
 def encode(fields: dict[str, str], payload: bytes, compress: bool = False) -> bytes:
@@ -86,12 +89,16 @@ def _one(data: bytes, view: memoryview, at: int) -> Record:
 
 
 def scan(data: bytes) -> Iterator[Record]:
-    """All records of a file, plain or with a gzip member each, and between them what can't be read; holes of zeros are nothing."""
+    """All records of a file, plain or with a gzip member each, and between them what can't be read, in pieces from hole to hole; holes of zeros are nothing."""
     view, at, begin, problem = memoryview(data), 0, 0, None
 
     def lost() -> Iterator[Record]:
-        if begin < at and data[begin:at].strip(b"\0"):
-            yield Record(begin, data[begin:at], {}, None, problem)
+        k = begin
+        for hole in [*HOLE.finditer(data, begin, at), None]:
+            end = hole.start() if hole else at
+            if data[k:end].strip(b"\0"):
+                yield Record(k, data[k:end], {}, None, problem)
+            k = hole.end() if hole else at
 
     while at < len(data):
         try:
@@ -120,7 +127,7 @@ def records(files: DataFrame) -> DataFrame:
     """(file, offset, length, record_id, digest, uri, payload, problem) of the records in files (file, content); one task reads a file.
 
     digest is that of the stored bytes.  What can't be read is a row with problem and no
-    payload, which reaches to the next record; a hole of zeros is no row.  Empty
+    payload, which reaches to the next record or hole of at least 64 zeros; a hole is no row.  Empty
     files, and rows without file or content, have no records.
     """
     ready(files.sparkSession)
@@ -280,16 +287,18 @@ def children(nodes: DataFrame, differing: DataFrame) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """(file, offset, length, record_id, status) of the records in which two replicas differ.
 
-    status is changed (other bytes, another length or unreadable), missing (from the
+    status is changed (other bytes, another length or unreadable, also where several
+    unreadable records are one piece of the replica), missing (from the
     replica) or extra (in the replica only); length and record_id are the primary's,
     or for extra records the replica's.  Equal or empty replicas give no rows.
-    Records are (file, offset, length, record_id, digest), other columns aren't
-    looked at; rows without file or offset are left out; records that repeat at one
+    Records are (file, offset, length, record_id, digest) and, where it is known,
+    problem, which is not null for what can't be read; other columns aren't looked at; rows without file or offset are left out; records that repeat at one
     place are one.
     """
     spark = ready(primary.sparkSession)
     columns = ["file", "offset", "length", "record_id", "digest"]
-    sides = [x.where("file IS NOT NULL AND offset IS NOT NULL").select(*columns, F.lit(k).alias("side")) for k, x in enumerate((primary, replica))]
+    unread = [F.col("problem").isNotNull() if "problem" in x.columns else F.lit(False) for x in (primary, replica)]
+    sides = [x.where("file IS NOT NULL AND offset IS NOT NULL").select(*columns, F.lit(k).alias("side"), unread[k].alias("unread")) for k, x in enumerate((primary, replica))]
     records = settle(sides[0].unionByName(sides[1]))
     with scratch(spark, "fixity") as folder:
         levels = tree(records, folder)
@@ -299,9 +308,15 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             hashes = [F.max(F.when(F.col("side") == k, F.col("hash"))).alias(h) for k, h in enumerate(("a", "b"))]
             found = nodes.groupBy("node", "place").agg(*hashes).where("NOT (a <=> b)")
             differing = settle(found.select(F.col("node").alias("d_node"), F.col("place").alias("d_place"), F.col("a").isNull().alias("extra"), F.col("b").isNull().alias("missing")))
-    status = F.when(F.col("extra"), "extra").when(F.col("missing"), "missing").otherwise("changed").alias("status")
     place = (F.col("file") == F.col("d_node")) & (F.col("offset") == F.col("d_place"))
-    rows = records.join(few(differing), place).where("side = CAST(extra AS INT)").select("file", "offset", "length", "record_id", status)
+    own = ["file", "offset", "length", "record_id"]
+    rows = records.join(few(differing), place).where("side = CAST(extra AS INT)").select(*own, "extra", "missing", F.lit(None).cast("long").alias("until"))
+    # Where an unreadable piece of the replica lies over a record's place, its bytes are there, but can't be read.
+    pieces = records.where("side = 1 AND unread").select(*own, F.lit(None).cast("boolean").alias("extra"), F.lit(None).cast("boolean").alias("missing"), (F.col("offset") + F.col("length")).alias("until"))
+    before = Window.partitionBy("file").orderBy("offset").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.unionByName(pieces).withColumn("reach", F.max("until").over(before)).where("missing IS NOT NULL")
+    status = F.when(F.col("extra"), "extra").when(F.col("missing") & ~F.coalesce(F.col("reach") > F.col("offset"), F.lit(False)), "missing").otherwise("changed").alias("status")
+    rows = rows.select(*own, status)
     return rows.groupBy("file", "offset", "status").agg(F.min("length").alias("length"), F.min("record_id").alias("record_id")).select("file", "offset", "length", "record_id", "status")
 
 
