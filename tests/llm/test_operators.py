@@ -438,6 +438,20 @@ def test_warc_audit_of_pages(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and {w[-1] for w in want} == {"changed", "missing", "extra"}
 
 
+def test_warc_audit_of_neighbours(spark):
+    """Unreadable neighbours, and holes beside them, each have their own status."""
+    whole = warc.pack((k, "u", "x" * 200) for k in range(7))
+    at = [r.offset for r in warc.scan(whole)] + [len(whole)]
+    bad = bytearray(whole)
+    for k in (1, 2, 4, 6):
+        bad[at[k] : at[k] + 8] = b"rotten!!"
+    for k in (3, 5):
+        bad[at[k] : at[k + 1]] = bytes(at[k + 1] - at[k])
+    a, b = (warc.records(spark.createDataFrame([("f", bytes(x))], "file string, content binary")) for x in (whole, bad))
+    want = [(at[k], at[k + 1] - at[k], f"<urn:page:{k}>", "missing" if k in (3, 5) else "changed") for k in range(1, 7)]
+    assert sorted(map(tuple, warc.audit(a, b).select("offset", "length", "record_id", "status").collect())) == want
+
+
 def test_warc_pages_awkward(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "u", None), (None, "u", "h"), (3, "u", LONG)] + [(7, "u", "v")] * 120, "page_id long, url string, html string")
     for c in ("file", "offset", "number", "content"):
