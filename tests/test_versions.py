@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from conftest import SF
@@ -178,6 +179,42 @@ def test_violations(spark):
     assert sorted(r["problem"] for r in I.violations(bad, 50).collect()) == ["repeated seqno", "seqno below 1", "seqno beyond the table's", "tombstone with a value"]
 
 
+def test_violations_of_repeated_rows(spark):
+    """A seqno is reported once however often it is repeated, other problems for every row, also beside it."""
+    bad = spark.createDataFrame([(1, 5, 1.0, False)] * 3 + [(2, 0, None, False)] * 2 + [(None, 3, 1.0, False)] * 2 + [(4, None, 1.0, False), (5, 8, 1.0, True), (5, 8, None, True)], version_schema())
+    want = [(1, 5, "repeated seqno"), (2, 0, "repeated seqno"), (None, 3, "repeated seqno"), (5, 8, "repeated seqno"), (4, None, "seqno below 1"), (5, 8, "tombstone with a value")] + [(2, 0, "seqno below 1"), (None, 3, "no key")] * 2
+    assert sorted(map(tuple, I.violations(bad).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_violations_of_many_equal_rows(spark):
+    """More rows of one seqno than are listed at once; they are summed up before the shuffle."""
+    bad = I.violations(spark.range(25_000).selectExpr("cast(null AS long) AS key", "7L AS seqno", "1.0D AS value", "false AS deleted"))
+    assert {r["problem"]: r["count"] for r in bad.groupBy("problem").count().collect()} == {"no key": 25_000, "repeated seqno": 1}
+    plan = bad._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("partial_count(1)")
+
+
+def test_violations_go_through_the_table_once(spark):
+    """A union of readings has the log folded and sorted several times by the same tasks."""
+    log = spark.createDataFrame(random_log(1), mutation_schema())
+    for df in (I.violations(oplog.fold(log)), catalog.queries()["validate"](spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Union" not in plan
+
+
+def test_planted_problems_of_an_odd_log(spark, tmp_path):
+    """Repeated events, and events without a user or an id: one row with seqno 0 a key, and the problems of what is repeated already."""
+    events = [(k, k % 7 or None, "click", 1.0) for k in range(400)] + [(88, 88 % 7, "click", 1.0), (None, 3, "click", 1.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(u, e + 1, 1.0, False) for e, u, *_ in events if e is not None]
+    table = rows + [r for r in rows if r[1] % 97 == 0] + [(u, 0, 1.0, False) for u in {r[0] for r in rows if r[1] % 89 == 0}] + [(u, s + 1_000_000_000, 1.0, True) for u, s, *_ in rows if s % 83 == 0]
+    want = [(*k, "repeated seqno") for k, n in Counter((u, s) for u, s, *_ in table).items() if n > 1]
+    for u, s, _, gone in table:
+        if u is None or s < 1 or gone:
+            want.append((u, s, "no key" if u is None else "seqno below 1" if s < 1 else "tombstone with a value"))
+    assert sorted(map(tuple, catalog.queries()["validate"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark):
     t = spark.createDataFrame([], version_schema())
     for df in (V.latest(t), V.compact(t, MONO), V.merge(t, t), V.level_winner([t, t]), oplog.commit(t, t, False), I.scan(t)):

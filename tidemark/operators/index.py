@@ -13,6 +13,9 @@ from . import versions as V
 
 _WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
 
+#: Rows that are listed at once.
+_BLOCK = 10_000
+
 
 def width(column: str, kind: T.DataType) -> Column:
     """Bytes of a value: fixed by type, or its own length; an array's elements are counted at eight bytes."""
@@ -57,12 +60,21 @@ def stats(versions: DataFrame) -> DataFrame:
 
 
 def violations(versions: DataFrame, seqno: int | None = None) -> DataFrame:
-    """(key, seqno, problem) of rows that no table may have: a seqno twice or below 1, a tombstone with a value, a seqno beyond the table's."""
-    twice = versions.groupBy("key", "seqno").agg(F.count("*").alias("n")).where("n > 1").select("key", "seqno", F.lit("repeated seqno").alias("problem"))
-    other = F.when(F.col("key").isNull(), "no key").when(F.col("seqno").isNull() | (F.col("seqno") < 1), "seqno below 1").when(F.col("deleted") & F.col("value").isNotNull(), "tombstone with a value")
+    """(key, seqno, problem) of rows that no table may have: a seqno twice or below 1, a tombstone with a value, a seqno beyond the table's.
+
+    The table is gone through once: a union of two readings of it would compute both,
+    with their sorts, in the same tasks.  Rows are counted by seqno, so that many
+    repeated ones are summed up where they are read, and listed again in blocks.
+    """
+    n, valued = F.col("n"), F.col("valued")
+    own = F.when(F.col("key").isNull(), "no key").when(F.col("seqno").isNull() | (F.col("seqno") < 1), "seqno below 1")
+    kinds = [(F.lit("repeated seqno"), F.when(n > 1, 1)), (own, F.when(own.isNotNull(), n)), (F.lit("tombstone with a value"), F.when(own.isNull(), valued))]
     if seqno is not None:
-        other = other.when(F.col("seqno") > seqno, "seqno beyond the table's")
-    return twice.unionByName(versions.select("key", "seqno", other.alias("problem")).where("problem IS NOT NULL"))
+        kinds.append((F.lit("seqno beyond the table's"), F.when(own.isNull() & (F.col("seqno") > seqno), n - valued)))
+    each = versions.groupBy("key", "seqno").agg(F.count("*").alias("n"), F.count_if(F.col("deleted") & F.col("value").isNotNull()).alias("valued"))
+    found = each.select("key", "seqno", F.explode(F.array(*[F.struct(problem.alias("problem"), times.cast("long").alias("times")) for problem, times in kinds])).alias("p")).select("key", "seqno", "p.*").where("times > 0")
+    blocks = found.withColumn("block", F.explode(F.expr(f"sequence(0L, (times - 1) div {_BLOCK})")))
+    return blocks.select("key", "seqno", F.explode(F.expr(f"array_repeat(problem, int(least({_BLOCK}, times - block * {_BLOCK})))")).alias("problem"))
 
 
 class Index:
